@@ -29,7 +29,7 @@ BLOCK_BYTES = 32 << 20
 
 
 class Phrases:
-    """The windows of a block of items, as rows of word numbers from 1."""
+    """The windows of a block of items, as rows of word numbers from 2; 1 separates and 0 ends a shard's text."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         texts = [t for _, t in items]
@@ -38,7 +38,7 @@ class Phrases:
         start, end = word_spans(buf, bounds, ALNUM)
         hashes = span_hash(prefix_hash(buf), start, end)
         self.words, number = np.unique(hashes, return_inverse=True)
-        number = number.astype(np.int64) + 1
+        number = number.astype(np.int64) + 2
         of = np.searchsorted(start, bounds)
         seen: dict[tuple[int, ...], set[str]] = {}
         for k, (name, _) in enumerate(items):
@@ -59,7 +59,7 @@ class Phrases:
         if not len(self.words):
             return np.zeros(len(hashes), np.int64)
         k = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[k] == hashes, k + 1, 0)
+        return np.where(self.words[k] == hashes, k + 2, 0)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -119,7 +119,7 @@ class WaveletMatrix:
 
 class FMIndex:
     def __init__(self, text: np.ndarray, top: int, sample: int = SAMPLE):
-        """text: symbols 0 to top; a sentinel 0 is put at the end, so that every pattern of symbols from 1 stays inside."""
+        """text: symbols 1 to top; one sentinel 0, smaller than all, is put at the end."""
         text = np.concatenate([text, [0]]).astype(np.int64)
         order = suffix_array(text)
         self.n = len(text)
@@ -193,12 +193,12 @@ def scan_shard(buf: np.ndarray, bounds: np.ndarray, phrases: Phrases):
     size = e - s
     place = np.cumsum(size + 1) - size - 1
     at, run = ranges(s, e)
-    text = np.zeros(int((size + 1).sum()), np.int64)
+    text = np.ones(int((size + 1).sum()), np.int64)  # 1 separates
     word_at = np.full(len(text), -1, np.int64)
     where = at - s[run] + place[run]
     text[where] = number[at]
     word_at[where] = at
-    index = FMIndex(text, len(phrases.words))
+    index = FMIndex(text, len(phrases.words) + 1)
     alive, low, high = index.search(phrases.rows, phrases.length)
     suffix, of = ranges(low, high)
     word = word_at[index.locate(suffix)]
