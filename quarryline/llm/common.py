@@ -139,3 +139,31 @@ def free_shuffles(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def dealt(packed: DataFrame) -> DataFrame:
+    """Packed rows (bucket, kind, ...) brought together by bucket, each bucket's kinds in order."""
+    return packed.repartition("bucket").sortWithinPartitions("bucket", "kind")
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of one bucket after the other, from sorted batches."""
+    now, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != now:
+                if rows:
+                    yield now, rows
+                now, rows = row["bucket"], []
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
+def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
+    """A bucket from the high bits of a hash."""
+    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def joined(parts: list[bytes], dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), dtype)
