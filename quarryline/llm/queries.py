@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm_score, pii, quality, sentencepiece_fst, simhash, token_counts, topk
+from . import decontaminate, lm_score, pii, quality, sentencepiece_fst, simhash, suffix_dedup, token_counts, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.report(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op3_lm_score(spark, sf_dir):
     return lm_score.report(_table(spark, sf_dir, "documents"))
 
