@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm_score, pii, quality, sentencepiece_fst, simhash, suffix_dedup, token_counts, topk
+from . import decontaminate, lm_score, pii, quality, sentencepiece_fst, simhash, suffix_dedup, token_counts, tool_chat, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_quality(spark, sf_dir):
     return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_tool_chat(spark, sf_dir):
+    return tool_chat.report(_table(spark, sf_dir, "conversations"))
+
+
 def op8_topk(spark, sf_dir):
     return topk.report(_table(spark, sf_dir, "embeddings"))
 
@@ -54,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_tool_chat": tool_chat.ORACLE}
