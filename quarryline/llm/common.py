@@ -6,6 +6,7 @@ position or a word costs a few nanoseconds and no Python object.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -122,23 +124,30 @@ def buckets_for(df: DataFrame) -> int:
     return 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder; set a folder only where the session names none."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names for checkpoints; one of our own only where the session names none."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    named = context._jsc.sc().getCheckpointDir()
+    if named.isEmpty():
         import tempfile
 
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
+        named = context._jsc.sc().getCheckpointDir()
+    return named.get()
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the cleaner drop the shuffle files of frames that are no longer in use."""
-    import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write the rows to a table in the shared folder and read them from there. The shuffle files behind
+    it are dropped as soon as it is written."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dealt(packed: DataFrame) -> DataFrame:

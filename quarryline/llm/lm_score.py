@@ -30,7 +30,9 @@ STEP = 1.5
 PROBES = 7
 FILTER_MB = 64
 HEAD = 1 << 19
-PART = 16 << 20
+PART = 4 << 20
+#: Tokens whose n-grams are counted together before they are packed.
+TOGETHER = 2_500_000
 NO_ID = -(1 << 63)
 END = np.uint64(0x5851F42D4C957F2D)
 _CONTEXT = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -87,11 +89,19 @@ def gather(training: DataFrame, text_col: str, n: int) -> DataFrame:
     """Blocks (bucket, kind 1 or 2, h, c, types, total, keys) of the counts of all n-grams."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(t: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for order in (1, 2):
+                yield pa.RecordBatch.from_pylist(list(_packed(order, *_counts(t if order == 1 else bigrams(t)), n)), _BLOCK)
+
+        held: list[np.ndarray] = []
         for batch in batches:
             for _, _, buf, bounds in binary_parts(batch.column(0), PART):
-                t, _ = tokens(buf, bounds)
-                for order, h in ((1, t), (2, bigrams(t))):
-                    yield pa.RecordBatch.from_pylist(list(_packed(order, *_counts(h), n)), _BLOCK)
+                held.append(tokens(buf, bounds)[0])
+                if sum(map(len, held)) >= TOGETHER:
+                    yield from out(np.concatenate(held))
+                    held.clear()
+        if held:
+            yield from out(np.concatenate(held))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in by_bucket(batches):
