@@ -196,6 +196,22 @@ def decode(encoded: DataFrame, *, ids_col="ids", text_col="text", model: str | N
     return rest.select("*", F.col(ids_col).alias(f"{text_col} ids")).mapInArrow(scan, f"{fields}, `{text_col}` string")
 
 
+def encode_checked(documents: DataFrame, *, text_col="text", model: str | None = None) -> DataFrame:
+    """documents with ids array<int>, n_tokens, and round_trip: whether the ids decode to the text."""
+    shipped, names = ship(documents.sparkSession, model), documents.columns
+
+    def scan(batches):
+        m = machine(shipped)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            ids = [m.encode(t) for t in texts]
+            same = [m.decode(k.tolist()) == t for k, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(ids), pa.array([len(k) for k in ids], pa.int64()), pa.array(same, pa.bool_())], names=[*names, "ids", "n_tokens", "round_trip"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
+    return documents.select("*", F.col(text_col).cast("string").alias("ids text")).mapInArrow(scan, f"{fields}, ids array<int>, n_tokens long, round_trip boolean")
+
+
 def report(documents: DataFrame, model: str | None = None) -> DataFrame:
     """The registered query's columns: count and digest of the ids (little-endian 32-bit), digest of the decoded text,
     and whether decoding gives the text back. Encoding and decoding happen in one pass, so no id list is shipped."""

@@ -2,12 +2,17 @@
 
 For radius r, every bit position gets a code of r + 1 bits, and each of the 2^(r+1) - 1 nonzero vectors v is one table: it
 keeps the positions whose code has an odd inner product with v. Up to r differing positions put at most r linear
-conditions on v, so some v drops them all: every pair within the radius shares a key in some table, without exception.
+conditions on v, so some v drops them all: every pair within the radius shares a key in some table, without exception. The
+codes are those of a first-order Reed-Muller code, so every table but one keeps half of the positions and that one all.
 
-Copies of a fingerprint are folded first; tables hold distinct fingerprints only. A key's fingerprints are compared in
-one task, which hands on a spanning forest of their links and never all pairs; a key with more than HEAVY fingerprints is
-dealt out as pairs of blocks, so that no task holds more than two blocks. Components come from alternating star
-contractions over those links, with the lineage cut in each round.
+Copies of a fingerprint are folded first; tables hold distinct fingerprints only, in packed blocks dealt out by key. What
+shares a key is compared in one task, which hands on a spanning forest of the links and never all pairs; a key with more
+than HEAVY fingerprints is first split by r + 1 stretches of bits, one of which any linked pair has in common. Components
+come from alternating star contractions over those links, with the lineage cut in each round.
+
+The operator can ask for a second agreement, of fingerprints over other shingles: `keep_first`, which keeps one document
+of each group, finds candidates by the distinct words (radius 6) and holds them to shingles of five words at a distance
+that a similarity of 0.8 stays within.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; rows with the same doc_id are
 separate documents; a null doc_id is never the smallest, and a component of null ids only has none.
@@ -23,23 +28,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, binary_parts, checkpointed, text_bytes, word_spans
+from .common import LOWER, NOT_SPACE, binary_parts, bucket_of, buckets_for, by_bucket, checkpointed, dealt, mix, split_by, text_bytes, word_spans
 
 WORDS = 3
 RADIUS = 3
 SEED = 42
 HEAVY = 8192
 SMALL = 8
+#: keep_first: radius over distinct words, words of a shingle, and the distance that goes with a similarity of 0.8 of
+#: shingle sets: cos = 2 * 0.8 / 1.8, 9.7 bits expected, 16 at more than two standard deviations above.
+GROUP_RADIUS, GROUP_WORDS, GROUP_NEAR = 6, 5, 16
 
 
 def masks(radius: int = RADIUS) -> list[int]:
-    """One 64-bit mask a table. Codes run through all values of radius + 1 bits in turn."""
-    codes = [1 + k % ((2 << radius) - 1) for k in range(64)]
+    """One 64-bit mask a table."""
+    codes = [1 << radius | k % (1 << radius) for k in range(64)]
     return [sum(1 << k for k, c in enumerate(codes) if (c & v).bit_count() & 1) for v in range(1, 2 << radius)]
 
 
-def fingerprints_of(buf: np.ndarray, bounds: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """SimHash of every text of a part."""
+def fingerprints_of(buf: np.ndarray, bounds: np.ndarray, words: int = WORDS, distinct: bool = False) -> np.ndarray:
+    """SimHash of every text of a part, over all shingles or over the distinct ones."""
     buf = LOWER[buf]
     start, end = word_spans(buf, bounds, NOT_SPACE)
     raw, n_docs = buf.tobytes(), len(bounds) - 1
@@ -58,14 +66,17 @@ def fingerprints_of(buf: np.ndarray, bounds: np.ndarray, words: int = WORDS) ->
             continue
         size = min(words, b - a)
         if odd[b - 1] == odd[a]:
-            hashes += [digest(raw[s:e], seed) for s, e in zip(starts[a : b - size + 1], ends[a + size - 1 : b], strict=True)]
+            shingles = [raw[s:e] for s, e in zip(starts[a : b - size + 1], ends[a + size - 1 : b], strict=True)]
         else:
             w = [raw[s:e] for s, e in zip(starts[a:b], ends[a:b], strict=True)]
             text = b" ".join(w)
             at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in w])])
             s, e = at[: b - a - size + 1].tolist(), (at[size:] - 1).tolist()
-            hashes += [digest(text[x:y], seed) for x, y in zip(s, e, strict=True)]
-        sizes[d] = b - a - size + 1
+            shingles = [text[x:y] for x, y in zip(s, e, strict=True)]
+        if distinct:
+            shingles = set(shingles)
+        hashes += [digest(x, seed) for x in shingles]
+        sizes[d] = len(shingles)
     out = np.zeros(n_docs, np.uint64)
     filled = np.flatnonzero(sizes)
     if len(filled):
@@ -77,20 +88,22 @@ def fingerprints_of(buf: np.ndarray, bounds: np.ndarray, words: int = WORDS) ->
     return out
 
 
-def fingerprints(documents: DataFrame, *, id_col="doc_id", text_col="text", keep: tuple[str, ...] = (), words: int = WORDS) -> DataFrame:
-    """id, fp (64 bits as a signed long), and the columns named in keep."""
+def fingerprints(documents: DataFrame, *, id_col="doc_id", text_col="text", keep: tuple[str, ...] = (), kinds: tuple[tuple[int, bool], ...] = ((WORDS, False),)) -> DataFrame:
+    """id, the columns named in keep, and a fingerprint (64 bits as a signed long) for each kind (words, distinct): fp,
+    and near for a second one."""
     fields = [f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in (id_col, *keep)]
+    names = ["fp", "near"][: len(kinds)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [fingerprints_of(buf, bounds, words) for _, _, buf, bounds in binary_parts(batch.column(batch.num_columns - 1))]
-            fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64))], names=[id_col, *keep, "fp"])
+            parts = [[fingerprints_of(buf, bounds, *kind) for kind in kinds] for _, _, buf, bounds in binary_parts(batch.column(batch.num_columns - 1))]
+            prints = [pa.array(np.concatenate([p[k] for p in parts]).view(np.int64) if parts else np.zeros(0, np.int64)) for k in range(len(kinds))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *prints], names=[id_col, *keep, *names])
 
-    return documents.select(id_col, *keep, text_bytes(text_col).alias("text bytes")).mapInArrow(scan, ", ".join([*fields, "fp long"]))
+    return documents.select(id_col, *keep, text_bytes(text_col).alias("text bytes")).mapInArrow(scan, ", ".join([*fields, *(f"{x} long" for x in names)]))
 
 
-def forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(fp: np.ndarray, near: np.ndarray, radius: int, within: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among some fingerprints: memory in proportion to their number."""
     left = np.arange(1, len(fp))
     a, b, queue = [], [], [0]
@@ -98,62 +111,91 @@ def forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         if not queue:
             queue, left = [int(left[0])], left[1:]
         k = queue.pop()
-        near = np.bitwise_count(fp[left] ^ fp[k]) <= radius
-        hit = left[near]
-        if len(hit):
-            a.append(np.full(len(hit), k))
-            b.append(hit)
-            queue += hit.tolist()
-            left = left[~near]
+        hit = np.bitwise_count(fp[left] ^ fp[k]) <= radius
+        if within < 64:
+            hit &= np.bitwise_count(near[left] ^ near[k]) <= within
+        found = left[hit]
+        if len(found):
+            a.append(np.full(len(found), k))
+            b.append(found)
+            queue += found.tolist()
+            left = left[~hit]
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
 
-def _links_of(group: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links inside each group of a sorted run of whole groups."""
-    if not len(group):
-        return
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+def links_of(group: np.ndarray, fp: np.ndarray, near: np.ndarray, radius: int, within: int, heavy: int = HEAVY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of linked pairs inside each group of rows sorted by group."""
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([first, [len(group)]]))
     small = np.repeat(size <= SMALL, size)
     for d in range(1, min(SMALL, len(group))):
-        hit = np.flatnonzero((group[d:] == group[:-d]) & small[d:] & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= radius))
+        hit = np.flatnonzero((group[d:] == group[:-d]) & small[d:] & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= radius) & (np.bitwise_count(near[d:] ^ near[:-d]) <= within))
         if len(hit):
-            yield fp[hit], fp[hit + d]
+            yield hit, hit + d
     for k in np.flatnonzero(size > SMALL):
-        own = fp[first[k] : first[k] + size[k]]
-        a, b = forest(own, radius)
-        yield own[a], own[b]
-
-
-def links(fps: DataFrame, *, radius: int = RADIUS, heavy: int = HEAVY) -> DataFrame:
-    """From distinct fp: pairs (a, b), a < b, within the radius, enough of them to connect all that are linked."""
-    tables = F.array(*[F.struct(F.lit(k).alias("table"), F.col("fp").bitwiseAND(F.lit(m - (m >> 63 << 64))).alias("key")) for k, m in enumerate(masks(radius))])
-    keys = fps.select("fp", F.inline(tables))
-    sizes = keys.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / heavy)
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = keys.join(sizes, ["table", "key"]).withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", other)
-    cell = F.xxhash64("table", "key", F.least("mine", "other"), F.greatest("mine", "other"))
-    cells = dealt.select(cell.alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell", "fp")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def out(c, f):
-            for a, b in _links_of(c, f, radius):
-                a, b = a.view(np.int64), b.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
+        own = np.arange(first[k], first[k] + size[k])
+        stretches = [None]
+        if size[k] > heavy:
+            edges = np.linspace(0, 64, radius + 2).astype(int)
+            stretches = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        for part in stretches:
+            value = np.zeros(len(own), np.uint64) if part is None else fp[own] >> part[0] & part[1]
+            order = np.argsort(value, kind="stable")
+            cut = np.flatnonzero(np.concatenate([[True], value[order][1:] != value[order][:-1]]))
+            for a, b in zip(cut, [*cut[1:], len(own)], strict=True):
+                rows = own[order[a:b]]
+                x, y = forest(fp[rows], near[rows], radius, within)
+                if len(x):
+                    yield rows[x], rows[y]
+
+
+def links(nodes: DataFrame, *, radius: int = RADIUS, within: int = 64) -> DataFrame:
+    """From distinct nodes (node, fp, near): pairs (a, b) of nodes, a < b, with fp within the radius and near within the
+    second distance; enough of them to connect all that are linked."""
+    n, tables = buckets_for(nodes), np.array(masks(radius), np.uint64)
+    layout = (("table", np.uint8), ("node", np.int64), ("fp", np.uint64), ("near", np.uint64))[: 4 if within < 64 else 3]
+    width = sum(np.dtype(t).itemsize for _, t in layout)
+    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+
+    def key_of(table: np.ndarray, fp: np.ndarray) -> np.ndarray:
+        return mix((fp & tables[table]) + (table.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell = np.concatenate([cell, batch.column(0).to_numpy()])
-            fp = np.concatenate([fp, batch.column(1).to_numpy().view(np.uint64)])
-            cut = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
-            yield from out(cell[:cut], fp[:cut])
-            cell, fp = cell[cut:], fp[cut:]
-        yield from out(cell, fp)
-
-    return cells.mapInArrow(scan, "a long, b long").where("a != b").distinct()
+            for low in range(0, batch.num_rows, 4096):
+                part = batch.slice(low, 4096)
+                cols = {"node": part.column(0).to_numpy(), "fp": part.column(1).to_numpy().view(np.uint64), "near": part.column(2).to_numpy().view(np.uint64)}
+                cols = {name: np.tile(x, len(tables)) for name, x in cols.items()}
+                cols["table"] = np.repeat(np.arange(len(tables)), part.num_rows)
+                order, at = split_by(bucket_of(key_of(cols["table"], cols["fp"]), n), n)
+                full = np.flatnonzero(np.diff(at))
+                cols = {name: cols[name][order].astype(t) for name, t in layout}
+                blobs = [b"".join(cols[name][at[b] : at[b + 1]].tobytes() for name, _ in layout) for b in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.zeros(len(full)), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_bucket(batches):
+            cols = {name: [] for name, _ in layout}
+            for r in rows:
+                count, at = len(r["blob"]) // width, 0
+                for name, t in layout:
+                    cols[name].append(np.frombuffer(r["blob"], t, count, at))
+                    at += count * np.dtype(t).itemsize
+            cols = {name: np.concatenate(x) for name, x in cols.items()}
+            cell = key_of(cols["table"], cols["fp"])
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            alone = np.ones(len(cell), bool)
+            alone[1:] &= cell[1:] != cell[:-1]
+            alone[:-1] &= cell[1:] != cell[:-1]
+            order, cell = order[~alone], cell[~alone]
+            node, fp = cols["node"][order], cols["fp"][order]
+            near = cols["near"][order] if "near" in cols else np.zeros(len(fp), np.uint64)
+            for a, b in links_of(cell, fp, near, radius, within):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
+
+    rows = nodes.select("node", "fp", F.col("near") if "near" in nodes.columns else F.lit(0).cast("long").alias("near"))
+    return dealt(rows.mapInArrow(deal, "bucket int, kind int, blob binary")).mapInArrow(compare, "a long, b long").where("a != b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -180,30 +222,33 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def label(prints: DataFrame, *, id_col="doc_id", radius: int = RADIUS, within: int = 64) -> DataFrame:
+    """prints with component_id, the smallest id of the component, and group, which is never null."""
+    both = ["fp", "near"] if "near" in prints.columns else ["fp"]
+    node = F.xxhash64("fp", "near") if len(both) > 1 else F.col("fp")
+    nodes = checkpointed(prints.groupBy(*both).agg(F.min(id_col).alias("least")).withColumn("node", node))
+    roots = components(links(nodes, radius=radius, within=within)).withColumnRenamed("node", "of")
+    rooted = nodes.join(roots, nodes.node == roots.of, "left").select(*both, "least", F.coalesce("root", "node").alias("group"))
+    names = rooted.join(rooted.groupBy("group").agg(F.min("least").alias("component_id")), "group").drop("least")
+    return prints.join(names, both)
+
+
 def near_duplicates(documents: DataFrame, *, id_col="doc_id", text_col="text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """id, fp and component_id, one row per document."""
-    prints = checkpointed(fingerprints(documents, id_col=id_col, text_col=text_col, words=words))
-    return label(prints, id_col=id_col, radius=radius)
-
-
-def label(prints: DataFrame, *, id_col="doc_id", radius: int = RADIUS) -> DataFrame:
-    """component_id for rows of id and fp."""
-    fps = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = components(links(fps.select("fp"), radius=radius))
-    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(names, "fp")
-
-
-def keep_first(documents: DataFrame, *, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """One document of each component: the smallest doc_id, of rows that share it the one of the smallest text hash.
-    Rows that are equal in both stay one; documents without doc_id are no copies of a known one only if nothing links."""
-    hashed = documents.withColumn("row hash", F.xxhash64("text", "source", "lang") if {"source", "lang"} <= set(documents.columns) else F.xxhash64("text"))
-    prints = checkpointed(fingerprints(hashed, keep=("row hash",), words=words))
-    labelled = label(prints, radius=radius).withColumn("group", F.coalesce("component_id", "fp"))
-    first = labelled.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row hash"))).alias("k")).select(F.col("k.doc_id").alias("kept id"), F.col("k.row hash").alias("kept hash"))
-    kept = hashed.join(first, hashed.doc_id.eqNullSafe(first["kept id"]) & (hashed["row hash"] == first["kept hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "row hash"]).select(*documents.columns)
+    prints = checkpointed(fingerprints(documents, id_col=id_col, text_col=text_col, kinds=((words, False),)))
+    return label(prints, id_col=id_col, radius=radius).select(id_col, "fp", "component_id")
+
+
+def keep_first(documents: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
+    """One document of each group: that of the smallest id (a null id comes last), of several the smallest text hash.
+    Rows equal in both are one document."""
+    marked = documents.withColumn("text hash", F.xxhash64(text_col))
+    prints = checkpointed(fingerprints(marked, id_col=id_col, text_col=text_col, keep=("text hash",), kinds=((1, True), (GROUP_WORDS, False))))
+    labelled = label(prints, id_col=id_col, radius=GROUP_RADIUS, within=GROUP_NEAR)
+    first = labelled.groupBy("group").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text hash").alias("h"))).alias("k"))
+    first = checkpointed(first.select(F.xxhash64("k.id", "k.h").alias("kept"), F.col("k.id").alias("kept id"), F.col("k.h").alias("kept hash")))
+    kept = marked.join(first, marked[id_col].eqNullSafe(first["kept id"]) & (marked["text hash"] == first["kept hash"]), "left_semi")
+    return kept.dropDuplicates([id_col, "text hash"]).select(*documents.columns)
 
 
 def report(documents: DataFrame) -> DataFrame:
