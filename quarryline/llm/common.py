@@ -120,8 +120,7 @@ def split_by(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def buckets_for(df: DataFrame) -> int:
     """Number of hash buckets for packed exchanges: it follows the session's shuffle width and the scan's."""
-    spark = df.sparkSession
-    return 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -150,9 +149,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dealt(packed: DataFrame) -> DataFrame:
-    """Packed rows (bucket, kind, ...) brought together by bucket, each bucket's kinds in order."""
-    return packed.repartition("bucket").sortWithinPartitions("bucket", "kind")
+def dealt(packed: DataFrame, n: int) -> DataFrame:
+    """Packed rows (bucket, kind, ...) brought together, one of n buckets a partition, kinds in order."""
+    return packed.repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind")
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:

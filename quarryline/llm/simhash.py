@@ -3,7 +3,8 @@
 For radius r, every bit position gets a code of r + 1 bits, and each of the 2^(r+1) - 1 nonzero vectors v is one table: it
 keeps the positions whose code has an odd inner product with v. Up to r differing positions put at most r linear
 conditions on v, so some v drops them all: every pair within the radius shares a key in some table, without exception. The
-codes are those of a first-order Reed-Muller code, so every table but one keeps half of the positions and that one all.
+codes are those of a first-order Reed-Muller code (for radius 7 with a bent function added), so every table but one keeps
+about half of the positions and that one all.
 
 Copies of a fingerprint are folded first; tables hold distinct fingerprints only, in packed blocks dealt out by key. What
 shares a key is compared in one task, which hands on a spanning forest of the links and never all pairs; a key with more
@@ -11,8 +12,8 @@ than HEAVY fingerprints is first split by r + 1 stretches of bits, one of which
 come from alternating star contractions over those links, with the lineage cut in each round.
 
 The operator can ask for a second agreement, of fingerprints over other shingles: `keep_first`, which keeps one document
-of each group, finds candidates by the distinct words (radius 6) and holds them to shingles of five words at a distance
-that a similarity of 0.8 stays within.
+of each group, finds candidates by the distinct pairs of words (radius 7) and holds them to shingles of five words at a
+distance that a similarity of 0.8 stays within.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; rows with the same doc_id are
 separate documents; a null doc_id is never the smallest, and a component of null ids only has none.
@@ -35,15 +36,22 @@ RADIUS = 3
 SEED = 42
 HEAVY = 8192
 SMALL = 8
-#: keep_first: radius over distinct words, words of a shingle, and the distance that goes with a similarity of 0.8 of
+#: keep_first: words of a distinct shingle and the radius, words of a shingle, and the distance that goes with a similarity of 0.8 of
 #: shingle sets: cos = 2 * 0.8 / 1.8, 9.7 bits expected, 16 at more than two standard deviations above.
-GROUP_RADIUS, GROUP_WORDS, GROUP_NEAR = 6, 5, 16
+GROUP_FIRST, GROUP_RADIUS, GROUP_WORDS, GROUP_NEAR = 2, 7, 5, 16
 
 
 def masks(radius: int = RADIUS) -> list[int]:
     """One 64-bit mask a table."""
-    codes = [1 << radius | k % (1 << radius) for k in range(64)]
-    return [sum(1 << k for k, c in enumerate(codes) if (c & v).bit_count() & 1) for v in range(1, 2 << radius)]
+    if not 0 <= radius <= 7:
+        raise ValueError("codes exist for radius 0 to 7")
+
+    def code(k: int) -> int:
+        bit = [k >> j & 1 for j in range(6)]
+        bent = bit[0] & bit[1] ^ bit[2] & bit[3] ^ bit[4] & bit[5]
+        return 1 | sum(b << 1 + j for j, b in enumerate([*bit, bent][:radius]))
+
+    return [sum(1 << k for k in range(64) if (code(k) & v).bit_count() & 1) for v in range(1, 2 << radius)]
 
 
 def fingerprints_of(buf: np.ndarray, bounds: np.ndarray, words: int = WORDS, distinct: bool = False) -> np.ndarray:
@@ -195,7 +203,7 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, within: int = 64) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
 
     rows = nodes.select("node", "fp", F.col("near") if "near" in nodes.columns else F.lit(0).cast("long").alias("near"))
-    return dealt(rows.mapInArrow(deal, "bucket int, kind int, blob binary")).mapInArrow(compare, "a long, b long").where("a != b").distinct()
+    return dealt(rows.mapInArrow(deal, "bucket int, kind int, blob binary"), n).mapInArrow(compare, "a long, b long").where("a != b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -243,7 +251,7 @@ def keep_first(documents: DataFrame, *, id_col="doc_id", text_col="text") -> Dat
     """One document of each group: that of the smallest id (a null id comes last), of several the smallest text hash.
     Rows equal in both are one document."""
     marked = documents.withColumn("text hash", F.xxhash64(text_col))
-    prints = checkpointed(fingerprints(marked, id_col=id_col, text_col=text_col, keep=("text hash",), kinds=((1, True), (GROUP_WORDS, False))))
+    prints = checkpointed(fingerprints(marked, id_col=id_col, text_col=text_col, keep=("text hash",), kinds=((GROUP_FIRST, True), (GROUP_WORDS, False))))
     labelled = label(prints, id_col=id_col, radius=GROUP_RADIUS, within=GROUP_NEAR)
     first = labelled.groupBy("group").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text hash").alias("h"))).alias("k"))
     first = checkpointed(first.select(F.xxhash64("k.id", "k.h").alias("kept"), F.col("k.id").alias("kept id"), F.col("k.h").alias("kept hash")))
