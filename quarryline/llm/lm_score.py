@@ -191,14 +191,14 @@ class Model:
         u, back = np.unique(h, return_inverse=True)
         return _MEANS[filt.levels(u)][back]
 
-    def log10(self, t: np.ndarray) -> np.ndarray:
-        """Log-probability of each token behind the one before it."""
+    def log10(self, t: np.ndarray, distinct: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Log-probability of each token behind the one before it; t is distinct[place]."""
         if not len(t):
             return np.zeros(0)
-        own = self.read(self.one, t)
+        own = _MEANS[self.one.levels(distinct)][place]
         context = np.empty_like(own)
         context[1:] = own[:-1]
-        context[0] = self.read(self.one, np.array([END]))[0]
+        context[0] = _MEANS[self.one.levels(np.array([END]))[0]]
         pair = np.minimum(self.read(self.two, bigrams(t)), context)
         lower = (own + 1) / (self.total + self.types + 1)
         return np.log10(np.where(context > 0, self.mix * pair / np.maximum(context, 1) + (1 - self.mix) * lower, lower))
@@ -225,13 +225,13 @@ def score(documents: DataFrame, *, id_col="doc_id", text_col="text", mix_weight:
         schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary()), ("id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for low, high, buf, bounds in binary_parts(batch.column(1), PART):
+            for low, high, buf, bounds in binary_parts(batch.column(1), PART // 2):
                 t, of = tokens(buf, bounds)
                 m = high - low
                 row = span_hash(prefix_hash(buf), bounds[:-1], bounds[1:]).view(np.int64)
                 doc = np.repeat(np.arange(m), np.diff(of))
-                model_log = np.add.reduceat(model.log10(t), of[:-1]) if m else np.zeros(0)
                 u, back = np.unique(t, return_inverse=True)
+                model_log = np.add.reduceat(model.log10(t, u, back), of[:-1]) if m else np.zeros(0)
                 k = np.minimum(np.searchsorted(model.head_h, u), max(0, len(model.head_h) - 1))
                 in_head = model.head_h[k] == u if len(model.head_h) else np.zeros(len(u), bool)
                 c = np.where(in_head, model.head_c[k] if len(model.head_h) else 0, 0)
