@@ -28,10 +28,13 @@ def union_batches(batches: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [b.withColumn("_batch", F.lit(k)) for k, b in enumerate(batches)])
 
 
-def stream_files(spark: SparkSession, folder: str, schema, *, source: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
+def stream_files(spark: SparkSession, folder: str, schema, *, source: str = "parquet", files_per_batch: int | None = None, pattern: str | None = None) -> DataFrame:
+    """New files of a folder, those whose name fits a pattern, as a stream."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
     return reader.format(source).load(folder)
 
 
