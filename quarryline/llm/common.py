@@ -56,7 +56,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n + 1:
-        size = max(n + 1, 1 << 22)
+        size = max(n + 1, 2 * len(_powers[0]), 1 << 20)
         for k, base in enumerate((_BASE, _BASE_INV)):
             p = np.full(size, base, np.uint64)
             p[0] = 1

@@ -7,8 +7,8 @@ one if merging their joint text by the model's priorities gives p, q again, and
 merges is local in this sense: a path is the model's segmentation exactly when each of its arcs is finite. So the tropical
 shortest path through the composition of an input with the machine, found position by position, is the library's result.
 
-No piece holds U+2581 behind another character, so inputs are composed one stretch (U+2581s and what follows) at a time;
-stretches and arc weights that were worked out are remembered in bounded tables of a worker.
+No piece holds U+2581 behind another character, nor most punctuation behind a letter, so inputs are composed one stretch at
+a time, which ends where no piece reaches across; stretches and arc weights that were worked out are remembered in bounded tables of a worker.
 
 Defined results: null texts count as empty; an empty text has no ids; decoding replaces broken UTF-8 by U+FFFD.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .vocabulary import SPACE, Pieces
 
 #: Entries of the worker's table of stretches, about 200 bytes each, before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 INF = float("inf")
 _machines: dict[int, Transducer] = {}
 
@@ -51,6 +52,9 @@ class Transducer:
         self.arcs.make_automaton()
         inner = "".join(map(re.escape, sorted(known - {SPACE})))
         self.cut = re.compile(f"{SPACE}*[{inner}]+|{SPACE}+|.", re.S)
+        self.letters = frozenset(c for c in known if c.isalpha())
+        #: What no piece holds right behind a letter.
+        self.behind = frozenset(known - {SPACE} - {b for p in self.score for a, b in zip(p, p[1:], strict=False) if a in self.letters})
         #: Whether the arc from piece p to piece q, under the key p * labels + q, has a finite weight.
         self.finite: dict[int, bool] = {}
         self.table = _Remembered(self)
@@ -73,7 +77,7 @@ class Transducer:
         return parts
 
     def weigh(self, p: int, q: int) -> bool:
-        if len(self.finite) >= 4 * REMEMBERED:
+        if len(self.finite) >= REMEMBERED:
             self.finite.clear()
         a, b = self.labels[p], self.labels[q]
         ok = self.finite[p * len(self.labels) + q] = self.merged(a + b) == ([a, b] if a else [b])
@@ -82,21 +86,29 @@ class Transducer:
     def shortest(self, stretch: str) -> list[int]:
         """Labels on the shortest path of one stretch of known characters. Exactly one arc of finite total weight ends
         at a position that the path of some prefix reaches, so the first one found is the shortest."""
-        last: list[int] = [0] + [-1] * len(stretch)
-        finite, n = self.finite, len(self.labels)
+        n, labels = len(self.labels), self.labels
+        last, known = [-1] * (len(stretch) + 1), self.finite.get
+        last[0] = 0
         for end, (size, q) in self.arcs.iter(stretch):
             end += 1
-            if last[end] < 0:
-                p = last[end - size]
-                if p >= 0:
-                    ok = finite.get(p * n + q)
-                    if self.weigh(p, q) if ok is None else ok:
-                        last[end] = q
+            if last[end] < 0 and (p := last[end - size]) >= 0:
+                ok = known(p * n + q)
+                if ok or ok is None and self.weigh(p, q):
+                    last[end] = q
         out, end = [], len(stretch)
         while end:
-            out.append(last[end])
-            end -= len(self.labels[last[end]])
-        return out[::-1]
+            q = last[end]
+            out.append(q)
+            end -= len(labels[q])
+        out.reverse()
+        return out
+
+    def tail(self, stretch: str) -> int:
+        """Where the punctuation at the end of a stretch begins, if no piece reaches from the letter before into it; or 0."""
+        k = len(stretch)
+        while k and stretch[k - 1] not in self.letters:
+            k -= 1
+        return k if k < len(stretch) and stretch[k] in self.behind else 0
 
     def output(self, stretch: str) -> bytes:
         """Ids of a stretch, as packed 32-bit integers."""
@@ -107,7 +119,7 @@ class Transducer:
                 out.append(self.ids[k])
             else:
                 out += self.fallback(self.labels[k])
-        return np.array(out if path else self.fallback(stretch), np.int32).tobytes()
+        return array("i", out if path else self.fallback(stretch)).tobytes()
 
     def fallback(self, c: str) -> list[int]:
         ids = self.pieces.byte_ids
@@ -129,7 +141,8 @@ class _Remembered(dict):
     def __missing__(self, stretch: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        out = self.machine.output(stretch)
+        k = self.machine.tail(stretch)
+        out = self[stretch[:k]] + self[stretch[k:]] if k else self.machine.output(stretch)
         if len(stretch) <= 64:
             self[stretch] = out
         return out
