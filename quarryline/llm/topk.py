@@ -24,6 +24,8 @@ SCALE = 64
 SEED = 4096
 QUERY_BLOCK = 32768
 CAND_BLOCK = 2048
+#: Share of pairs left by the bound from which a block's scores come from one matrix product.
+DENSE = 0.02
 EVERY = 20
 K = 20
 
@@ -85,6 +87,7 @@ class Search:
         self.ids, self.queries, self.rotation, self.k = ids, queries, rotation, k
         self.lead = max(1, queries.shape[1] // 4)
         self.turned, self.length, self.rest = self.turn(queries)
+        self.doubles, self.most = queries.astype(np.float64), float(np.abs(queries).max(initial=0))
 
     def turn(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = v.astype(np.float64)
@@ -98,10 +101,21 @@ class Search:
         alive = np.flatnonzero(self.length * length.max() + slack >= best.floor)
         if not len(alive):
             return False
+        exact = v.astype(np.float64) if self.most * float(np.abs(v).max(initial=0)) * v.shape[1] < 2**53 else None
         for part in np.array_split(alive, -(-len(alive) // 1024)):
             bound = self.turned[part] @ y.T
             bound += np.outer(self.rest[part], rest)
-            q, c = np.nonzero(bound >= (best.floor[part] - slack[part])[:, None])
+            left = bound >= (best.floor[part] - slack[part])[:, None]
+            if exact is not None and np.count_nonzero(left) > DENSE * left.size:
+                # most pairs are left: whole numbers below 2^53 add up exactly in doubles, so one product gives all scores
+                score = self.doubles[part] @ exact.T
+                left &= score >= best.floor[part][:, None]
+                q, c = np.nonzero(left)
+                score = score[q, c].astype(np.int64)
+                own = self.ids[part[q]] != ids[c]
+                best.add(part[q][own], ids[c][own], score[own])
+                continue
+            q, c = np.nonzero(left)
             q = part[q]
             own = self.ids[q] != ids[c]
             q, c = q[own], c[own]
