@@ -227,6 +227,12 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
 def find_overlaps(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: id, the columns named in keep, n_words, hits array<struct<start,end>> (byte spans to remove: merged
     runs of hit words), n_hit, item_ids (distinct, sorted as strings)."""
+    found = _found(documents, benchmark, id_col, text_col, item_col, item_text, window, block_bytes, keep)
+    return found.withColumnsRenamed({"id": id_col, **{f"keep_{c}": c for c in keep}})
+
+
+def _found(documents, benchmark, id_col, text_col, item_col, item_text, window, block_bytes, keep) -> DataFrame:
+    """As find_overlaps, but the id is `id` and kept columns are prefixed, so that no name clashes."""
     picked = documents.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     kept = [f"keep_{c} {documents.schema[c].dataType.simpleString()}" for c in keep]
     id_type = documents.schema[id_col].dataType.simpleString()
@@ -261,7 +267,7 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id"
     out = passes[0]
     if len(passes) > 1:
         out = _merged(passes, ["id", *[f"keep_{c}" for c in keep]])
-    return out.withColumn("hits", F.transform("hit_words", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))).drop("hit_words").withColumnsRenamed({"id": id_col, **{f"keep_{c}": c for c in keep}})
+    return out.withColumn("hits", F.transform("hit_words", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))).drop("hit_words")
 
 
 def _merged(passes: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -279,14 +285,16 @@ def _merged(passes: list[DataFrame], keys: list[str]) -> DataFrame:
     return grouped.withColumn("n_hit", F.expr("aggregate(hit_words, 0L, (a, x) -> a + x.n)")).select(*keys, "n_words", "n_hit", "hit_words", "item_ids")
 
 
-def remove_overlaps(documents: DataFrame, benchmark: DataFrame, *, text_col="text", window: int = WINDOW) -> DataFrame:
+def remove_overlaps(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", window: int = WINDOW) -> DataFrame:
     """documents with every hit span cut out of the text; a document without hits stays as it is."""
     names = documents.columns
-    others = tuple(c for c in names if c != "doc_id")
-    found = find_overlaps(documents, benchmark, text_col=text_col, window=window, keep=others)
-    pieces = F.expr("transform(sequence(0, size(hits)), i -> decode(substring(b, CASE WHEN i = 0 THEN 1 ELSE int(hits[i - 1].end) + 1 END, CASE WHEN i = size(hits) THEN length(b) ELSE int(hits[i].start) - CASE WHEN i = 0 THEN 0 ELSE int(hits[i - 1].end) END END), 'UTF-8'))")
-    clean = F.when(F.size("hits") == 0, F.col(text_col)).otherwise(F.array_join(pieces, ""))
-    return found.withColumn("b", F.col(text_col).cast("binary")).withColumn(text_col, clean).select(*names)
+    found = _found(documents, benchmark, id_col, text_col, "item_id", "text", window, BLOCK_BYTES, tuple(names))
+    text = F.col(f"keep_{text_col}")
+    low = "CASE WHEN i = 0 THEN 0 ELSE int(hits[i - 1].end) END"
+    high = "CASE WHEN i = size(hits) THEN length(bytes) ELSE int(hits[i].start) END"
+    pieces = F.expr(f"transform(sequence(0, size(hits)), i -> decode(substring(bytes, 1 + {low}, {high} - {low}), 'UTF-8'))")
+    found = found.withColumn("bytes", text.cast("string").cast("binary")).withColumn("cut", F.when(F.size("hits") > 0, F.array_join(pieces, "")).otherwise(text))
+    return found.select(*[F.col("cut" if c == text_col else f"keep_{c}").alias(c) for c in names])
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

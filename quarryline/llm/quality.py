@@ -262,4 +262,5 @@ def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(documents: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """documents without those that the classifier rejects."""
-    return score(documents, fit(documents, labels)).where(F.col("score") >= threshold).select(*documents.columns)
+    scored = score(documents, fit(documents, labels), out_col="quality score")
+    return scored.where(F.col("quality score") >= threshold).select(*documents.columns)
