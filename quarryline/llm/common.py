@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -39,8 +40,15 @@ NOT_SPACE = byte_class(r"[^\x20\x09-\x0D]")
 ALNUM = byte_class(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch, unless the session does: 10,000 long texts at once are more than a worker needs."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, "4m")
+
+
 def text_bytes(c: str = "text"):
     """A text as UTF-8 bytes; null counts as empty."""
+    small_batches(SparkSession.getActiveSession())
     return F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")
 
 
@@ -92,7 +100,7 @@ def word_spans(buf: np.ndarray, bounds: np.ndarray, inside: np.ndarray) -> tuple
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def binary_parts(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def binary_parts(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of a binary column of about `limit` bytes each (one row at least): (low, high, bytes, bounds)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

@@ -23,7 +23,7 @@ from .common import ALNUM, LOWER, binary_parts, ints, prefix_hash, span_hash, te
 
 WINDOW = 8
 SAMPLE = 8
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 #: Phrases are shipped to the workers in blocks of at most this many bytes of benchmark text; each block is one pass.
 BLOCK_BYTES = 32 << 20
 

@@ -30,7 +30,7 @@ STEP = 1.5
 PROBES = 7
 FILTER_MB = 64
 HEAD = 1 << 19
-PART = 4 << 20
+PART = 2 << 20
 #: Tokens whose n-grams are counted together before they are packed.
 TOGETHER = 2_500_000
 NO_ID = -(1 << 63)
@@ -225,7 +225,7 @@ def score(documents: DataFrame, *, id_col="doc_id", text_col="text", mix_weight:
         schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary()), ("id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for low, high, buf, bounds in binary_parts(batch.column(1), PART // 2):
+            for low, high, buf, bounds in binary_parts(batch.column(1), PART):
                 t, of = tokens(buf, bounds)
                 m = high - low
                 row = span_hash(prefix_hash(buf), bounds[:-1], bounds[1:]).view(np.int64)

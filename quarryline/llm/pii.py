@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("iban", "phone_national", "ssn")
 THRESHOLD = 0.7
@@ -141,6 +143,7 @@ def redact_text(text: str, spans: list[Span]) -> str:
 
 def find_pii(documents: DataFrame, *, id_col="doc_id", text_col="text", threshold: float = THRESHOLD) -> DataFrame:
     """Per document: id, base and more as array<struct<kind,start,end,score>>."""
+    small_batches(documents.sparkSession)
     id_type = documents.schema[id_col].dataType.simpleString()
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
@@ -156,6 +159,7 @@ def find_pii(documents: DataFrame, *, id_col="doc_id", text_col="text", threshol
 
 def redact(documents: DataFrame, *, text_col="text", threshold: float = THRESHOLD) -> DataFrame:
     """documents with every span of personal data in the text replaced by its kind; null texts stay null."""
+    small_batches(documents.sparkSession)
     at = documents.columns.index(text_col)
 
     def scan(batches):

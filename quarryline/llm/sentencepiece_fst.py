@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .vocabulary import SPACE, Pieces
 
 #: Entries of the worker's table of stretches, about 200 bytes each, before it starts anew.
@@ -181,6 +182,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 def encode(documents: DataFrame, *, text_col="text", model: str | None = None, ids_col="ids") -> DataFrame:
     """documents with a column of ids, array<int>; every other column stays."""
+    small_batches(documents.sparkSession)
     shipped, names = ship(documents.sparkSession, model), documents.columns
 
     def scan(batches):
@@ -211,6 +213,7 @@ def decode(encoded: DataFrame, *, ids_col="ids", text_col="text", model: str | N
 
 def encode_checked(documents: DataFrame, *, text_col="text", model: str | None = None) -> DataFrame:
     """documents with ids array<int>, n_tokens, and round_trip: whether the ids decode to the text."""
+    small_batches(documents.sparkSession)
     shipped, names = ship(documents.sparkSession, model), documents.columns
 
     def scan(batches):
@@ -228,6 +231,7 @@ def encode_checked(documents: DataFrame, *, text_col="text", model: str | None =
 def report(documents: DataFrame, model: str | None = None) -> DataFrame:
     """The registered query's columns: count and digest of the ids (little-endian 32-bit), digest of the decoded text,
     and whether decoding gives the text back. Encoding and decoding happen in one pass, so no id list is shipped."""
+    small_batches(documents.sparkSession)
     shipped = ship(documents.sparkSession, model)
     id_type = documents.schema["doc_id"].dataType.simpleString()
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .vocabulary import SPACE, Pieces
 
 #: Entries of the worker's table of words before it starts anew.
@@ -101,6 +102,7 @@ def _counter(broadcast, number: int) -> Counter:
 
 def count_tokens(documents: DataFrame, *, text_col="text", model: str | None = None, out_col="n_tokens") -> DataFrame:
     """documents with the number of tokens of a text; every other column stays."""
+    small_batches(documents.sparkSession)
     broadcast = documents.sparkSession.sparkContext.broadcast(unigram_scores(Pieces.load(model)))
     number, names = broadcast._jbroadcast.id(), documents.columns
 
