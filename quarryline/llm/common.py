@@ -6,6 +6,8 @@ position or a word costs a few nanoseconds and no Python object.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -46,6 +48,31 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, "4m")
 
 
+def trimmed(scan):
+    """A function over batches that gives its worker's freed memory back to the system while it runs and when it ends, for
+    workers are kept for later stages."""
+
+    @functools.wraps(scan)
+    def run(batches):
+        try:
+            for number, out in enumerate(scan(batches)):
+                yield out
+                if number % 32 == 31:
+                    release()
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_bytes(c: str = "text"):
     """A text as UTF-8 bytes; null counts as empty."""
     small_batches(SparkSession.getActiveSession())

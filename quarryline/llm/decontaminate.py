@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, binary_parts, ints, prefix_hash, span_hash, text_bytes, word_spans
+from .common import ALNUM, LOWER, binary_parts, prefix_hash, span_hash, text_bytes, trimmed, word_spans
 
 WINDOW = 8
 SAMPLE = 8
@@ -241,6 +241,7 @@ def _found(documents, benchmark, id_col, text_col, item_col, item_text, window,
     for block in _blocks(benchmark, item_col, item_text, block_bytes):
         shipped = documents.sparkSession.sparkContext.broadcast(Phrases(block, window))
 
+        @trimmed
         def scan(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             phrases = shipped.value
             for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, binary_parts, bucket_of, buckets_for, by_bucket, checkpointed, dealt, joined, mix, prefix_hash, span_hash, text_bytes, word_spans
+from .common import LOWER, NOT_SPACE, binary_parts, bucket_of, buckets_for, by_bucket, checkpointed, dealt, joined, mix, prefix_hash, span_hash, text_bytes, trimmed, word_spans
 
 FOLDS, HELD = 7, 2
 MIX = 0.1
@@ -88,6 +88,7 @@ def _read(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
 def gather(training: DataFrame, text_col: str, n: int) -> DataFrame:
     """Blocks (bucket, kind 1 or 2, h, c, types, total, keys) of the counts of all n-grams."""
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(t: np.ndarray) -> Iterator[pa.RecordBatch]:
             for order in (1, 2):
@@ -103,6 +104,7 @@ def gather(training: DataFrame, text_col: str, n: int) -> DataFrame:
         if held:
             yield from out(np.concatenate(held))
 
+    @trimmed
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in by_bucket(batches):
             out = []
@@ -169,6 +171,7 @@ def build_fields(blocks: DataFrame, keys: int, filter_mb: int) -> list[dict[int,
     """Bit fields by bucket of each order; together they stay within filter_mb."""
     per_key = min(PROBES / np.log(2), filter_mb * 8e6 / max(1, keys))
 
+    @trimmed
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -220,6 +223,7 @@ def score(documents: DataFrame, *, id_col="doc_id", text_col="text", mix_weight:
     scale = float(np.log10(total + types + 1))
     entry = np.dtype([("h", "<u8"), ("id", "<i8"), ("row", "<i8"), ("tf", "<u4")])
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary()), ("id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
@@ -253,6 +257,7 @@ def score(documents: DataFrame, *, id_col="doc_id", text_col="text", mix_weight:
 
     fields_out = "id long, row long, n long, known long, logs double, score double"
 
+    @trimmed
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c, bucket = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
         names = ["id", "row", "n", "known", "logs", "score"]

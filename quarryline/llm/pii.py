@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, trimmed
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("iban", "phone_national", "ssn")
@@ -147,6 +147,7 @@ def find_pii(documents: DataFrame, *, id_col="doc_id", text_col="text", threshol
     id_type = documents.schema[id_col].dataType.simpleString()
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
+    @trimmed
     def scan(batches):
         for batch in batches:
             both = [find_spans(t.as_py(), threshold) for t in batch.column(1)]
@@ -162,6 +163,7 @@ def redact(documents: DataFrame, *, text_col="text", threshold: float = THRESHOL
     small_batches(documents.sparkSession)
     at = documents.columns.index(text_col)
 
+    @trimmed
     def scan(batches):
         for batch in batches:
             texts = batch.column(at).to_pylist()

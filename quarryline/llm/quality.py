@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, binary_parts, byte_class, prefix_hash, span_hash, text_bytes, word_spans
+from .common import LOWER, NOT_SPACE, binary_parts, byte_class, prefix_hash, span_hash, text_bytes, trimmed, word_spans
 
 #: Bound of the training sample, in documents.
 TRAIN_DOCS = 6000
@@ -222,6 +222,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="t
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(train_docs)
     texts = documents.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t")).join(F.broadcast(chosen), "id").select("id", "y", "t")
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, buf, bounds in binary_parts(batch.column(2)):
@@ -244,6 +245,7 @@ def score(documents: DataFrame, field: Field, *, text_col="text", out_col="score
     """documents with a score; every other column stays."""
     shipped, names = documents.sparkSession.sparkContext.broadcast(field), documents.columns
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [shipped.value.score(*line_features(buf, bounds)) for _, _, buf, bounds in binary_parts(batch.column(batch.num_columns - 1))]

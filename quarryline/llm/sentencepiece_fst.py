@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, trimmed
 from .vocabulary import SPACE, Pieces
 
 #: Entries of the worker's table of stretches, about 200 bytes each, before it starts anew.
@@ -185,6 +185,7 @@ def encode(documents: DataFrame, *, text_col="text", model: str | None = None, i
     small_batches(documents.sparkSession)
     shipped, names = ship(documents.sparkSession, model), documents.columns
 
+    @trimmed
     def scan(batches):
         m = machine(shipped)
         for batch in batches:
@@ -201,6 +202,7 @@ def decode(encoded: DataFrame, *, ids_col="ids", text_col="text", model: str | N
     rest = encoded.drop(text_col) if text_col != ids_col else encoded
     names = rest.columns
 
+    @trimmed
     def scan(batches):
         m = machine(shipped)
         for batch in batches:
@@ -216,6 +218,7 @@ def encode_checked(documents: DataFrame, *, text_col="text", model: str | None =
     small_batches(documents.sparkSession)
     shipped, names = ship(documents.sparkSession, model), documents.columns
 
+    @trimmed
     def scan(batches):
         m = machine(shipped)
         for batch in batches:
@@ -235,6 +238,7 @@ def report(documents: DataFrame, model: str | None = None) -> DataFrame:
     shipped = ship(documents.sparkSession, model)
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
+    @trimmed
     def scan(batches):
         m = machine(shipped)
         for batch in batches:

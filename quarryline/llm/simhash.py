@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, binary_parts, bucket_of, buckets_for, by_bucket, checkpointed, dealt, mix, split_by, text_bytes, word_spans
+from .common import LOWER, NOT_SPACE, binary_parts, bucket_of, buckets_for, by_bucket, checkpointed, dealt, mix, split_by, text_bytes, trimmed, word_spans
 
 WORDS = 3
 RADIUS = 3
@@ -102,6 +102,7 @@ def fingerprints(documents: DataFrame, *, id_col="doc_id", text_col="text", keep
     fields = [f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in (id_col, *keep)]
     names = ["fp", "near"][: len(kinds)]
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [[fingerprints_of(buf, bounds, *kind) for kind in kinds] for _, _, buf, bounds in binary_parts(batch.column(batch.num_columns - 1))]
@@ -168,6 +169,7 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, within: int = 64) -> DataFr
     def key_of(table: np.ndarray, fp: np.ndarray) -> np.ndarray:
         return mix((fp & tables[table]) + (table.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
+    @trimmed
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 4096):
@@ -181,6 +183,7 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, within: int = 64) -> DataFr
                 blobs = [b"".join(cols[name][at[b] : at[b + 1]].tobytes() for name, _ in layout) for b in full]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.zeros(len(full)), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
+    @trimmed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_bucket(batches):
             cols = {name: [] for name, _ in layout}

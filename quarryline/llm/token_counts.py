@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, trimmed
 from .vocabulary import SPACE, Pieces
 
 #: Entries of the worker's table of words before it starts anew.
@@ -106,6 +106,7 @@ def count_tokens(documents: DataFrame, *, text_col="text", model: str | None = N
     broadcast = documents.sparkSession.sparkContext.broadcast(unigram_scores(Pieces.load(model)))
     number, names = broadcast._jbroadcast.id(), documents.columns
 
+    @trimmed
     def scan(batches):
         counter = _counter(broadcast, number)
         for batch in batches:

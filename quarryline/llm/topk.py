@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 SCALE = 64
 SEED = 4096
 QUERY_BLOCK = 32768
@@ -137,6 +139,7 @@ def top_k(vectors: DataFrame, *, id_col="vec_id", vec_col="embedding", every: in
     if not width:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
+    @trimmed
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
         for batch in batches:
@@ -171,6 +174,7 @@ def top_k(vectors: DataFrame, *, id_col="vec_id", vec_col="embedding", every: in
             search.scan(seed_ids[a : a + CAND_BLOCK], seed_v[a : a + CAND_BLOCK], start)
         shipped = spark.sparkContext.broadcast((search, start.floor))
 
+        @trimmed
         def scan(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             search, floor = shipped.value
             best, go = Ranked(floor.copy(), k), True
