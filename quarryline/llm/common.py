@@ -184,23 +184,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dealt(packed: DataFrame, n: int) -> DataFrame:
-    """Packed rows (bucket, kind, ...) brought together, one of n buckets a partition, kinds in order."""
-    return packed.repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind")
-
-
-def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """The rows of one bucket after the other, from sorted batches."""
-    now, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["bucket"] != now:
-                if rows:
-                    yield now, rows
-                now, rows = row["bucket"], []
-            rows.append(row)
-    if rows:
-        yield now, rows
+def dealt(packed: DataFrame, n: int, *, ordered: bool = False) -> DataFrame:
+    """Packed rows (bucket, kind, ...) brought together, one of n buckets a partition; ordered: kinds one after the other."""
+    out = packed.repartitionById(n, "bucket")
+    return out.sortWithinPartitions("kind") if ordered else out
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> list[dict]:
+    """All rows of a partition that holds one bucket."""
+    return [row for batch in batches for row in batch.to_pylist()]
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:

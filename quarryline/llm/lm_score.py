@@ -106,21 +106,21 @@ def gather(training: DataFrame, text_col: str, n: int) -> DataFrame:
 
     @trimmed
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in by_bucket(batches):
-            out = []
-            for order in (1, 2):
-                h, c = _read([r for r in rows if r["kind"] == order])
-                if not len(h):
-                    continue
-                by = np.argsort(h, kind="stable")
-                h, c = h[by], c[by]
-                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                h, c = h[first], np.add.reduceat(c, first)
-                types, total = len(h), int(c.sum())
-                if order == 2:
-                    h, c = h[c > 1], c[c > 1]
-                out.append({"bucket": bucket, "kind": order, "h": h.tobytes(), "c": c.tobytes(), "types": types, "total": total, "keys": int(level(c).sum())})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([*_BLOCK, ("types", pa.int64()), ("total", pa.int64()), ("keys", pa.int64())]))
+        rows = by_bucket(batches)
+        out = []
+        for order in (1, 2):
+            h, c = _read([r for r in rows if r["kind"] == order])
+            if not len(h):
+                continue
+            by = np.argsort(h, kind="stable")
+            h, c = h[by], c[by]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            h, c = h[first], np.add.reduceat(c, first)
+            types, total = len(h), int(c.sum())
+            if order == 2:
+                h, c = h[c > 1], c[c > 1]
+            out.append({"bucket": rows[0]["bucket"], "kind": order, "h": h.tobytes(), "c": c.tobytes(), "types": types, "total": total, "keys": int(level(c).sum())})
+        yield pa.RecordBatch.from_pylist(out, pa.schema([*_BLOCK, ("types", pa.int64()), ("total", pa.int64()), ("keys", pa.int64())]))
 
     blocks = training.select(text_bytes(text_col).alias("t")).mapInArrow(count, "bucket int, kind int, h binary, c binary")
     return dealt(blocks, n).mapInArrow(merge, "bucket int, kind int, h binary, c binary, types long, total long, keys long")
@@ -294,7 +294,7 @@ def score(documents: DataFrame, *, id_col="doc_id", text_col="text", mix_weight:
     asked = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_bytes(text_col).alias("t")).mapInArrow(scan, "bucket int, kind int, blob binary, " + fields_out)
     tail = blocks.where("kind = 1").mapInArrow(_tail_counts, "bucket int, blob binary")
     tail = tail.select("bucket", F.lit(0).alias("kind"), "blob", *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in fields_out.split(", "))])
-    parts = dealt(asked.unionByName(tail), n).mapInArrow(answer, fields_out)
+    parts = dealt(asked.unionByName(tail), n, ordered=True).mapInArrow(answer, fields_out)
     summed = parts.groupBy("id", "row").agg(F.sum("n").alias("n_all"), F.count("n").alias("rows"), F.sum("known").alias("known_all"), F.sum("logs").alias("logs_all"), F.max("score").alias("score"))
     each = summed.where("rows > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     id_known = documents.select(id_col).schema[0].dataType.simpleString()

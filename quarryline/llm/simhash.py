@@ -185,25 +185,27 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, within: int = 64) -> DataFr
 
     @trimmed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_bucket(batches):
-            cols = {name: [] for name, _ in layout}
-            for r in rows:
-                count, at = len(r["blob"]) // width, 0
-                for name, t in layout:
-                    cols[name].append(np.frombuffer(r["blob"], t, count, at))
-                    at += count * np.dtype(t).itemsize
-            cols = {name: np.concatenate(x) for name, x in cols.items()}
-            cell = key_of(cols["table"], cols["fp"])
-            order = np.argsort(cell, kind="stable")
-            cell = cell[order]
-            alone = np.ones(len(cell), bool)
-            alone[1:] &= cell[1:] != cell[:-1]
-            alone[:-1] &= cell[1:] != cell[:-1]
-            order, cell = order[~alone], cell[~alone]
-            node, fp = cols["node"][order], cols["fp"][order]
-            near = cols["near"][order] if "near" in cols else np.zeros(len(fp), np.uint64)
-            for a, b in links_of(cell, fp, near, radius, within):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
+        rows = by_bucket(batches)
+        if not rows:
+            return
+        cols = {name: [] for name, _ in layout}
+        for r in rows:
+            count, at = len(r["blob"]) // width, 0
+            for name, t in layout:
+                cols[name].append(np.frombuffer(r["blob"], t, count, at))
+                at += count * np.dtype(t).itemsize
+        cols = {name: np.concatenate(x) for name, x in cols.items()}
+        cell = key_of(cols["table"], cols["fp"])
+        order = np.argsort(cell, kind="stable")
+        cell = cell[order]
+        alone = np.ones(len(cell), bool)
+        alone[1:] &= cell[1:] != cell[:-1]
+        alone[:-1] &= cell[1:] != cell[:-1]
+        order, cell = order[~alone], cell[~alone]
+        node, fp = cols["node"][order], cols["fp"][order]
+        near = cols["near"][order] if "near" in cols else np.zeros(len(fp), np.uint64)
+        for a, b in links_of(cell, fp, near, radius, within):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
 
     rows = nodes.select("node", "fp", F.col("near") if "near" in nodes.columns else F.lit(0).cast("long").alias("near"))
     return dealt(rows.mapInArrow(deal, "bucket int, kind int, blob binary"), n).mapInArrow(compare, "a long, b long").where("a != b").distinct()
