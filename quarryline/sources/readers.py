@@ -102,3 +102,21 @@ def split_name(name: str) -> tuple[str, str]:
     if len(parts) != 2 or not all(parts):
         raise ValueError(f"a table is named schema.table, not {name!r}")
     return parts[0], parts[1]
+
+
+def source_table(contract, *, test_prefix: str | None = None, number: int = 0) -> str:
+    """The table that a contract reads; under test, the copy named prefix, schema and table with `_source`."""
+    tables = [s for s in contract.sources if s.get("type") == "table"]
+    if number >= len(tables):
+        raise ValueError(f"{contract.asset} has {len(tables)} source tables")
+    schema, table = tables[number]["schema"], tables[number]["table"]
+    return f"{test_prefix}{schema}_{table}_source" if test_prefix else f"{schema}.{table}"
+
+
+#: Database types, and the Spark types they are read as.
+DATABASE_TYPES = {"bool": "boolean", "int2": "smallint", "int4": "int", "int8": "bigint", "float4": "float", "float8": "double", "numeric": "double", "text": "string", "varchar": "string", "bpchar": "string", "uuid": "string", "json": "string", "jsonb": "string", "date": "date", "timestamp": "timestamp", "timestamptz": "timestamp", "bytea": "binary"}
+
+
+def probed_schema(columns: list[tuple[str, str]]) -> str:
+    """A DDL schema from a database's column types; types that aren't known are left to the reader."""
+    return ", ".join(f"`{n}` {DATABASE_TYPES[t]}" for n, t in columns if t in DATABASE_TYPES)
