@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from quarryline import functions as fn
 from quarryline.operators import aggregates, checks, lineage, scd, writes
 from quarryline.operators.checks import Rule
+from quarryline.plans import periods
 from quarryline.plans.sink import TableSink
-from quarryline.sources import readers
+from quarryline.sources import outputs, readers
 from quarryline.streaming import batched, sensors
 from quarryline.support import rendering, safety
 
@@ -647,6 +648,44 @@ def sink_full_write(spark, sf_dir):
     return sink.table("gold.customers").read()
 
 
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN chr(92) || 'N' ELSE c_name || ', \"x\"' END AS t, CAST(c_acctbal AS DECIMAL(12,2)) AS bal FROM customer", text="bal")
+def csv_roundtrip(spark, sf_dir):
+    k = F.col("c_custkey") % 4
+    text = F.when(k == 1, "").when(k == 2, "\\N").when(k == 3, F.concat("c_name", F.lit(', "x"')))
+    df = table(spark, sf_dir, "customer").select("c_custkey", text.alias("t"), F.col("c_acctbal").cast("decimal(12,2)").alias("bal"))
+    path = f"{shared_root(spark)}/csv"
+    outputs.write_csv(df, path)
+    return outputs.read_csv(spark, path, df.schema)
+
+
+@query(f"WITH v AS ({VERSIONS}), n AS ({_NUMBER.format(_STITCH.format(_COLLAPSE))}) SELECT (SELECT count(*) FROM v) - (SELECT count(*) FROM n) AS rows_collapsed, (SELECT count(*) FROM n JOIN v USING (c_custkey, effective_from) WHERE n.effective_to <> v.effective_to OR n.is_current <> v.is_current) AS rows_retimed, (SELECT count(*) FROM n JOIN v USING (c_custkey, effective_from) WHERE n.seq_id <> v.seq_id) AS rows_renumbered")
+def scd2_reconcile_counts(spark, sf_dir):
+    c = scd.reconcile_counts(versions(spark, sf_dir), "c_custkey")
+    return spark.createDataFrame([(c.rows_collapsed, c.rows_retimed, c.rows_renumbered)], "rows_collapsed long, rows_retimed long, rows_renumbered long")
+
+
+@query("SELECT o_custkey, o_orderstatus, count(*) AS copies FROM orders GROUP BY ALL HAVING count(*) > 1")
+def scd2_duplicate_keys(spark, sf_dir):
+    return scd.duplicate_keys(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus"])
+
+
+@query("SELECT count(*) FILTER (WHERE o_orderkey % 7 = 0) AS o_orderkey, count(*) FILTER (WHERE o_custkey % 5 = 0) AS o_custkey FROM orders")
+def upsert_null_keys(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey")).alias("o_orderkey"), F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("o_custkey"))
+    n = writes.null_key_counts(df, ["o_orderkey", "o_custkey"])
+    return spark.createDataFrame([(n.get("o_orderkey", 0), n.get("o_custkey", 0))], "o_orderkey long, o_custkey long")
+
+
+@query(f"SELECT source_id, partition_key, effective_from FROM ({_REG}) WHERE effective_from <= DATE '2024-01-10'", text="effective_from")
+def periods_in_force(spark, sf_dir):
+    reg = _registry(spark, sf_dir).withColumn("effective_to", F.lit(None).cast("date"))
+    parts = [periods.effective_periods(reg, s, date(2024, 1, 10)) for s in sorted(r[0] for r in reg.select("source_id").distinct().collect())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("source_id", "partition_key", F.col("effective_from"))
+
+
 # Extensions, beyond the survey's inventory ---------------------------------------------------------------------------
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2", text="window_start")
 def extension_windowed_counts(spark, sf_dir):
@@ -659,3 +698,14 @@ def extension_top_per_group(spark, sf_dir):
     return table(spark, sf_dir, "customer").withColumn("r", F.row_number().over(w)).where("r <= 3").select("c_nationkey", "c_custkey", F.col("c_acctbal").cast("decimal(12,2)").alias("bal"))
 
 
+@query(f"SELECT v.c_custkey, f.d AS at, v.row_hash FROM (SELECT c_custkey, TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 150 AS INTEGER)) AS d FROM customer) f JOIN ({_NUMBER.format(_STITCH.format(_COLLAPSE))}) v ON v.c_custkey = f.c_custkey AND f.d >= v.effective_from AND f.d < v.effective_to", text="at")
+def extension_facts_to_versions(spark, sf_dir):
+    """Facts joined to the version in force at their time: an equi-join on the key, the times as a filter beside it."""
+    day = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("c_custkey") % 150).cast("int"))
+    facts = table(spark, sf_dir, "customer").select("c_custkey", day.alias("at"))
+    v = scd2_reconcile_frame(spark, sf_dir)
+    return facts.join(v, (facts.c_custkey == v.c_custkey) & (facts["at"] >= v.effective_from) & (facts["at"] < v.effective_to)).select(facts.c_custkey, "at", "row_hash")
+
+
+def scd2_reconcile_frame(spark, sf_dir):
+    return scd.reconcile(versions(spark, sf_dir), "c_custkey")
