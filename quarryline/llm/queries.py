@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm_score, pii, quality, sentencepiece_fst, simhash, suffix_dedup, token_counts, tool_chat, topk
+from . import decontaminate, lm_score, oracles, pii, quality, sentencepiece_fst, simhash, suffix_dedup, token_counts, tool_chat, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_tool_chat": tool_chat.ORACLE}
+    return dict(oracles.SQL)
