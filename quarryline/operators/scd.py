@@ -145,43 +145,56 @@ def _time(value, kind) -> Column:
 def apply_scd2(target: DataFrame, incoming: DataFrame, business_key, at: date | datetime | str, *, detect_deletes: bool = False, partition_column: str | None = None, partition_values: list | None = None, cols: Scd2Columns = Scd2Columns()) -> DataFrame:
     """The new target. incoming carries row_hash; `at` ends expired versions and starts their successors. With a
     partition column, rows of other partitions than partition_values are out of scope: they neither match, end, nor count
-    for the sequence."""
-    return _plan(target, incoming, business_key, at, detect_deletes, partition_column, partition_values, cols)[0]
+    for the sequence.
 
-
-def _plan(target, incoming, business_key, at, detect_deletes, partition_column, partition_values, cols):
+    Each joined row turns into none, one or two rows of the target in place, so the join is computed once."""
     keys = _keys(business_key)
-    on = [*keys, *([partition_column] if partition_column else [])]
-    scope = F.coalesce(F.col(partition_column).isin(list(partition_values or [])), F.lit(False)) if partition_column else F.lit(True)
-    live = F.coalesce(F.col(cols.is_current), F.lit(False)) & scope
-    current, history = target.where(live), target.where(~live)
-    joined = classify(incoming, current, on, cols.row_hash)
+    live = _live(partition_column, partition_values, cols)
     kinds = {f.name: f.dataType for f in target.schema}
-    ends = F.col("change") == "changed"
-    if detect_deletes:
-        ends = ends | (F.col("change") == "deleted")
-    old = joined.where(F.col("change").isNull() | (F.col("change") != "new")).withColumn("_ends", F.coalesce(ends, F.lit(False))).select("current.*", "_ends")
-    old = old.withColumn(cols.effective_to, F.when(F.col("_ends"), _time(at, kinds[cols.effective_to])).otherwise(F.col(cols.effective_to)))
-    old = old.withColumn(cols.is_current, F.col(cols.is_current) & ~F.col("_ends")).drop("_ends")
-    fresh = joined.where(F.col("change").isin("new", "changed")).select("incoming.*")
-    stamped = {cols.effective_from: _time(at, kinds[cols.effective_from]), cols.effective_to: _time(cols.end_of_time, kinds[cols.effective_to]), cols.is_current: F.lit(True)}
-    fresh = fresh.withColumns(stamped)
-    if cols.seq_id and cols.seq_id in target.columns:
-        top = target.where(scope).groupBy(*keys).agg(F.max(cols.seq_id).alias("_top"))
-        fresh = fresh.join(top, keys, "left").withColumn(cols.seq_id, (F.coalesce("_top", F.lit(0)) + 1).cast(kinds[cols.seq_id])).drop("_top")
+    numbered = bool(cols.seq_id) and cols.seq_id in kinds
+    if numbered:
+        top = target.where(_scope(partition_column, partition_values)).groupBy(*keys).agg(F.max(cols.seq_id).alias("_top"))
+        incoming = incoming.join(top, keys, "left")
+    joined = classify(incoming, target.where(live), [*keys, *([partition_column] if partition_column else [])], cols.row_hash)
+    change = F.coalesce("change", F.lit("unchanged"))
+    ends = change.isin(["changed", "deleted"] if detect_deletes else ["changed"])
+    fixed = {cols.effective_from: _time(at, kinds[cols.effective_from]), cols.effective_to: _time(cols.end_of_time, kinds[cols.effective_to]), cols.is_current: F.lit(True)}
+    if numbered:
+        fixed[cols.seq_id] = F.coalesce("incoming._top", F.lit(0)) + 1
+    old, fresh = [], []
     for name, kind in kinds.items():
-        if name not in fresh.columns:
-            fresh = fresh.withColumn(name, F.lit(None).cast(kind))
-    fresh = fresh.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in target.columns])
-    return history.unionByName(old.select(*target.columns)).unionByName(fresh), joined
-
-
-def scd2_stats(incoming: DataFrame, target: DataFrame, business_key, *, detect_deletes: bool = False, partition_column=None, partition_values=None, cols: Scd2Columns = Scd2Columns()) -> dict[str, int]:
-    """rows_new, rows_expired, rows_inserted, rows_unchanged and rows_deleted of a write, in one aggregate."""
-    joined = _plan(target, incoming, business_key, "2000-01-01", detect_deletes, partition_column, partition_values, cols)[1]
-    n = dict(joined.groupBy("change").count().collect())
-    new, changed = n.get("new", 0), n.get("changed", 0)
-    return {"rows_new": new, "rows_expired": changed, "rows_inserted": new + changed, "rows_unchanged": sum(n.values()) - new - changed - n.get("deleted", 0), "rows_deleted": n.get("deleted", 0) if detect_deletes else 0}
+        was = F.col(f"current.`{name}`")
+        if name == cols.effective_to:
+            was = F.when(ends, _time(at, kind)).otherwise(was)
+        elif name == cols.is_current:
+            was = was & ~ends
+        old.append(was.cast(kind).alias(name))
+        comes = fixed.get(name, F.col(f"incoming.`{name}`") if name in incoming.columns else F.lit(None))
+        fresh.append(comes.cast(kind).alias(name))
+    rows = F.array(F.when(change != "new", F.struct(*old)), F.when(change.isin("new", "changed"), F.struct(*fresh)))
+    return target.where(~live).unionByName(joined.select(F.inline(F.array_compact(rows))))
+
+
+def _scope(partition_column: str | None, partition_values: list | None) -> Column:
+    return F.coalesce(F.col(partition_column).isin(list(partition_values or [])), F.lit(False)) if partition_column else F.lit(True)
+
+
+def _live(partition_column: str | None, partition_values: list | None, cols: Scd2Columns) -> Column:
+    return F.coalesce(F.col(cols.is_current), F.lit(False)) & _scope(partition_column, partition_values)
+
+
+def _stats(detect_deletes: bool) -> list[Column]:
+    n = lambda *kinds: F.count_if(F.col("change").isin(*kinds))
+    same = F.count_if(F.col("change").isNull() | (F.col("change") == "unchanged"))
+    deleted = n("deleted") if detect_deletes else F.lit(0).cast("long")
+    return [n("new").alias("rows_new"), n("changed").alias("rows_expired"), n("new", "changed").alias("rows_inserted"), same.alias("rows_unchanged"), F.max(deleted).alias("rows_deleted") if not detect_deletes else deleted.alias("rows_deleted")]
+
+
+def scd2_stats(incoming: DataFrame, target: DataFrame, business_key, *, detect_deletes: bool = False, partition_column=None, partition_values=None, cols: Scd2Columns = Scd2Columns()) -> DataFrame:
+    """One row: rows_new, rows_expired, rows_inserted, rows_unchanged and rows_deleted of a write."""
+    on = [*_keys(business_key), *([partition_column] if partition_column else [])]
+    joined = classify(incoming, target.where(_live(partition_column, partition_values, cols)), on, cols.row_hash)
+    return joined.agg(*_stats(detect_deletes)).na.fill(0)
 
 
 def _timeline(business_key, cols: Scd2Columns, *more: str) -> Window:

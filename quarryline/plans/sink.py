@@ -72,7 +72,7 @@ class TableSink:
                 if contract:
                     own = staged.where(F.col("_lineage_id") == line.lineage_id) if lineage and plan.mode != "full_refresh" else staged
                     day = effective_date.date() if isinstance(effective_date, datetime) else effective_date
-                    results = checks.run_checks(own, [r for r in contract.expectations if r.kind != "history_completeness"], now=now, staged_rows=stats.get("rows_in"), samples=False)
+                    results = checks.run_checks(own, [r for r in contract.expectations if r.kind != "history_completeness"], now=now, staged_rows=stats["rows_in"], samples=False)
                     results += checks.run_checks(staged, [r for r in contract.expectations if r.kind == "history_completeness"], now=now, periods=periods, effective_date=day, effective_from=self.cols.effective_from, samples=False)
                     post.append(checks.enforce(results, self.enforcement))
 
@@ -101,15 +101,18 @@ class TableSink:
         return self.spark.createDataFrame([], schema)
 
     def _planned(self, old: DataFrame, df: DataFrame, plan: cfg.WriteConfig, at, values, order_by) -> tuple[dict[str, int], DataFrame]:
-        if plan.mode == "append":
+        """The write's figures and the new table. Figures come from narrow aggregates: counts, or keys and hashes only."""
+        if plan.mode in ("append", "full_refresh"):
             n = df.count()
-            return {"rows_in": n, "rows_inserted": n}, writes.append(old, df)
-        if plan.mode == "full_refresh":
-            n = df.count()
-            if plan.partition_column:
-                new = writes.refresh_partitions(old, df, plan.partition_column, values)
-                return {"rows_in": n, "rows_inserted": n, "rows_deleted": old.count() + n - new.count()}, new
-            return {"rows_in": n, "rows_inserted": n, "rows_deleted": old.count()}, writes.full_refresh(df, df)
+            stats = {"rows_in": n, "rows_inserted": n}
+            if plan.mode == "append":
+                return stats, writes.append(old, df)
+            if not plan.partition_column:
+                return stats | {"rows_deleted": old.count()}, writes.full_refresh(df, df)
+            pc = plan.partition_column
+            values = values if values is not None else [r[0] for r in df.select(pc).where(F.col(pc).isNotNull()).distinct().collect()]
+            gone = old.where(F.coalesce(F.col(pc).isin(values), F.lit(False))).count()
+            return stats | {"rows_deleted": gone}, writes.refresh_partitions(old, df, pc, values)
         if plan.mode == "upsert":
             writes.check_upsert(df, plan.primary_key)
             marked = writes.upsert_marked(old, df, plan.primary_key, plan.update_columns, skip_unchanged=plan.skip_unchanged, order_by=order_by)
@@ -118,8 +121,10 @@ class TableSink:
             return {"rows_in": n, "rows_upserted": n, "rows_inserted": counts.get("inserted", 0), "rows_updated": counts.get("updated", 0)}, marked.drop("_action")
         cols = self._cols(plan)
         n = scd.check_incoming(df, plan.business_key, partition_column=plan.partition_column, cols=cols, detect_deletes=plan.detect_deletes)
-        scope = {"detect_deletes": plan.detect_deletes, "partition_column": plan.partition_column, "partition_values": values or ([r[0] for r in df.select(plan.partition_column).distinct().collect()] if plan.partition_column else None), "cols": cols}
-        return {"rows_in": n} | scd.scd2_stats(df, old, plan.business_key, **scope), scd.apply_scd2(old, df, plan.business_key, at, **scope)
+        if plan.partition_column and values is None:
+            values = [r[0] for r in df.select(plan.partition_column).distinct().collect()]
+        scope = {"detect_deletes": plan.detect_deletes, "partition_column": plan.partition_column, "partition_values": values, "cols": cols}
+        return {"rows_in": n} | scd.scd2_stats(df, old, plan.business_key, **scope).first().asDict(), scd.apply_scd2(old, df, plan.business_key, at, **scope)
 
     def reconcile(self, target: str, business_key: list[str], *, collapse_duplicates: bool = True) -> scd.ReconcileCounts:
         """Repair a versioned table's timelines; nothing is written if nothing differs."""

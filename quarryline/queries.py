@@ -453,8 +453,7 @@ def scd2_sequence(spark, sf_dir):
 
 @query(f"SELECT count(*) FILTER (WHERE change = 'new') AS rows_new, count(*) FILTER (WHERE change = 'changed') AS rows_expired, count(*) FILTER (WHERE change IN ('new', 'changed')) AS rows_inserted, count(*) FILTER (WHERE change = 'unchanged') AS rows_unchanged, count(*) FILTER (WHERE change = 'deleted') AS rows_deleted FROM ({_CLASSIFY})")
 def scd2_stats(spark, sf_dir):
-    n = scd.scd2_stats(incoming_customers(spark, sf_dir), scd_target(spark, sf_dir), "c_custkey", detect_deletes=True)
-    return spark.createDataFrame([tuple(n.values())], ", ".join(f"{k} long" for k in n))
+    return scd.scd2_stats(incoming_customers(spark, sf_dir), scd_target(spark, sf_dir), "c_custkey", detect_deletes=True)
 
 
 _COLLAPSE = f"SELECT * EXCLUDE (b) FROM (SELECT *, lag(row_hash) OVER (PARTITION BY c_custkey ORDER BY effective_from) AS b FROM ({VERSIONS})) WHERE b IS NULL OR b <> row_hash"
