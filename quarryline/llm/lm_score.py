@@ -30,7 +30,7 @@ STEP = 1.5
 PROBES = 7
 FILTER_MB = 64
 HEAD = 1 << 19
-PART = 2 << 20
+PART = 4 << 20
 #: Tokens whose n-grams are counted together before they are packed.
 TOGETHER = 2_500_000
 NO_ID = -(1 << 63)
