@@ -242,7 +242,7 @@ def score(documents: DataFrame, *, id_col="doc_id", text_col="text", mix_weight:
                 head_token = in_head[back]
                 logs = np.bincount(doc, weights=np.where(head_token, np.log10(c + 1.0)[back], 0.0), minlength=m)
                 known = np.bincount(doc, weights=head_token & (c[back] > 0), minlength=m).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(row % n, pa.int32()), pa.array(np.full(m, 2), pa.int32()), pa.nulls(m, pa.binary()), pa.array(ids[low:high]), pa.array(row), pa.array(np.diff(of)), pa.array(known), pa.array(logs), pa.array(model_log)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket_of(mix(row.view(np.uint64) + ids[low:high].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), n), pa.int32()), pa.array(np.full(m, 2), pa.int32()), pa.nulls(m, pa.binary()), pa.array(ids[low:high]), pa.array(row), pa.array(np.diff(of)), pa.array(known), pa.array(logs), pa.array(model_log)], schema=schema)
                 rest = np.flatnonzero(~head_token)
                 key, tf = np.unique(back[rest] * np.int64(m) + doc[rest], return_counts=True)
                 ask = np.empty(len(key), entry)
