@@ -30,7 +30,7 @@ STEP = 1.5
 PROBES = 7
 FILTER_MB = 64
 HEAD = 1 << 19
-PART = 4 << 20
+PART = 2 << 20
 #: Tokens whose n-grams are counted together before they are packed.
 TOGETHER = 2_500_000
 NO_ID = -(1 << 63)
@@ -137,19 +137,29 @@ class Filter:
         self.bits = np.concatenate([fields[b] for b in sorted(fields)]) if fields else np.zeros(0, np.uint8)
 
     @staticmethod
-    def probe(h: np.ndarray, lev: int, number: int, size: np.ndarray | np.uint64) -> np.ndarray:
-        """Bit of the number-th probe for a level of each n-gram, by double hashing."""
-        a = mix(h + np.uint64(lev * 0x9E3779B97F4A7C15 % (1 << 64)))
-        return (a + np.uint64(number) * (mix(a ^ np.uint64(0x94D049BB133111EB)) | np.uint64(1))) % size
+    def lead(h: np.ndarray, lev: int) -> np.ndarray:
+        return mix(h + np.uint64(lev * 0x9E3779B97F4A7C15 % (1 << 64)))
+
+    @staticmethod
+    def step(a: np.ndarray) -> np.ndarray:
+        """Distance of the further probes from the first one."""
+        return mix(a ^ np.uint64(0x94D049BB133111EB)) | np.uint64(1)
+
+    @staticmethod
+    def place(a: np.ndarray, size: np.ndarray | np.uint64) -> np.ndarray:
+        """A bit of a field from the high half of a hash; fields have fewer than 2^32 bits."""
+        return (a >> np.uint64(32)) * size >> np.uint64(32)
 
     @staticmethod
     def field(h: np.ndarray, c: np.ndarray, bits: int) -> np.ndarray:
         out = np.zeros(bits, bool)
         lev = level(c)
         for k in range(1, int(lev.max(initial=0)) + 1):
-            own = h[lev >= k]
-            for number in range(PROBES):
-                out[Filter.probe(own, k, number, np.uint64(bits)).astype(np.int64)] = True
+            a = Filter.lead(h[lev >= k], k)
+            b = Filter.step(a)
+            for _ in range(PROBES):
+                out[Filter.place(a, np.uint64(bits)).astype(np.int64)] = True
+                a = a + b
         return np.packbits(out, bitorder="little")
 
     def levels(self, h: np.ndarray) -> np.ndarray:
@@ -159,13 +169,23 @@ class Filter:
         size, first = self.size[bucket], self.first[bucket]
         left, k = np.flatnonzero(size), 1
         while len(left):
-            for number in range(PROBES):
-                at = self.probe(h[left], k, number, size[left]) + first[left]
-                left = left[self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1]
+            # most n-grams end at the first probe of a level, so the further ones are worked out for the rest only
+            a = self.lead(h[left], k)
+            hit = self.test(first[left] + self.place(a, size[left]))
+            left, a = left[hit], a[hit]
+            b = self.step(a)
+            for _ in range(PROBES - 1):
+                a = a + b
+                hit = self.test(first[left] + self.place(a, size[left]))
+                if not hit.all():
+                    left, a, b = left[hit], a[hit], b[hit]
             out[left] = k
             k += 1
         return out
 
+    def test(self, at: np.ndarray) -> np.ndarray:
+        return self.bits[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) == 1
+
 
 def build_fields(blocks: DataFrame, keys: int, filter_mb: int) -> list[dict[int, np.ndarray]]:
     """Bit fields by bucket of each order; together they stay within filter_mb."""
