@@ -142,11 +142,6 @@ def binary_parts(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int,
         low = high
 
 
-def ints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values (0 where null) and validity of an integer column."""
-    return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), column.is_valid().to_numpy(zero_copy_only=False)
-
-
 def split_by(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """A stable order by bucket, and n + 1 bounds of the buckets in it."""
     order = np.argsort(bucket, kind="stable")
