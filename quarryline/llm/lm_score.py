@@ -5,9 +5,10 @@ count c is quantised to the level 1 + floor(log c / log STEP), and every level f
 the n-gram's hash; bigrams seen once are left to the smoothing. A count is read back by probing level after level until one
 is missing. The model interpolates: p(w | v) = MIX * count(vw) / count(v) + (1 - MIX) * (count(w) + 1) / (N + V + 1).
 
-The filter is sized for its keys up to FILTER_MB, which bounds what is broadcast; more keys than that raise its rate of
-false hits, never its size, and no n-gram is left out. Base scores need exact counts: the HEAD most frequent words are
-shipped with theirs, and the other words of a document meet their counts through an exchange by hash.
+Every bucket's field has PROBES / ln 2 bits a key, whatever the input's size, so it is about half full. Fields are shipped
+in ranges of buckets of at most FILTER_MB each; a task holds one range at a time and looks up GROUP parts of text in all of
+them, so that scores don't depend on how many ranges there are. Base scores need exact counts: the HEAD most frequent words
+are shipped with theirs, and the other words of a document meet their counts through an exchange by hash.
 
 Words are known by 64-bit hashes. Defined results: null and empty texts are one end token; a null doc_id counts as the
 empty text and so belongs to training; rows that share doc_id and text are scored alike, each on its own.
@@ -28,7 +29,11 @@ FOLDS, HELD = 7, 2
 MIX = 0.1
 STEP = 1.5
 PROBES = 7
+#: Bits of a field for each of its keys.
+PER_KEY = PROBES / np.log(2)
 FILTER_MB = 64
+#: Parts of text that are looked up together where the filter has several ranges.
+GROUP = 8
 HEAD = 1 << 19
 PART = 2 << 20
 #: Tokens whose n-grams are counted together before they are packed.
@@ -86,7 +91,8 @@ def _read(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gather(training: DataFrame, text_col: str, n: int) -> DataFrame:
-    """Blocks (bucket, kind 1 or 2, h, c, types, total, keys) of the counts of all n-grams."""
+    """Blocks (bucket, kind 1 or 2, h, c, types, total, bits) of all n-grams: exact counts of words only, and the bit field
+    of the bucket."""
 
     @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,11 +125,19 @@ def gather(training: DataFrame, text_col: str, n: int) -> DataFrame:
             types, total = len(h), int(c.sum())
             if order == 2:
                 h, c = h[c > 1], c[c > 1]
-            out.append({"bucket": rows[0]["bucket"], "kind": order, "h": h.tobytes(), "c": c.tobytes(), "types": types, "total": total, "keys": int(level(c).sum())})
-        yield pa.RecordBatch.from_pylist(out, pa.schema([*_BLOCK, ("types", pa.int64()), ("total", pa.int64()), ("keys", pa.int64())]))
+            bits = Filter.field(h, c, field_bits(c)).tobytes()
+            if order == 2:
+                h, c = h[:0], c[:0]
+            out.append({"bucket": rows[0]["bucket"], "kind": order, "h": h.tobytes(), "c": c.tobytes(), "types": types, "total": total, "bits": bits})
+        yield pa.RecordBatch.from_pylist(out, pa.schema([*_BLOCK, ("types", pa.int64()), ("total", pa.int64()), ("bits", pa.binary())]))
 
     blocks = training.select(text_bytes(text_col).alias("t")).mapInArrow(count, "bucket int, kind int, h binary, c binary")
-    return dealt(blocks, n).mapInArrow(merge, "bucket int, kind int, h binary, c binary, types long, total long, keys long")
+    return dealt(blocks, n).mapInArrow(merge, "bucket int, kind int, h binary, c binary, types long, total long, bits binary")
+
+
+def field_bits(c: np.ndarray) -> int:
+    """Size of the field that holds n-grams of these counts."""
+    return max(64, int(np.ceil(int(level(c).sum()) * PER_KEY / 64)) * 64)
 
 
 class Filter:
@@ -168,7 +182,7 @@ class Filter:
         bucket = bucket_of(h, self.n)
         size, first = self.size[bucket], self.first[bucket]
         left, k = np.flatnonzero(size), 1
-        while len(left):
+        while len(left) and k < len(_MEANS):
             # most n-grams end at the first probe of a level, so the further ones are worked out for the rest only
             a = self.lead(h[left], k)
             hit = self.test(first[left] + self.place(a, size[left]))
@@ -187,87 +201,96 @@ class Filter:
         return self.bits[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) == 1
 
 
-def build_fields(blocks: DataFrame, keys: int, filter_mb: int) -> list[dict[int, np.ndarray]]:
-    """Bit fields by bucket of each order; together they stay within filter_mb."""
-    per_key = min(PROBES / np.log(2), filter_mb * 8e6 / max(1, keys))
-
-    @trimmed
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                h, c = np.frombuffer(row["h"], np.uint64), np.frombuffer(row["c"], np.int64)
-                yield pa.RecordBatch.from_pylist([{"bucket": row["bucket"], "kind": row["kind"], "bits": Filter.field(h, c, max(64, int(row["keys"] * per_key) // 64 * 64)).tobytes()}] if len(h) else [], pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("bits", pa.binary())]))
-
-    rows = blocks.mapInArrow(fill, "bucket int, kind int, bits binary").toArrow()
-    return [{b.as_py(): np.frombuffer(x.as_buffer(), np.uint8) for b, k, x in zip(rows["bucket"], rows["kind"], rows["bits"], strict=True) if k.as_py() == order} for order in (1, 2)]
-
-
-class Model:
-    """What is shipped: a filter for each order, the exact counts of the head, and the totals."""
-
-    def __init__(self, fields, n: int, total: int, types: int, head: tuple[np.ndarray, np.ndarray], mix_weight: float):
-        self.one, self.two = (Filter(f, n) for f in fields)
-        self.total, self.types, self.mix = total, types, mix_weight
-        self.head_h, self.head_c = head
-
-    def read(self, filt: Filter, h: np.ndarray) -> np.ndarray:
-        u, back = np.unique(h, return_inverse=True)
-        return _MEANS[filt.levels(u)][back]
-
-    def log10(self, t: np.ndarray, distinct: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Log-probability of each token behind the one before it; t is distinct[place]."""
-        if not len(t):
-            return np.zeros(0)
-        own = _MEANS[self.one.levels(distinct)][place]
-        context = np.empty_like(own)
-        context[1:] = own[:-1]
-        context[0] = _MEANS[self.one.levels(np.array([END]))[0]]
-        pair = np.minimum(self.read(self.two, bigrams(t)), context)
-        lower = (own + 1) / (self.total + self.types + 1)
-        return np.log10(np.where(context > 0, self.mix * pair / np.maximum(context, 1) + (1 - self.mix) * lower, lower))
+def ship_fields(blocks: DataFrame, n: int, filter_mb: float) -> list:
+    """Broadcasts of the filters of words and bigrams, one for each range of buckets; the driver holds one range at a time."""
+    sizes = blocks.groupBy("bucket").agg(F.sum(F.length("bits")).alias("size")).orderBy("bucket").collect()
+    ranges: list[list[int]] = []
+    held = 0
+    for r in sizes:
+        if not ranges or held + r["size"] > filter_mb * 1e6:
+            ranges.append([r["bucket"], r["bucket"]])
+            held = 0
+        ranges[-1][1] = r["bucket"]
+        held += r["size"]
+    out = []
+    for low, high in ranges:
+        rows = blocks.where(F.col("bucket").between(low, high)).select("bucket", "kind", "bits").toArrow()
+        fields = [{b.as_py(): np.frombuffer(x.as_buffer(), np.uint8) for b, k, x in zip(rows["bucket"], rows["kind"], rows["bits"], strict=True) if k.as_py() == order} for order in (1, 2)]
+        out.append(blocks.sparkSession.sparkContext.broadcast(tuple(Filter(f, n) for f in fields)))
+    return out
+
+
+def opened(shipped, keep: bool):
+    """The value of a broadcast. Unless it is to be kept, the worker reads it afresh each time and lets go of it."""
+    path = None if keep else getattr(shipped, "_path", None)
+    return shipped.value if path is None else shipped.load_from_path(path)
+
+
+class Part:
+    """The tokens of a part of text, its distinct words and bigrams, and their levels as far as they were looked up."""
+
+    def __init__(self, low: int, high: int, t: np.ndarray, of: np.ndarray):
+        self.low, self.high, self.t, self.of = low, high, t, of
+        self.words, self.word = np.unique(t, return_inverse=True)
+        self.pairs, self.pair = np.unique(bigrams(t), return_inverse=True)
+        self.one, self.two = np.zeros(len(self.words), np.int64), np.zeros(len(self.pairs), np.int64)
+
+    def look_up(self, one: Filter, two: Filter) -> None:
+        """A filter answers 0 for n-grams of buckets that it does not hold."""
+        self.one += one.levels(self.words)
+        self.two += two.levels(self.pairs)
+
+    def log10(self, total: int, types: int, mix_weight: float) -> np.ndarray:
+        """Log-probability of each token behind the one before it; the first one follows an end token, as the last one is."""
+        own = _MEANS[self.one][self.word]
+        context = np.roll(own, 1)
+        pair = np.minimum(_MEANS[self.two][self.pair], context)
+        lower = (own + 1) / (total + types + 1)
+        return np.log10(np.where(context > 0, mix_weight * pair / np.maximum(context, 1) + (1 - mix_weight) * lower, lower))
 
 
 def held_out(id_col="doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD
 
 
-def score(documents: DataFrame, *, id_col="doc_id", text_col="text", mix_weight: float = MIX, filter_mb: int = FILTER_MB, head: int = HEAD) -> DataFrame:
+def score(documents: DataFrame, *, id_col="doc_id", text_col="text", mix_weight: float = MIX, filter_mb: float = FILTER_MB, head: int = HEAD) -> DataFrame:
     """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark, n = documents.sparkSession, buckets_for(documents)
     blocks = checkpointed(gather(documents.where(~held_out(id_col)), text_col, n))
-    sums = {r["kind"]: r for r in blocks.groupBy("kind").agg(F.sum("types").alias("types"), F.sum("total").alias("total"), F.sum("keys").alias("keys")).collect()}
+    sums = {r["kind"]: r for r in blocks.groupBy("kind").agg(F.sum("types").alias("types"), F.sum("total").alias("total")).collect()}
     total, types = (int(sums[1][k]) if 1 in sums else 0 for k in ("total", "types"))
-    fields = build_fields(blocks, sum(int(r["keys"] or 0) for r in sums.values()), filter_mb)
-    top = _head(blocks, head)
-    shipped = spark.sparkContext.broadcast(Model(fields, n, total, types, top, mix_weight))
+    ranges = ship_fields(blocks, n, filter_mb)
+    shipped = spark.sparkContext.broadcast(_head(blocks, head))
     scale = float(np.log10(total + types + 1))
     entry = np.dtype([("h", "<u8"), ("id", "<i8"), ("row", "<i8"), ("tf", "<u4")])
 
     @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
+        head_h, head_c = shipped.value
         schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary()), ("id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for low, high, buf, bounds in binary_parts(batch.column(1), PART):
-                t, of = tokens(buf, bounds)
-                m = high - low
-                row = span_hash(prefix_hash(buf), bounds[:-1], bounds[1:]).view(np.int64)
+
+        def finish(held: list[tuple[np.ndarray, np.ndarray, Part]]) -> Iterator[pa.RecordBatch]:
+            for r in ranges:
+                filters = opened(r, len(ranges) == 1)
+                for _, _, part in held:
+                    part.look_up(*filters)
+            for ids, row, part in held:
+                m, of = part.high - part.low, part.of
                 doc = np.repeat(np.arange(m), np.diff(of))
-                u, back = np.unique(t, return_inverse=True)
-                model_log = np.add.reduceat(model.log10(t, u, back), of[:-1]) if m else np.zeros(0)
-                k = np.minimum(np.searchsorted(model.head_h, u), max(0, len(model.head_h) - 1))
-                in_head = model.head_h[k] == u if len(model.head_h) else np.zeros(len(u), bool)
-                c = np.where(in_head, model.head_c[k] if len(model.head_h) else 0, 0)
+                u, back = part.words, part.word
+                model_log = np.add.reduceat(part.log10(total, types, mix_weight), of[:-1])
+                k = np.minimum(np.searchsorted(head_h, u), max(0, len(head_h) - 1))
+                in_head = head_h[k] == u if len(head_h) else np.zeros(len(u), bool)
+                c = np.where(in_head, head_c[k] if len(head_h) else 0, 0)
                 head_token = in_head[back]
                 logs = np.bincount(doc, weights=np.where(head_token, np.log10(c + 1.0)[back], 0.0), minlength=m)
                 known = np.bincount(doc, weights=head_token & (c[back] > 0), minlength=m).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket_of(mix(row.view(np.uint64) + ids[low:high].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), n), pa.int32()), pa.array(np.full(m, 2), pa.int32()), pa.nulls(m, pa.binary()), pa.array(ids[low:high]), pa.array(row), pa.array(np.diff(of)), pa.array(known), pa.array(logs), pa.array(model_log)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket_of(mix(row.view(np.uint64) + ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), n), pa.int32()), pa.array(np.full(m, 2), pa.int32()), pa.nulls(m, pa.binary()), pa.array(ids), pa.array(row), pa.array(np.diff(of)), pa.array(known), pa.array(logs), pa.array(model_log)], schema=schema)
                 rest = np.flatnonzero(~head_token)
                 key, tf = np.unique(back[rest] * np.int64(m) + doc[rest], return_counts=True)
                 ask = np.empty(len(key), entry)
                 ask["h"], ask["tf"] = u[key // m], tf
-                ask["id"], ask["row"] = ids[low:high][key % m], row[key % m]
+                ask["id"], ask["row"] = ids[key % m], row[key % m]
                 at = np.searchsorted(bucket_of(ask["h"], n), np.arange(n + 1))
                 full = np.flatnonzero(np.diff(at))
                 blobs = [ask[at[b] : at[b + 1]] for b in full]
@@ -275,6 +298,17 @@ def score(documents: DataFrame, *, id_col="doc_id", text_col="text", mix_weight:
                 none = len(full)
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(none, 1), pa.int32()), pa.array(blobs, pa.binary()), *[pa.nulls(none, f.type) for f in list(schema)[3:]]], schema=schema)
 
+        held = []
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for low, high, buf, bounds in binary_parts(batch.column(1), PART):
+                row = span_hash(prefix_hash(buf), bounds[:-1], bounds[1:]).view(np.int64)
+                held.append((ids[low:high], row, Part(low, high, *tokens(buf, bounds))))
+                if len(held) >= (GROUP if len(ranges) > 1 else 1):
+                    yield from finish(held)
+                    held.clear()
+        yield from finish(held)
+
     fields_out = "id long, row long, n long, known long, logs double, score double"
 
     @trimmed
@@ -312,7 +346,7 @@ def score(documents: DataFrame, *, id_col="doc_id", text_col="text", mix_weight:
                 yield pa.RecordBatch.from_arrays([pa.array(x["id"][first]), pa.array(x["row"][first]), pa.nulls(some, pa.int64()), pa.array(known), pa.array(logs), pa.nulls(some, pa.float64())], names=names)
 
     asked = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_bytes(text_col).alias("t")).mapInArrow(scan, "bucket int, kind int, blob binary, " + fields_out)
-    tail = blocks.where("kind = 1").mapInArrow(_tail_counts, "bucket int, blob binary")
+    tail = blocks.where("kind = 1").select("bucket", "h", "c").mapInArrow(_tail_counts, "bucket int, blob binary")
     tail = tail.select("bucket", F.lit(0).alias("kind"), "blob", *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in fields_out.split(", "))])
     parts = dealt(asked.unionByName(tail), n, ordered=True).mapInArrow(answer, fields_out)
     summed = parts.groupBy("id", "row").agg(F.sum("n").alias("n_all"), F.count("n").alias("rows"), F.sum("known").alias("known_all"), F.sum("logs").alias("logs_all"), F.max("score").alias("score"))
@@ -340,7 +374,7 @@ def _head(blocks: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray]:
                 v, n = np.unique(np.minimum(np.frombuffer(row["c"], np.int64), 100_000), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n)], names=["c", "n"])
 
-    ones = blocks.where("kind = 1")
+    ones = blocks.where("kind = 1").select("h", "c")
     seen = sorted((r["c"], r["n"]) for r in ones.mapInArrow(histogram, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect())
     least, left = 1 << 62, head
     for c, n in reversed(seen):

@@ -354,3 +354,12 @@ def test_pipeline_stages(spark, tmp_path):
     assert 7 not in out or brute.overlaps([(7, out[7]["text"])], [(1, passage)])[0][2] == set()
     assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in out.values())
     assert not any("a.b@c.de" in (r["text"] or "") for r in out.values())
+
+
+def test_lm_score_does_not_depend_on_the_bytes_of_a_broadcast(spark, rows):
+    from quarryline.llm import lm_score
+
+    df = frame(spark, rows)
+    whole = {r["doc_id"]: r["score"] for r in lm_score.score(df).collect()}
+    ranges = {r["doc_id"]: r["score"] for r in lm_score.score(df, filter_mb=0.0005).collect()}
+    assert ranges == pytest.approx(whole, rel=1e-12)
