@@ -2,7 +2,7 @@
 
 Unigram and bigram counts are gathered over all training documents as packed, pre-aggregated blocks of word hashes. A
 count c is quantised to the level 1 + floor(log c / log STEP), and every level from 1 up to it is put into the filter under
-the n-gram's hash; bigrams seen once are left to the smoothing. A count is read back by probing level after level until one
+the n-gram's hash, of bigrams seen once too. A count is read back by probing level after level until one
 is missing. The model interpolates: p(w | v) = MIX * count(vw) / count(v) + (1 - MIX) * (count(w) + 1) / (N + V + 1).
 
 Every bucket's field has PROBES / ln 2 bits a key, whatever the input's size, so it is about half full. Fields are shipped
@@ -123,8 +123,6 @@ def gather(training: DataFrame, text_col: str, n: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             h, c = h[first], np.add.reduceat(c, first)
             types, total = len(h), int(c.sum())
-            if order == 2:
-                h, c = h[c > 1], c[c > 1]
             bits = Filter.field(h, c, field_bits(c)).tobytes()
             if order == 2:
                 h, c = h[:0], c[:0]

@@ -363,3 +363,15 @@ def test_lm_score_does_not_depend_on_the_bytes_of_a_broadcast(spark, rows):
     whole = {r["doc_id"]: r["score"] for r in lm_score.score(df).collect()}
     ranges = {r["doc_id"]: r["score"] for r in lm_score.score(df, filter_mb=0.0005).collect()}
     assert ranges == pytest.approx(whole, rel=1e-12)
+
+
+def test_lm_filter_holds_bigrams_counted_once(spark):
+    from quarryline.llm import lm_score
+
+    docs = frame(spark, [(k, f"left{k} right{k}") for k in range(40)])
+    training = docs.where(~lm_score.held_out())
+    blocks = lm_score.gather(training, "text", 3).where("kind = 2").collect()
+    filt = lm_score.Filter({r["bucket"]: np.frombuffer(r["bits"], np.uint8) for r in blocks}, 3)
+    for r in training.collect():
+        t, _ = lm_score.tokens(np.frombuffer(r["text"].encode(), np.uint8), np.array([0, len(r["text"])]))
+        assert (filt.levels(lm_score.bigrams(t)) >= 1).all()
