@@ -11,9 +11,10 @@ shares a key is compared in one task, which hands on a spanning forest of the li
 than HEAVY fingerprints is first split by r + 1 stretches of bits, one of which any linked pair has in common. Components
 come from alternating star contractions over those links, with the lineage cut in each round.
 
-The operator can ask for a second agreement, of fingerprints over other shingles: `keep_first`, which keeps one document
-of each group, finds candidates by the distinct pairs of words (radius 7) and holds them to shingles of five words at a
-distance that a similarity of 0.8 stays within.
+`keep_first`, which keeps one document of each group, does not go by fingerprints: it links two documents exactly if the
+Jaccard similarity of their sets of five-word shingles is 0.8 or more. Two such sets share one of the first shingles of
+either (m - ceil(0.8 m) + 1 of m, in any one order), so what shares one of those is compared, without exception; shingles
+that are frequent in a sample come last in the order, which changes the work and not the links.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; rows with the same doc_id are
 separate documents; a null doc_id is never the smallest, and a component of null ids only has none.
@@ -29,16 +30,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, binary_parts, bucket_of, buckets_for, by_bucket, checkpointed, dealt, mix, split_by, text_bytes, trimmed, word_spans
+from .common import LOWER, NOT_SPACE, binary_parts, bucket_of, buckets_for, by_bucket, checkpointed, dealt, mix, prefix_hash, span_hash, split_by, text_bytes, trimmed, word_spans
 
 WORDS = 3
 RADIUS = 3
 SEED = 42
 HEAVY = 8192
 SMALL = 8
-#: keep_first: words of a distinct shingle and the radius, words of a shingle, and the distance that goes with a similarity of 0.8 of
-#: shingle sets: cos = 2 * 0.8 / 1.8, 9.7 bits expected, 16 at more than two standard deviations above.
-GROUP_FIRST, GROUP_RADIUS, GROUP_WORDS, GROUP_NEAR = 2, 7, 5, 16
+#: keep_first: words of a shingle, and the similarity as a fraction.
+GROUP_WORDS, PART_OF, WHOLE_OF = 5, 4, 5
+#: Documents of the sample, and how many of them hold a shingle that is put last; nodes and shingles of a block, two of
+#: which are compared in one task.
+SAMPLED, OFTEN, TOGETHER, SHINGLES = 10_000, 3, 1024, 1 << 21
+#: Bits of the map of a set that is compared before the set is.
+MAP = 4096
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -252,14 +257,267 @@ def near_duplicates(documents: DataFrame, *, id_col="doc_id", text_col="text", r
     return label(prints, id_col=id_col, radius=radius).select(id_col, "fp", "component_id")
 
 
+def shingle_sets(buf: np.ndarray, bounds: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of every text of a part, in order and those in `often` last, and bounds of the texts.
+    A text of fewer words is one shingle."""
+    low = LOWER[buf]
+    start, end = word_spans(low, bounds, NOT_SPACE)
+    w = span_hash(prefix_hash(low), start, end)
+    of = np.searchsorted(start, bounds)
+    n_docs = len(bounds) - 1
+    doc = np.repeat(np.arange(n_docs), np.diff(of))
+    place = np.arange(len(w))
+    h = np.zeros(len(w), np.uint64)
+    for k in range(GROUP_WORDS):
+        inside = place + k < of[doc + 1]
+        h[inside] += mix(w[place[inside] + k] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    full = (place == of[doc]) | (place + GROUP_WORDS <= of[doc + 1])
+    h, doc = mix(h[full]), doc[full]
+    late = np.zeros(len(h), np.int64)
+    if len(often):
+        late = (often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h).astype(np.int64)
+    order = np.lexsort((h, 2 * doc + late))
+    h, doc = h[order], doc[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[first], np.searchsorted(doc[first], np.arange(n_docs + 1))
+
+
+def node_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A name for each set."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(_NODE)), dtype=np.uint64)])
+    return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
+
+
+_NODE = 0x5851F42D4C957F2D
+
+
+def frequent(documents: DataFrame, text_col: str) -> np.ndarray:
+    """Sorted hashes of shingles that OFTEN distinct texts of a sample hold."""
+    rate = -(-documents.count() // SAMPLED) or 1
+    texts = documents.where(F.pmod(F.xxhash64(text_col), F.lit(rate)) == 0).select(text_bytes(text_col).alias("t")).distinct()
+
+    @trimmed
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, buf, bounds in binary_parts(batch.column(0)):
+                h, c = np.unique(shingle_sets(buf, bounds, np.zeros(0, np.uint64))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
+
+    counted = texts.mapInArrow(scan, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= OFTEN)
+    return np.sort(counted.orderBy(F.desc("c"), "h").limit(1 << 20).select("h").toArrow()["h"].to_numpy().view(np.uint64))
+
+
+def sharing(sets: DataFrame) -> DataFrame:
+    """From sets (node, shingles): groups (grp, node) of at least two nodes such that all similar pairs have a group in common."""
+    n = buckets_for(sets)
+    entry = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4")])
+
+    @trimmed
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, buf, bounds in binary_parts(batch.column(1)):
+                h, size = buf.view(np.uint64) if len(buf) else np.zeros(0, np.uint64), np.diff(bounds) // 8
+                head = np.where(size > 0, size - -(-PART_OF * size // WHOLE_OF) + 1, 0)
+                row = np.repeat(np.arange(len(size)), head)
+                out = np.empty(len(row), entry)
+                out["key"] = h[np.arange(len(row)) - np.repeat(np.cumsum(head) - head, head) + np.repeat(bounds[:-1] // 8, head)]
+                out["node"], out["size"] = batch.column(0).to_numpy()[low:high][row], size[row]
+                order, at = split_by(bucket_of(out["key"], n), n)
+                out = out[order]
+                full = np.flatnonzero(np.diff(at))
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.zeros(len(full)), pa.int32()), pa.array([out[at[b] : at[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "kind", "blob"])
+
+    @trimmed
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = np.frombuffer(b"".join(x.as_py() for batch in batches for x in batch.column(2)), entry)
+        key, node, size = (rows[c] for c in ("key", "node", "size"))
+        order = np.lexsort((node, key))
+        key, node, size = key[order], node[order], size[order]
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node, size = key[first], node[first], size[first]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+        many = np.diff(at)
+        # two that differ in size by more than the similarity allows are no pair
+        two = np.flatnonzero(many == 2)
+        a, b = at[two], at[two] + 1
+        good = WHOLE_OF * np.minimum(size[a], size[b]) >= PART_OF * np.maximum(size[a], size[b])
+        yield named([np.stack([node[a[good]], node[b[good]]], 1)])
+        for k in np.flatnonzero(many > 2):
+            own = np.arange(at[k], at[k + 1])
+            own = own[np.argsort(size[own], kind="stable")]
+            block = np.cumsum(np.maximum(size[own].astype(np.int64), SHINGLES // TOGETHER)) // SHINGLES
+            if block[-1] < 2:
+                yield named([np.sort(node[own])[None, :]])
+                continue
+            blocks = np.split(own, np.flatnonzero(np.diff(block)) + 1)
+            for x, left in enumerate(blocks):
+                for right in blocks[x + 1 :]:
+                    if WHOLE_OF * size[left[-1]] >= PART_OF * size[right[0]]:
+                        yield named([np.sort(node[np.concatenate([left, right])])[None, :]])
+            # a block that no other one is near in size to
+            yield from (named([np.sort(node[x])[None, :]]) for x in blocks)
+
+    def named(groups: list[np.ndarray]) -> pa.RecordBatch:
+        """Groups of the same nodes get the same name."""
+        names = [np.repeat(mix(mix(g.view(np.uint64)).sum(1, dtype=np.uint64)).view(np.int64), g.shape[1]) for g in groups]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate([np.ascontiguousarray(g).ravel() for g in groups]))], names=["grp", "node"])
+
+    packed = sets.mapInArrow(deal, "bucket int, kind int, blob binary")
+    return dealt(packed, n).mapInArrow(group, "grp long, node long").distinct()
+
+
+def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the similar pairs among some sorted sets. A pair is compared unless its sizes, or the parities
+    of its shingles in a bit map (no more bits differ than shingles do), rule it out."""
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets)
+    at = np.concatenate([[0], np.cumsum(size)])
+    width = 64 * int(min(16, max(1, -(-2 * int(np.median(size)) // 64))))
+    bits = np.zeros((len(sets), width // 64), np.uint64)
+    if len(sets) > 2:
+        for low in range(0, len(sets), 256):
+            part = flat[at[low] : at[min(low + 256, len(sets))]]
+            row = np.repeat(np.arange(len(size[low : low + 256])), size[low : low + 256])
+            odd = np.bincount(row * width + (part % np.uint64(width)).astype(np.int64), minlength=len(size[low : low + 256]) * width) & 1
+            bits[low : low + 256] = np.packbits(odd.astype(bool).reshape(-1, width), axis=1, bitorder="little").view(np.uint64)
+    left, queue, a, b = np.arange(1, len(sets)), [0], [], []
+    while queue or len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        k = queue.pop()
+        both = size[left] + size[k]
+        near = (WHOLE_OF * np.minimum(size[left], size[k]) >= PART_OF * np.maximum(size[left], size[k])) & (np.bitwise_count(bits[left] ^ bits[k]).sum(1, dtype=np.int64) * (PART_OF + WHOLE_OF) <= both * (WHOLE_OF - PART_OF))
+        maybe = np.flatnonzero(near)
+        if not len(maybe) or not size[k]:
+            continue
+        other = np.concatenate([sets[j] for j in left[maybe]])
+        hit = sets[k][np.minimum(np.searchsorted(sets[k], other), size[k] - 1)] == other
+        common = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(size[left[maybe]])[:-1]]))
+        found = maybe[common * (PART_OF + WHOLE_OF) >= PART_OF * both[maybe]]
+        if len(found):
+            a.append(np.full(len(found), k))
+            b.append(left[found])
+            queue += left[found].tolist()
+            left = np.delete(left, found)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+
+
+def maps_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each set, the parity of the number of its shingles at each of MAP places. No more bits of two maps differ than
+    shingles do."""
+    out = np.zeros((len(at) - 1, MAP // 8), np.uint8)
+    for low in range(0, len(out), 256):
+        size = np.diff(at[low : low + 257])
+        place = (h[at[low] : at[low] + size.sum()] % np.uint64(MAP)).astype(np.int64)
+        odd = np.bincount(np.repeat(np.arange(len(size)), size) * MAP + place, minlength=len(size) * MAP) & 1
+        out[low : low + 256] = np.packbits(odd.astype(bool).reshape(-1, MAP), axis=1)
+    return out
+
+
+def narrowed(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Groups split so that all pairs that sizes and maps don't rule out stay together; nodes without such a pair go."""
+
+    @trimmed
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, buf, bounds in binary_parts(batch.column(1)):
+                maps = maps_of(buf.view(np.uint64) if len(buf) else np.zeros(0, np.uint64), bounds // 8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(bounds) // 8), pa.array([x.tobytes() for x in maps], pa.binary())], names=["node", "size", "map"])
+
+    needed = sets.join(groups.select("node").distinct(), "node", "left_semi").mapInArrow(sketch, "node long, size long, map binary").dropDuplicates(["node"])
+    members = groups.join(needed, "node").select("grp", "node", "size", "map").repartition(buckets_for(sets), "grp").sortWithinPartitions("grp")
+
+    @trimmed
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+            node, size = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+            maps = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), MAP // 64)
+            left = np.arange(len(rows))
+            while len(left):
+                queue, left, own = [int(left[0])], left[1:], [int(left[0])]
+                while queue and len(left):
+                    k = queue.pop()
+                    maybe = WHOLE_OF * np.minimum(size[left], size[k]) >= PART_OF * np.maximum(size[left], size[k])
+                    place = np.flatnonzero(maybe)
+                    differ = np.bitwise_count(maps[left[place]] ^ maps[k]).sum(1, dtype=np.int64)
+                    place = place[differ * (PART_OF + WHOLE_OF) <= (size[left[place]] + size[k]) * (WHOLE_OF - PART_OF)]
+                    own += left[place].tolist()
+                    queue += left[place].tolist()
+                    left = np.delete(left, place)
+                if len(own) > 1:
+                    nodes = np.sort(node[own])
+                    name = int(mix(mix(nodes.view(np.uint64)).sum(dtype=np.uint64)[None]).view(np.int64)[0])
+                    yield from ((name, x) for x in nodes.tolist())
+
+        now, rows, out = None, [], []
+        for batch in batches:
+            for g, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != now:
+                    out += parts(rows)
+                    rows = []
+                now = g
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["grp", "node"])
+            out = []
+        out += parts(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["grp", "node"])
+
+    return members.mapInArrow(split, "grp long, node long").distinct()
+
+
+def similar_pairs(sets: DataFrame) -> DataFrame:
+    """From sets (node, shingles): pairs (a, b) of similar nodes, enough of them to connect all that are linked."""
+    groups = checkpointed(narrowed(checkpointed(sharing(sets)), sets))
+    needed = sets.join(groups.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    members = groups.join(needed, "node").select("grp", "node", "shingles").repartition(buckets_for(sets), "grp").sortWithinPartitions("grp")
+
+    @trimmed
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(node: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
+            x, y = similar(held)
+            n = np.array(node, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(n[x], n[y])), pa.array(np.maximum(n[x], n[y]))], names=["a", "b"])
+
+        now, node, held = None, [], []
+        for batch in batches:
+            for g, i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if g != now and held:
+                    yield pairs(node, held)
+                    node, held = [], []
+                now = g
+                node.append(i)
+                held.append(np.sort(np.frombuffer(s.as_py(), np.uint64)))
+        if held:
+            yield pairs(node, held)
+
+    return members.mapInArrow(compare, "a long, b long").distinct()
+
+
 def keep_first(documents: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """One document of each group: that of the smallest id (a null id comes last), of several the smallest text hash.
     Rows equal in both are one document."""
     marked = documents.withColumn("text hash", F.xxhash64(text_col))
-    prints = checkpointed(fingerprints(marked, id_col=id_col, text_col=text_col, keep=("text hash",), kinds=((GROUP_FIRST, True), (GROUP_WORDS, False))))
-    labelled = label(prints, id_col=id_col, radius=GROUP_RADIUS, within=GROUP_NEAR)
-    first = labelled.groupBy("group").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text hash").alias("h"))).alias("k"))
-    first = checkpointed(first.select(F.xxhash64("k.id", "k.h").alias("kept"), F.col("k.id").alias("kept id"), F.col("k.h").alias("kept hash")))
+    often = documents.sparkSession.sparkContext.broadcast(frequent(documents, text_col))
+    id_type = documents.schema[id_col].dataType.simpleString()
+
+    @trimmed
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, buf, bounds in binary_parts(batch.column(2)):
+                h, at = shingle_sets(buf, bounds, often.value)
+                blobs = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer((8 * at).astype(np.int32)), pa.py_buffer(h)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(low, high - low) for k in (0, 1)), pa.array(node_of(h, at)), blobs], names=["id", "h", "node", "shingles"])
+
+    rows = marked.select(F.col(id_col).alias("id"), F.col("text hash").alias("h"), text_bytes(text_col).alias("t"))
+    sets = checkpointed(rows.mapInArrow(scan, f"id {id_type}, h long, node long, shingles binary"))
+    roots = components(similar_pairs(sets.select("node", "shingles"))).withColumnRenamed("node", "of")
+    # copies are folded before the groups are, so that only distinct sets meet in a group
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("k")
+    nodes = sets.groupBy("node").agg(least)
+    first = nodes.join(roots, nodes.node == roots.of, "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("k").alias("k"))
+    first = checkpointed(first.select(F.col("k.id").alias("kept id"), F.col("k.h").alias("kept hash")))
     kept = marked.join(first, marked[id_col].eqNullSafe(first["kept id"]) & (marked["text hash"] == first["kept hash"]), "left_semi")
     return kept.dropDuplicates([id_col, "text hash"]).select(*documents.columns)
 

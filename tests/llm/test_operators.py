@@ -375,3 +375,32 @@ def test_lm_filter_holds_bigrams_counted_once(spark):
     for r in training.collect():
         t, _ = lm_score.tokens(np.frombuffer(r["text"].encode(), np.uint8), np.array([0, len(r["text"])]))
         assert (filt.levels(lm_score.bigrams(t)) >= 1).all()
+
+
+@pytest.mark.parametrize("often", [2, 3])
+def test_keep_first_goes_by_the_similarity_of_five_word_shingles(spark, often, monkeypatch):
+    from quarryline.llm import simhash
+
+    monkeypatch.setattr(simhash, "OFTEN", often)
+    monkeypatch.setattr(simhash, "TOGETHER", 10)
+    rng = random.Random(8)
+    line = " ".join(f"c{k}" for k in range(14))
+    docs = []
+    for k in range(60):
+        base = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(3, 150))] + (line.split() if k % 2 else [])
+        docs.append(" ".join(base))
+        for edits in (1, 2, 3, 5):
+            other = list(base)
+            for j in rng.sample(range(len(base)), min(edits, len(base))):
+                other[j] = f"x{rng.randint(0, 3000)}"
+            docs.append(" ".join(other).upper())
+    sets = []
+    for t in docs:
+        w = t.lower().split()
+        sets.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))})
+    root = brute.groups(len(docs), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    least = {}
+    for k in range(len(docs)):
+        least.setdefault(root[k], k)
+    kept = sorted(r["doc_id"] for r in simhash.keep_first(frame(spark, list(enumerate(docs)))).select("doc_id").collect())
+    assert 60 < len(kept) < len(docs) and kept == sorted(least.values())
