@@ -176,7 +176,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that `checkpointed` wrote, when all that is read from them has been computed."""
+    for table in tables:
+        if path := getattr(table, "table_path", None):
+            jvm = table.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def dealt(packed: DataFrame, n: int, *, ordered: bool = False) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, binary_parts, bucket_of, buckets_for, by_bucket, checkpointed, dealt, mix, prefix_hash, span_hash, split_by, text_bytes, trimmed, word_spans
+from .common import LOWER, NOT_SPACE, binary_parts, bucket_of, buckets_for, by_bucket, checkpointed, dealt, drop, mix, prefix_hash, span_hash, split_by, text_bytes, trimmed, word_spans
 
 WORDS = 3
 RADIUS = 3
@@ -39,9 +39,9 @@ HEAVY = 8192
 SMALL = 8
 #: keep_first: words of a shingle, and the similarity as a fraction.
 GROUP_WORDS, PART_OF, WHOLE_OF = 5, 4, 5
-#: Documents of the sample, and how many of them hold a shingle that is put last; nodes and shingles of a block, two of
-#: which are compared in one task.
-SAMPLED, OFTEN, TOGETHER, SHINGLES = 10_000, 3, 1024, 1 << 21
+#: Least documents of the sample, or one of so many, and how many of them hold a shingle that is put last; nodes and
+#: shingles of a block, two of which are compared in one task.
+SAMPLED, RATE, OFTEN, TOGETHER, SHINGLES = 10_000, 64, 3, 1024, 1 << 21
 #: Bits of the map of a set that is compared before the set is.
 MAP = 4096
 
@@ -231,13 +231,16 @@ def components(edges: DataFrame) -> DataFrame:
     sign = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first())
     before = sign(now)
     while True:
-        now = checkpointed(star(star(now, True), False))
+        was, now = now, checkpointed(star(star(now, True), False))
+        drop(was)
         after = sign(now)
         if after == before:
             break
         before = after
     stars = now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
-    return stars.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    out = checkpointed(stars.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()))
+    drop(now)
+    return out
 
 
 def label(prints: DataFrame, *, id_col="doc_id", radius: int = RADIUS, within: int = 64) -> DataFrame:
@@ -245,9 +248,12 @@ def label(prints: DataFrame, *, id_col="doc_id", radius: int = RADIUS, within: i
     both = ["fp", "near"] if "near" in prints.columns else ["fp"]
     node = F.xxhash64("fp", "near") if len(both) > 1 else F.col("fp")
     nodes = checkpointed(prints.groupBy(*both).agg(F.min(id_col).alias("least")).withColumn("node", node))
-    roots = components(links(nodes, radius=radius, within=within)).withColumnRenamed("node", "of")
-    rooted = nodes.join(roots, nodes.node == roots.of, "left").select(*both, "least", F.coalesce("root", "node").alias("group"))
-    names = rooted.join(rooted.groupBy("group").agg(F.min("least").alias("component_id")), "group").drop("least")
+    roots = components(links(nodes, radius=radius, within=within))
+    rooted = checkpointed(nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(*both, "least", F.coalesce("root", "node").alias("group"), F.col("root").isNull().alias("alone")))
+    # the least id of a group is a table of its own, so that a join of a large group can be split over tasks
+    least = checkpointed(rooted.where("NOT alone").groupBy("group").agg(F.min("least").alias("component_id")))
+    names = checkpointed(rooted.where("alone").select(*both, "group", F.col("least").alias("component_id")).unionByName(rooted.where("NOT alone").join(least, "group").select(*both, "group", "component_id")))
+    drop(nodes, roots, rooted, least)
     return prints.join(names, both)
 
 
@@ -293,8 +299,8 @@ _NODE = 0x5851F42D4C957F2D
 
 
 def frequent(documents: DataFrame, text_col: str) -> np.ndarray:
-    """Sorted hashes of shingles that OFTEN distinct texts of a sample hold."""
-    rate = -(-documents.count() // SAMPLED) or 1
+    """Sorted hashes of shingles that OFTEN distinct texts of a sample hold: one text of RATE, or SAMPLED if that is more."""
+    rate = max(1, min(RATE, documents.count() // SAMPLED))
     texts = documents.where(F.pmod(F.xxhash64(text_col), F.lit(rate)) == 0).select(text_bytes(text_col).alias("t")).distinct()
 
     @trimmed
@@ -308,64 +314,116 @@ def frequent(documents: DataFrame, text_col: str) -> np.ndarray:
     return np.sort(counted.orderBy(F.desc("c"), "h").limit(1 << 20).select("h").toArrow()["h"].to_numpy().view(np.uint64))
 
 
-def sharing(sets: DataFrame) -> DataFrame:
-    """From sets (node, shingles): groups (grp, node) of at least two nodes such that all similar pairs have a group in common."""
-    n = buckets_for(sets)
-    entry = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4")])
+class Seen:
+    """The values that a task met last, one for each slot: what it has just handed on needn't go again."""
+
+    def __init__(self, slots: int = 1 << 16):
+        self.held = np.zeros(slots, np.int64)
+
+    def fresh(self, value: np.ndarray) -> np.ndarray:
+        """Places of the values that aren't held, each value once."""
+        own, first = np.unique(value, return_index=True)
+        slot = (mix(own.view(np.uint64)) % np.uint64(len(self.held))).astype(np.int64)
+        new = self.held[slot] != own
+        self.held[slot] = own
+        return np.sort(first[new])
+
+
+_ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4")])
+
+
+def sharing(rows: DataFrame, id_type: str, often) -> DataFrame:
+    """From rows (id, h, t: bytes of a text): one row (id, h, node, size, map) for each different (id, h), and groups (grp,
+    node) of at least two nodes such that all similar pairs have a group in common."""
+    n = buckets_for(rows)
+    nulls = lambda count, *types: [pa.nulls(count, t) for t in types]
+    names = ["bucket", "blob", "id", "h", "node", "size", "map"]
+    rows = rows.withColumn("row", F.xxhash64("id", "h"))
 
     @trimmed
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents, nodes = Seen(), Seen()
         for batch in batches:
-            for low, high, buf, bounds in binary_parts(batch.column(1)):
-                h, size = buf.view(np.uint64) if len(buf) else np.zeros(0, np.uint64), np.diff(bounds) // 8
-                head = np.where(size > 0, size - -(-PART_OF * size // WHOLE_OF) + 1, 0)
-                row = np.repeat(np.arange(len(size)), head)
-                out = np.empty(len(row), entry)
-                out["key"] = h[np.arange(len(row)) - np.repeat(np.cumsum(head) - head, head) + np.repeat(bounds[:-1] // 8, head)]
-                out["node"], out["size"] = batch.column(0).to_numpy()[low:high][row], size[row]
-                order, at = split_by(bucket_of(out["key"], n), n)
+            for low, high, buf, bounds in binary_parts(batch.column(2)):
+                h, at = shingle_sets(buf, bounds, often.value)
+                node, size, row = node_of(h, at), np.diff(at), batch.column(3).to_numpy()[low:high]
+                new = documents.fresh(row)
+                maps = [x.tobytes() for x in maps_of(h, at)[new]]
+                own = [batch.column(k).slice(low, high - low).take(pa.array(new)) for k in (0, 1)]
+                place = bucket_of(mix(row[new].view(np.uint64)), n)
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), *nulls(len(new), pa.binary()), *own, pa.array(node[new]), pa.array(size[new]), pa.array(maps, pa.binary())], names=names)
+                new = nodes.fresh(node)
+                head = np.where(size[new] > 0, size[new] - -(-PART_OF * size[new] // WHOLE_OF) + 1, 0)
+                of = np.repeat(new, head)
+                out = np.empty(len(of), _ENTRY)
+                out["key"] = h[np.arange(len(of)) - np.repeat(np.cumsum(head) - head, head) + at[of]]
+                out["node"], out["size"] = node[of], size[of]
+                order, edge = split_by(bucket_of(out["key"], n), n)
                 out = out[order]
-                full = np.flatnonzero(np.diff(at))
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.zeros(len(full)), pa.int32()), pa.array([out[at[b] : at[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "kind", "blob"])
+                full = np.flatnonzero(np.diff(edge))
+                blobs = pa.array([out[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), blobs, *nulls(len(full), batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.binary())], names=names)
 
     @trimmed
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.frombuffer(b"".join(x.as_py() for batch in batches for x in batch.column(2)), entry)
-        key, node, size = (rows[c] for c in ("key", "node", "size"))
-        order = np.lexsort((node, key))
-        key, node, size = key[order], node[order], size[order]
-        first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, size = key[first], node[first], size[first]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
-        many = np.diff(at)
-        # two that differ in size by more than the similarity allows are no pair
-        two = np.flatnonzero(many == 2)
-        a, b = at[two], at[two] + 1
-        good = WHOLE_OF * np.minimum(size[a], size[b]) >= PART_OF * np.maximum(size[a], size[b])
-        yield named([np.stack([node[a[good]], node[b[good]]], 1)])
-        for k in np.flatnonzero(many > 2):
-            own = np.arange(at[k], at[k + 1])
-            own = own[np.argsort(size[own], kind="stable")]
-            block = np.cumsum(np.maximum(size[own].astype(np.int64), SHINGLES // TOGETHER)) // SHINGLES
-            if block[-1] < 2:
-                yield named([np.sort(node[own])[None, :]])
-                continue
-            blocks = np.split(own, np.flatnonzero(np.diff(block)) + 1)
-            for x, left in enumerate(blocks):
-                for right in blocks[x + 1 :]:
-                    if WHOLE_OF * size[left[-1]] >= PART_OF * size[right[0]]:
-                        yield named([np.sort(node[np.concatenate([left, right])])[None, :]])
-            # a block that no other one is near in size to
-            yield from (named([np.sort(node[x])[None, :]]) for x in blocks)
-
-    def named(groups: list[np.ndarray]) -> pa.RecordBatch:
-        """Groups of the same nodes get the same name."""
-        names = [np.repeat(mix(mix(g.view(np.uint64)).sum(1, dtype=np.uint64)).view(np.int64), g.shape[1]) for g in groups]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate([np.ascontiguousarray(g).ravel() for g in groups]))], names=["grp", "node"])
-
-    packed = sets.mapInArrow(deal, "bucket int, kind int, blob binary")
-    return dealt(packed, n).mapInArrow(group, "grp long, node long").distinct()
+        blobs, id_of = [], None
+        for batch in batches:
+            id_of = batch.column(2).type
+            kept = batch.filter(batch.column(1).is_null())
+            if kept.num_rows:
+                yield pa.RecordBatch.from_arrays([*nulls(kept.num_rows, pa.int64()), *(kept.column(k) for k in (4, 2, 3, 5, 6))], names=["grp", *names[4:5], *names[2:4], *names[5:]])
+            blobs += [x.as_py() for x in batch.column(1) if x.is_valid]
+        for name, node in grouped(np.frombuffer(b"".join(blobs), _ENTRY)):
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(node), *nulls(len(name), id_of, pa.int64(), pa.int64(), pa.binary())], names=["grp", *names[4:5], *names[2:4], *names[5:]])
+
+    fields = f"id {id_type}, h long"
+    packed = rows.select("id", "h", "t", "row").mapInArrow(deal, f"bucket int, blob binary, {fields}, node long, size long, map binary")
+    return dealt(packed, n).mapInArrow(group, f"grp long, node long, {fields}, size long, map binary")
+
+
+def grouped(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Groups (name, node) of the nodes that share a key, as far as their sizes allow them to be similar. Groups of the same
+    nodes get the same name and come once."""
+    key, node, size = (rows[c] for c in ("key", "node", "size"))
+    order = np.lexsort((node, key))
+    key, node, size = key[order], node[order], size[order]
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node, size = key[first], node[first], size[first]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+    many = np.diff(at)
+    two = np.flatnonzero(many == 2)
+    a, b = at[two], at[two] + 1
+    good = WHOLE_OF * np.minimum(size[a], size[b]) >= PART_OF * np.maximum(size[a], size[b])
+    yield _named(np.unique(np.stack([node[a[good]], node[b[good]]], 1), axis=0))
+    met: set[int] = set()
+
+    def once(nodes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        name, own = _named(np.sort(nodes)[None, :])
+        if len(own) > 1 and int(name[0]) not in met:
+            met.add(int(name[0]))
+            yield name, own
+
+    for k in np.flatnonzero(many > 2):
+        own = np.arange(at[k], at[k + 1])
+        own = own[np.argsort(size[own], kind="stable")]
+        block = np.cumsum(np.maximum(size[own].astype(np.int64), SHINGLES // TOGETHER)) // SHINGLES
+        if block[-1] < 2:
+            yield from once(node[own])
+            continue
+        blocks = np.split(own, np.flatnonzero(np.diff(block)) + 1)
+        for x, left in enumerate(blocks):
+            yield from once(node[left])
+            for right in blocks[x + 1 :]:
+                if WHOLE_OF * size[left[-1]] < PART_OF * size[right[0]]:
+                    break
+                yield from once(node[np.concatenate([left, right])])
+
+
+def _named(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Name and node of each place of some groups of equally many sorted nodes."""
+    names = mix(mix(groups.view(np.uint64)).sum(1, dtype=np.uint64)).view(np.int64)
+    return np.repeat(names, groups.shape[1]), np.ascontiguousarray(groups).ravel()
 
 
 def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -416,18 +474,9 @@ def maps_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def narrowed(groups: DataFrame, sets: DataFrame) -> DataFrame:
+def narrowed(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """Groups split so that all pairs that sizes and maps don't rule out stay together; nodes without such a pair go."""
-
-    @trimmed
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high, buf, bounds in binary_parts(batch.column(1)):
-                maps = maps_of(buf.view(np.uint64) if len(buf) else np.zeros(0, np.uint64), bounds // 8)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(bounds) // 8), pa.array([x.tobytes() for x in maps], pa.binary())], names=["node", "size", "map"])
-
-    needed = sets.join(groups.select("node").distinct(), "node", "left_semi").mapInArrow(sketch, "node long, size long, map binary").dropDuplicates(["node"])
-    members = groups.join(needed, "node").select("grp", "node", "size", "map").repartition(buckets_for(sets), "grp").sortWithinPartitions("grp")
+    members = groups.join(nodes.select("node", "size", "map"), "node").select("grp", "node", "size", "map").repartition(buckets_for(groups), "grp").sortWithinPartitions("grp")
 
     @trimmed
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,11 +516,10 @@ def narrowed(groups: DataFrame, sets: DataFrame) -> DataFrame:
     return members.mapInArrow(split, "grp long, node long").distinct()
 
 
-def similar_pairs(sets: DataFrame) -> DataFrame:
-    """From sets (node, shingles): pairs (a, b) of similar nodes, enough of them to connect all that are linked."""
-    groups = checkpointed(narrowed(checkpointed(sharing(sets)), sets))
-    needed = sets.join(groups.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    members = groups.join(needed, "node").select("grp", "node", "shingles").repartition(buckets_for(sets), "grp").sortWithinPartitions("grp")
+def similar_pairs(groups: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """From groups (grp, node) and sets (node, shingles): pairs (a, b) of similar nodes, enough of them to connect all that
+    are linked."""
+    members = groups.join(sets, "node").select("grp", "node", "shingles").repartition(n, "grp").sortWithinPartitions("grp")
 
     @trimmed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -501,23 +549,30 @@ def keep_first(documents: DataFrame, *, id_col="doc_id", text_col="text") -> Dat
     marked = documents.withColumn("text hash", F.xxhash64(text_col))
     often = documents.sparkSession.sparkContext.broadcast(frequent(documents, text_col))
     id_type = documents.schema[id_col].dataType.simpleString()
+    texts = marked.select(F.col(id_col).alias("id"), F.col("text hash").alias("h"), text_bytes(text_col).alias("t"))
+    shared = checkpointed(sharing(texts, id_type, often))
+    # copies are folded before the groups are, so that only distinct sets meet in a group
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("k")
+    nodes = checkpointed(shared.where("grp IS NULL").groupBy("node").agg(least, F.max("size").alias("size"), F.max("map").alias("map")))
+    groups = checkpointed(narrowed(shared.where("grp IS NOT NULL").select("grp", "node").distinct(), nodes))
+    drop(shared)
 
     @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, buf, bounds in binary_parts(batch.column(2)):
-                h, at = shingle_sets(buf, bounds, often.value)
-                blobs = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer((8 * at).astype(np.int32)), pa.py_buffer(h)])
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(low, high - low) for k in (0, 1)), pa.array(node_of(h, at)), blobs], names=["id", "h", "node", "shingles"])
-
-    rows = marked.select(F.col(id_col).alias("id"), F.col("text hash").alias("h"), text_bytes(text_col).alias("t"))
-    sets = checkpointed(rows.mapInArrow(scan, f"id {id_type}, h long, node long, shingles binary"))
-    roots = components(similar_pairs(sets.select("node", "shingles"))).withColumnRenamed("node", "of")
-    # copies are folded before the groups are, so that only distinct sets meet in a group
-    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("k")
-    nodes = sets.groupBy("node").agg(least)
-    first = nodes.join(roots, nodes.node == roots.of, "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("k").alias("k"))
+            for low, high, buf, bounds in binary_parts(batch.column(1)):
+                h, at = shingle_sets(buf, bounds, np.zeros(0, np.uint64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer((8 * at).astype(np.int32)), pa.py_buffer(h)])], names=["node", "shingles"])
+
+    # the texts that are still to be compared are read again: their sets are several times as large as the groups
+    asked = checkpointed(groups.select("node").distinct().join(nodes, "node").select("node", F.col("k.id").alias("asked id"), F.col("k.h").alias("asked h")))
+    found = texts.join(asked, texts["id"].eqNullSafe(asked["asked id"]) & (texts["h"] == asked["asked h"])).select("node", "t").dropDuplicates(["node"])
+    sets = found.mapInArrow(scan, "node long, shingles binary")
+    links_ = checkpointed(similar_pairs(groups, sets, buckets_for(documents)))
+    roots = components(links_)
+    first = nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("k").alias("k"))
     first = checkpointed(first.select(F.col("k.id").alias("kept id"), F.col("k.h").alias("kept hash")))
+    drop(nodes, groups, asked, links_, roots)
     kept = marked.join(first, marked[id_col].eqNullSafe(first["kept id"]) & (marked["text hash"] == first["kept hash"]), "left_semi")
     return kept.dropDuplicates([id_col, "text hash"]).select(*documents.columns)
 
