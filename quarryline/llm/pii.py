@@ -12,6 +12,7 @@ Defined results: null and empty texts have no spans; offsets are code points, th
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -118,19 +119,32 @@ def find_spans(text: str | None, threshold: float = THRESHOLD) -> tuple[list[Spa
     base = [Span(k, s, e, _scored(text, k, s, e)) for k, s, e in base_spans(text)]
     more: list[Span] = []
     if _DIGIT.search(text):
-        taken = [(x.start, x.end) for x in base]
+        taken = _merged([(x.start, x.end) for x in base])
         for kind, pattern in zip(MORE_KINDS, (_IBAN, _NATIONAL, _SSN), strict=True):
             for m in pattern.finditer(text):
                 s, e = m.span()
                 if kind == "iban" and not (15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0].replace(" ", ""))):
                     continue
                 score = _scored(text, kind, s, e)
-                if score >= threshold and not any(s < b and a < e for a, b in taken):
+                at = bisect_left(taken, (e, 0))  # the first span that starts at the end or behind it
+                if score >= threshold and not (at and taken[at - 1][1] > s):
                     more.append(Span(kind, s, e, score))
-                    taken.append((s, e))
+            # matches of one pattern don't overlap, so they are looked up by the patterns after it only
+            taken = _merged([*taken, *((x.start, x.end) for x in more if x.kind == kind)])
     return base, more
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def redact_text(text: str, spans: list[Span]) -> str:
     """Every span replaced by its kind in brackets; overlapping spans count as one, under the first one's kind."""
     out, done = [], 0
