@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, binary_parts, prefix_hash, span_hash, text_bytes, trimmed, word_spans
+from .common import ALNUM, LOWER, binary_parts, checkpointed, drop, opened, prefix_hash, span_hash, text_bytes, trimmed, word_spans
 
 WINDOW = 8
 SAMPLE = 8
 SHARD_BYTES = 2 << 20
-#: Phrases are shipped to the workers in blocks of at most this many bytes of benchmark text; each block is one pass.
-BLOCK_BYTES = 32 << 20
+#: Phrases are shipped to the workers in blocks of about this many bytes of benchmark text. The driver builds one block at a
+#: time, and a worker holds one at a time, by which it searches GROUP shards.
+BLOCK_BYTES, GROUP = 8 << 20, 8
 
 
 class Phrases:
@@ -40,19 +41,20 @@ class Phrases:
         self.words, number = np.unique(hashes, return_inverse=True)
         number = number.astype(np.int64) + 2
         of = np.searchsorted(start, bounds)
-        seen: dict[tuple[int, ...], set[str]] = {}
-        for k, (name, _) in enumerate(items):
-            row = number[of[k] : of[k + 1]]
-            for j in range(max(1, len(row) - window + 1) if len(row) else 0):
-                seen.setdefault(tuple(row[j : j + window]), set()).add(name)
         self.names = sorted({n for n, _ in items})
         at = {n: k for k, n in enumerate(self.names)}
-        self.length = np.array([len(w) for w in seen], np.int64)
-        self.rows = np.zeros((len(seen), window), np.int64)
-        for k, w in enumerate(seen):
-            self.rows[k, : len(w)] = w
-        self.item_bounds = np.concatenate([[0], np.cumsum([len(s) for s in seen.values()])]).astype(np.int64)
-        self.items = np.array([at[n] for s in seen.values() for n in sorted(s)], np.int64)
+        size = np.diff(of)
+        windows = np.where(size > 0, np.maximum(size - window, 0) + 1, 0)
+        item = np.repeat(np.arange(len(items)), windows)
+        first = np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows) + of[item]
+        # shorter items are filled up with zeros, which are no word
+        place = first[:, None] + np.arange(window)
+        rows = np.where(place < of[item + 1][:, None], np.concatenate([number, [0]])[np.minimum(place, len(number))], 0).astype(np.int32)
+        self.rows, row = np.unique(rows, axis=0, return_inverse=True)
+        self.length = np.count_nonzero(self.rows, axis=1)
+        pairs = np.unique(row.ravel() * max(1, len(self.names)) + np.array([at[n] for n, _ in items], np.int64)[item])
+        self.items = pairs % max(1, len(self.names))
+        self.item_bounds = np.searchsorted(pairs // max(1, len(self.names)), np.arange(len(self.rows) + 1))
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Word numbers of hashes, 0 for words outside the alphabet."""
@@ -140,7 +142,7 @@ class FMIndex:
         for step in range(rows.shape[1] if len(rows) else 0):
             go = length[alive] > step
             k = alive[go]
-            symbol = rows[k, length[k] - 1 - step]
+            symbol = rows[k, length[k] - 1 - step].astype(np.int64)
             low[k] = self.before[symbol] + self.tree.rank(symbol, low[k])
             high[k] = self.before[symbol] + self.tree.rank(symbol, high[k])
             alive = alive[high[alive] > low[alive]]
@@ -212,16 +214,17 @@ def scan_shard(buf: np.ndarray, bounds: np.ndarray, phrases: Phrases):
     return start, end, word_of, np.cumsum(hit[:-1]) > 0, pairs // len(phrases.names), pairs % len(phrases.names)
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of a checked size. One block for all but a benchmark of tens of megabytes."""
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), text_bytes(text_col).alias("t"))
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The different items in blocks of about block_bytes, one after the other. One block for all but a benchmark of many
+    megabytes."""
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), text_bytes(text_col).alias("t")).distinct()
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
-    out = []
+    items = items if n == 1 else checkpointed(items)
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        out.append([(r["i"], bytes(r["t"])) for r in part.toLocalIterator()])
-    return out
+        yield [(r["i"], bytes(r["t"])) for r in part.collect()]
+    drop(items)
 
 
 def find_overlaps(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -231,59 +234,58 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id"
     return found.withColumnsRenamed({"id": id_col, **{f"keep_{c}": c for c in keep}})
 
 
+def _runs(hit: np.ndarray, word_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the runs of hit words; none crosses from one document to the next."""
+    first, last = hit.copy(), hit.copy()
+    first[1:] &= ~hit[:-1]
+    last[:-1] &= ~hit[1:]
+    cut = word_of[(word_of > 0) & (word_of < len(hit))]
+    first[cut], last[cut - 1] = hit[cut], hit[cut - 1]
+    return np.flatnonzero(first), np.flatnonzero(last)
+
+
 def _found(documents, benchmark, id_col, text_col, item_col, item_text, window, block_bytes, keep) -> DataFrame:
-    """As find_overlaps, but the id is `id` and kept columns are prefixed, so that no name clashes."""
+    """As find_overlaps, but the id is `id` and kept columns are prefixed, so that no name clashes. All blocks of phrases
+    are searched in one pass over the documents, so a document's hits of several blocks never have to meet again."""
     picked = documents.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     kept = [f"keep_{c} {documents.schema[c].dataType.simpleString()}" for c in keep]
     id_type = documents.schema[id_col].dataType.simpleString()
-    schema = ", ".join([f"id {id_type}", *kept, "n_words long, n_hit long, hit_words array<struct<w:long,n:long,start:long,end:long>>, item_ids array<string>"])
-    passes = []
-    for block in _blocks(benchmark, item_col, item_text, block_bytes):
-        shipped = documents.sparkSession.sparkContext.broadcast(Phrases(block, window))
-
-        @trimmed
-        def scan(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            phrases = shipped.value
-            for batch in batches:
-                for low, high, buf, bounds in binary_parts(batch.column(1), SHARD_BYTES):
+    schema = ", ".join([f"id {id_type}", *kept, "n_words long, n_hit long, hits array<struct<start:long,end:long>>, item_ids array<string>"])
+    shipped = [documents.sparkSession.sparkContext.broadcast(Phrases(block, window)) for block in _blocks(benchmark, item_col, item_text, block_bytes)]
+
+    @trimmed
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finish(shards: list[tuple]) -> Iterator[pa.RecordBatch]:
+            results: list[list] = [[None, []] for _ in shards]
+            for block in shipped:
+                phrases = opened(block, len(shipped) == 1)
+                for result, (_, _, _, buf, bounds) in zip(results, shards, strict=True):
                     start, end, word_of, hit, doc, item = scan_shard(buf, bounds, phrases)
-                    n = high - low
-                    edge = hit.copy()
-                    cut = word_of[(word_of > 0) & (word_of < len(hit))]
-                    edge[1:] &= ~hit[:-1]
-                    edge[cut] = hit[cut]
-                    fin = hit.copy()
-                    fin[:-1] &= ~hit[1:]
-                    fin[cut - 1] = hit[cut - 1]
-                    s, e = np.flatnonzero(edge), np.flatnonzero(fin)
-                    of = np.searchsorted(word_of, s, "right") - 1
-                    spans = pa.StructArray.from_arrays([pa.array(s - word_of[of]), pa.array(e + 1 - s), pa.array(start[s] - bounds[of]), pa.array(end[e] - bounds[of])], ["w", "n", "start", "end"])
-                    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(s, word_of).astype(np.int32)), spans)
-                    sums = np.concatenate([[0], np.cumsum(hit)])
-                    ids = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)), pa.array([phrases.names[k] for k in item], pa.string()))
-                    rest = [batch.column(k).slice(low, n) for k in range(2, batch.num_columns)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, n), *rest, pa.array(np.diff(word_of)), pa.array(sums[word_of[1:]] - sums[word_of[:-1]]), lists, ids], names=["id", *[f"keep_{c}" for c in keep], "n_words", "n_hit", "hit_words", "item_ids"])
-
-        passes.append(picked.mapInArrow(scan, schema))
-    out = passes[0]
-    if len(passes) > 1:
-        out = _merged(passes, ["id", *[f"keep_{c}" for c in keep]])
-    return out.withColumn("hits", F.transform("hit_words", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))).drop("hit_words")
-
-
-def _merged(passes: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Several passes into one: each pass has every document once, in the scan's order, so equal rows pair up by count."""
-    from pyspark.sql import Window
-
-    whole = None
-    for part in passes:
-        w = Window.partitionBy(*keys, "n_words").orderBy(F.to_json("hit_words"))
-        part = part.withColumn("copy", F.row_number().over(w))
-        whole = part if whole is None else whole.unionByName(part)
-    grouped = whole.groupBy(*keys, "n_words", "copy").agg(F.array_sort(F.flatten(F.collect_list("hit_words"))).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-    step = "CASE WHEN size(a) > 0 AND x.w <= element_at(a, -1).w + element_at(a, -1).n THEN concat(slice(a, 1, size(a) - 1), array(named_struct('w', element_at(a, -1).w, 'n', greatest(element_at(a, -1).n, x.w + x.n - element_at(a, -1).w), 'start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))) ELSE concat(a, array(x)) END"
-    grouped = grouped.withColumn("hit_words", F.expr(f"aggregate(h, cast(array() as array<struct<w:bigint,n:bigint,start:bigint,end:bigint>>), (a, x) -> {step})"))
-    return grouped.withColumn("n_hit", F.expr("aggregate(hit_words, 0L, (a, x) -> a + x.n)")).select(*keys, "n_words", "n_hit", "hit_words", "item_ids")
+                    result[0] = (start, end, word_of, hit if result[0] is None else hit | result[0][3])
+                    result[1] += zip(doc.tolist(), (phrases.names[k] for k in item), strict=True)
+            for (words, pairs), (batch, low, high, _, bounds) in zip(results, shards, strict=True):
+                start, end, word_of, hit = words
+                n, (s, e) = high - low, _runs(hit, word_of)
+                of = np.searchsorted(word_of, s, "right") - 1
+                spans = pa.StructArray.from_arrays([pa.array(start[s] - bounds[of]), pa.array(end[e] - bounds[of])], ["start", "end"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(s, word_of).astype(np.int32)), spans)
+                sums = np.concatenate([[0], np.cumsum(hit)])
+                pairs = sorted(set(pairs))
+                at = np.searchsorted(np.array([d for d, _ in pairs], np.int64), np.arange(n + 1)).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(at), pa.array([i for _, i in pairs], pa.string()))
+                rest = [batch.column(k).slice(low, n) for k in range(2, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, n), *rest, pa.array(np.diff(word_of)), pa.array(sums[word_of[1:]] - sums[word_of[:-1]]), lists, ids], names=["id", *[f"keep_{c}" for c in keep], "n_words", "n_hit", "hits", "item_ids"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            for low, high, buf, bounds in binary_parts(batch.column(1), SHARD_BYTES):
+                held.append((batch, low, high, buf, bounds))
+                if len(held) >= (GROUP if len(shipped) > 1 else 1):
+                    yield from finish(held)
+                    held.clear()
+        yield from finish(held)
+
+    return picked.mapInArrow(scan, schema)
 
 
 def remove_overlaps(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", window: int = WINDOW) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, binary_parts, bucket_of, buckets_for, by_bucket, checkpointed, dealt, joined, mix, prefix_hash, span_hash, text_bytes, trimmed, word_spans
+from .common import LOWER, NOT_SPACE, binary_parts, bucket_of, buckets_for, by_bucket, checkpointed, dealt, joined, mix, opened, prefix_hash, span_hash, text_bytes, trimmed, word_spans
 
 FOLDS, HELD = 7, 2
 MIX = 0.1
@@ -218,12 +218,6 @@ def ship_fields(blocks: DataFrame, n: int, filter_mb: float) -> list:
     return out
 
 
-def opened(shipped, keep: bool):
-    """The value of a broadcast. Unless it is to be kept, the worker reads it afresh each time and lets go of it."""
-    path = None if keep else getattr(shipped, "_path", None)
-    return shipped.value if path is None else shipped.load_from_path(path)
-
-
 class Part:
     """The tokens of a part of text, its distinct words and bigrams, and their levels as far as they were looked up."""
 
