@@ -3,12 +3,15 @@
 Components become integers, floor(64 x), so scores are exact. A rotation by the right singular vectors of the whole table
 puts most of the length into the first coordinates. Candidates are dealt out by descending length and read in that order;
 a block is skipped for a query once the product of the lengths (Cauchy-Schwarz) can't reach the query's k-th best score
-so far, and a pair is dropped when its partial sum over the leading coordinates plus the product of the residual lengths
-can't. What remains gets its integer inner product. The k-th best among the SEED longest vectors is where queries start.
+so far. What is left goes through STAGES: each adds the partial sum over the next coordinates and drops every pair whose
+sum plus the product of the residual lengths can't reach the k-th best, and with them the queries and candidates that have
+no pair left. Only pairs that pass all stages get their integer inner product. The k-th best among the SEED longest vectors
+is where queries start.
 
 Queries are shipped in blocks of QUERY_BLOCK; each block is one pass over the candidates. Defined results: vectors that
 are null or hold a null or non-finite component, and rows without vec_id, take no part; a shorter vector counts as padded
-with zeros; a query's own row is every row of its vec_id; ties go to the smaller vec_id.
+with zeros; a query's own row is every row of its vec_id; ties go to the smaller vec_id; rows equal in vec_id and vector are
+one query but as many candidates as rows, and different vectors of one vec_id are ranked each on its own.
 """
 
 from __future__ import annotations
@@ -20,22 +23,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import trimmed
+from .common import checkpointed, trimmed
 
 SCALE = 64
-SEED = 4096
+SEED = 512
 QUERY_BLOCK = 32768
 CAND_BLOCK = 2048
-#: Share of pairs left by the bound from which a block's scores come from one matrix product.
-DENSE = 0.02
+#: Quarters of the coordinates that are summed up, one after the other, before pairs are dropped.
+STAGES = 4
+#: Components of a block of vectors at most, and leading coordinates that are rotated.
+COMPONENTS, TURNED = 1 << 22, 1024
 EVERY = 20
 K = 20
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str, keep: list) -> DataFrame:
+def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     x = F.transform(vec_col, lambda c: c.cast("double"))
     bad = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x"), *keep).where(F.col("id").isNotNull() & F.col("x").isNotNull())
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull())
     return rows.where(~bad).withColumn("v", F.transform("x", lambda c: F.floor(c * SCALE).cast("long"))).drop("x")
 
 
@@ -87,112 +92,120 @@ class Search:
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, rotation: np.ndarray, k: int):
         self.ids, self.queries, self.rotation, self.k = ids, queries, rotation, k
-        self.lead = max(1, queries.shape[1] // 4)
-        self.turned, self.length, self.rest = self.turn(queries)
-        self.doubles, self.most = queries.astype(np.float64), float(np.abs(queries).max(initial=0))
-
-    def turn(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = v.astype(np.float64)
-        y = x @ self.rotation
-        return y[:, : self.lead].copy(), np.sqrt((x * x).sum(1)), np.sqrt((y[:, self.lead :] ** 2).sum(1))
-
-    def scan(self, ids: np.ndarray, v: np.ndarray, best: Ranked) -> bool:
-        """Candidates of one block, longest first. False if no query can gain from shorter ones."""
-        y, length, rest = self.turn(v)
-        slack = 1e-9 * (1.0 + self.length * length.max())
-        alive = np.flatnonzero(self.length * length.max() + slack >= best.floor)
-        if not len(alive):
-            return False
-        exact = v.astype(np.float64) if self.most * float(np.abs(v).max(initial=0)) * v.shape[1] < 2**53 else None
-        for part in np.array_split(alive, -(-len(alive) // 1024)):
-            bound = self.turned[part] @ y.T
-            bound += np.outer(self.rest[part], rest)
-            left = bound >= (best.floor[part] - slack[part])[:, None]
-            if exact is not None and np.count_nonzero(left) > DENSE * left.size:
-                # most pairs are left: whole numbers below 2^53 add up exactly in doubles, so one product gives all scores
-                score = self.doubles[part] @ exact.T
-                left &= score >= best.floor[part][:, None]
-                q, c = np.nonzero(left)
-                score = score[q, c].astype(np.int64)
-                own = self.ids[part[q]] != ids[c]
-                best.add(part[q][own], ids[c][own], score[own])
+        self.edges = np.unique(np.linspace(0, queries.shape[1], STAGES + 1).astype(int))
+        self.turned, self.rest = self.turn(queries)
+        #: Pairs seen, and pairs left after each stage.
+        self.seen, self.left = 0, np.zeros(len(self.edges), np.int64)
+
+    def turn(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors in the rotated frame, and the length of what is left of each behind every edge."""
+        y = v.astype(np.float64)
+        n = len(self.rotation)
+        y[:, :n] = y[:, :n] @ self.rotation
+        square = np.concatenate([np.zeros((len(y), 1)), np.cumsum(y * y, 1)], 1)[:, self.edges]
+        return y, np.sqrt(np.maximum(square[:, -1:] - square, 0))
+
+    def scan(self, ids: np.ndarray, v: np.ndarray, best: Ranked) -> None:
+        """Candidates of one block, longest first."""
+        y, rest = self.turn(v)
+        most = float(rest[:, 0].max(initial=0))
+        slack = 1e-9 * (1.0 + self.rest[:, 0] * most)
+        need = best.floor - slack
+        self.seen += len(self.ids) * len(ids)
+        alive = np.flatnonzero(self.rest[:, 0] * most >= need)
+        for part in np.array_split(alive, -(-len(alive) // 1024) or 1):
+            row, col = part, np.arange(len(ids))
+            total = np.zeros((len(row), len(col)))
+            for stage, (a, b) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True), 1):
+                total += self.turned[row, a:b] @ y[col, a:b].T
+                live = total + np.outer(self.rest[row, stage], rest[col, stage]) >= need[row][:, None]
+                self.left[stage] += np.count_nonzero(live)
+                r, c = live.any(1), live.any(0)
+                if r.mean() < 0.9 or c.mean() < 0.9:
+                    row, col, total, live = row[r], col[c], total[np.ix_(r, c)], live[np.ix_(r, c)]
+                if not len(row):
+                    break
+            if not len(row):
                 continue
-            q, c = np.nonzero(left)
-            q = part[q]
+            q, c = np.nonzero(live)
+            q, c = row[q], col[c]
             own = self.ids[q] != ids[c]
             q, c = q[own], c[own]
-            for a in range(0, len(q), 1 << 17):
-                b = slice(a, a + (1 << 17))
+            for a in range(0, len(q), max(1, COMPONENTS // v.shape[1])):
+                b = slice(a, a + max(1, COMPONENTS // v.shape[1]))
                 score = np.einsum("ij,ij->i", self.queries[q[b]], v[c[b]])
                 good = score >= best.floor[q[b]]
                 best.add(q[b][good], ids[c[b]][good], score[good])
         best.fold()
-        return True
 
 
 def top_k(vectors: DataFrame, *, id_col="vec_id", vec_col="embedding", every: int = EVERY, k: int = K, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for every row whose id is divisible by `every`."""
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vec_col, [])
+    rows = usable(vectors, id_col, vec_col)
     width = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    schema = "query_id long, vec_id long, score long"
     if not width:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
+    turned = min(width, TURNED)
+
     @trimmed
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width))
+        total = np.zeros((turned, turned))
         for batch in batches:
-            x = matrix(batch.column(0), width).astype(np.float64)
+            x = matrix(batch.column(0), turned).astype(np.float64)
             total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(total.ravel())], names=["k", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(turned * turned)), pa.array(total.ravel())], names=["k", "s"])
 
-    sums = rows.select("v").mapInArrow(gram, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).toPandas()
-    square = np.zeros(width * width)
+    sums = rows.select(F.slice("v", 1, turned).alias("v")).mapInArrow(gram, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).toPandas()
+    square = np.zeros(turned * turned)
     square[sums["k"].to_numpy()] = sums["s"].to_numpy()
-    rotation = np.linalg.eigh(square.reshape(width, width))[1][:, ::-1].copy()
+    rotation = np.linalg.eigh(square.reshape(turned, turned))[1][:, ::-1].copy()
 
+    block_rows = max(1, min(CAND_BLOCK, COMPONENTS // width))
     length = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     sized = rows.withColumn("length", length)
-    longest = sized.orderBy(F.desc("length"), "id").limit(SEED).select("id", "v").toArrow().combine_chunks()
-    seed_ids, seed_v = longest.column("id").to_numpy(), matrix(longest.column("v").combine_chunks() if isinstance(longest.column("v"), pa.ChunkedArray) else longest.column("v"), width)
+    longest = sized.orderBy(F.desc("length"), "id").limit(min(SEED, block_rows)).select("id", "v").toArrow().combine_chunks()
+    seed_ids, seed_v = longest.column("id").to_numpy(), matrix(_whole(longest.column("v")), width)
     dealt = sized.repartitionByRange(F.desc("length"), F.col("id")).sortWithinPartitions(F.desc("length"), "id").select("id", "v")
 
-    asked = rows.where(F.pmod("id", F.lit(every)) == 0)
-    n_asked = asked.count()
-    passes = -(-n_asked // query_block) or 1
+    asked = rows.where(F.pmod("id", F.lit(every)) == 0).select("id", "v").distinct()
+    passes = -(-asked.count() // max(1, min(query_block, 8 * COMPONENTS // width))) or 1
+    if passes > 1:
+        asked, dealt = checkpointed(asked), checkpointed(dealt)
     found = None
     for number in range(passes):
         block = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == number)
-        table = block.orderBy("id").toArrow().combine_chunks()
+        table = block.orderBy("id", "v").toArrow().combine_chunks()
         if not table.num_rows:
             continue
-        vec = table.column("v").combine_chunks() if isinstance(table.column("v"), pa.ChunkedArray) else table.column("v")
-        search = Search(table.column("id").to_numpy(), matrix(vec, width), rotation, k)
+        search = Search(table.column("id").to_numpy(), matrix(_whole(table.column("v")), width), rotation, k)
         start = Ranked(np.full(len(search.ids), -np.inf), k)
-        for a in range(0, len(seed_ids), CAND_BLOCK):
-            search.scan(seed_ids[a : a + CAND_BLOCK], seed_v[a : a + CAND_BLOCK], start)
+        search.scan(seed_ids, seed_v, start)
         shipped = spark.sparkContext.broadcast((search, start.floor))
 
         @trimmed
         def scan(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             search, floor = shipped.value
-            best, go = Ranked(floor.copy(), k), True
+            best = Ranked(floor.copy(), k)
             for batch in batches:
-                for a in range(0, batch.num_rows if go else 0, CAND_BLOCK):
-                    part = batch.slice(a, CAND_BLOCK)
-                    ids = part.column(0).to_numpy()
-                    go = go and search.scan(ids, matrix(part.column(1), width), best)
+                for a in range(0, batch.num_rows, block_rows):
+                    part = batch.slice(a, block_rows)
+                    search.scan(part.column(0).to_numpy(), matrix(part.column(1), width), best)
             q, i, s = best.fold()
-            yield pa.RecordBatch.from_arrays([pa.array(search.ids[q]), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(search.ids[q]), pa.array(q), pa.array(i), pa.array(s)], names=["query_id", "query", "vec_id", "score"])
 
-        part = dealt.mapInArrow(scan, schema)
+        part = dealt.mapInArrow(scan, "query_id long, query long, vec_id long, score long")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _whole(column) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
 def report(vectors: DataFrame) -> DataFrame:
     return top_k(vectors)

@@ -404,3 +404,55 @@ def test_keep_first_goes_by_the_similarity_of_five_word_shingles(spark, often, m
         least.setdefault(root[k], k)
     kept = sorted(r["doc_id"] for r in simhash.keep_first(frame(spark, list(enumerate(docs)))).select("doc_id").collect())
     assert 60 < len(kept) < len(docs) and kept == sorted(least.values())
+
+
+def test_pii_is_linear_in_the_spans_of_a_text():
+    import time
+
+    from quarryline.llm import pii
+
+    text = "4111111111111111; account GB82WEST12345698765432; " * 20_000
+    began = time.time()
+    base, more = pii.find_spans(text)
+    assert len(base) == 20_000 and len(more) == 20_000 and time.time() - began < 20
+
+
+def test_decontamination_keeps_documents_of_one_id_apart(spark):
+    from quarryline.llm import decontaminate
+
+    a, b = (" ".join(f"{x}{k}" for k in range(8)) for x in "ab")
+    docs, items = frame(spark, [(1, a), (1, b), (1, a), (None, b)]), spark.createDataFrame([(10, a), (20, b), (20, b)], "item_id long, text string")
+    got = [collected(decontaminate.find_overlaps(docs, items, block_bytes=size).select("doc_id", "n_hit", F.array_join("item_ids", ","), F.size("hits"))) for size in (1 << 20, 30)]
+    assert got[0] == got[1] == [(None, 8, "20", 1), (1, 8, "10", 1), (1, 8, "10", 1), (1, 8, "20", 1)]
+
+
+def test_top_k_of_repeated_queries(spark):
+    from quarryline.llm import topk
+
+    rng = np.random.default_rng(11)
+    vec = rng.normal(size=(60, 6))
+    rows = [(k, v.tolist()) for k, v in enumerate(vec)] + [(20, vec[20].tolist()), (40, vec[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.report(df).collect()
+    whole = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows]
+    want = []
+    for i, q in [(0, whole[0][1]), (20, whole[20][1]), (40, whole[40][1]), (40, whole[61][1])]:
+        best = sorted((-int(q @ v), j) for j, v in whole if j != i)[:20]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_top_k_prunes_pairs_by_partial_sums():
+    from quarryline.llm.topk import Ranked, Search
+
+    rng = np.random.default_rng(12)
+    v = np.floor(64 * rng.normal(size=(3000, 16)) * np.linspace(2, 0.1, 16)).astype(np.int64)
+    rotation = np.linalg.eigh((v.T @ v).astype(float))[1][:, ::-1].copy()
+    search, best = Search(np.arange(50), v[:50], rotation, 5), Ranked(np.full(50, -np.inf), 5)
+    order = np.argsort(-(v * v).sum(1))
+    for a in range(0, 3000, 500):
+        search.scan(order[a : a + 500], v[order[a : a + 500]], best)
+    q, i, s = best.fold()
+    for k in range(50):
+        assert sorted(s[q == k].tolist()) == sorted(np.delete(v @ v[k], k).tolist())[-5:]
+    assert search.left[2] < search.seen / 4
