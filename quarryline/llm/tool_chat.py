@@ -21,9 +21,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, drop
 
 REPLY = "reply"
+#: Calls, results and places are unique by conversation and identifier, so each task's hash table is as small as its part.
+HASH = "shuffle_hash"
 _CALL = r"(?s)<tool_call>(.*?)</tool_call>"
 #: Names of variant types that satisfy a JSON Schema type.
 _KINDS = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"], "null": ["VOID"]}
@@ -94,33 +96,38 @@ def link(messages: DataFrame, tools: tuple[Tool, ...] = PLAIN) -> DataFrame:
     calls = events.select("conv_id", "turn", F.inline("calls")).where(F.col("id").isNotNull() & F.col("conv_id").isNotNull())
     first = calls.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "name", "args")).alias("call"), F.count("*").alias("uses"))
     results = events.where(F.col("answers").isNotNull() & F.col("conv_id").isNotNull()).groupBy("conv_id", F.col("answers").alias("id")).agg(F.count("*").alias("n_results"))
-    known = first.join(results, ["conv_id", "id"], "left")
+    known = first.join(results.hint(HASH), ["conv_id", "id"], "left")
     target = known.select("conv_id", F.col("id").alias("answers"), F.col("call.name").alias("answered_name"), F.col("call.turn").alias("answered_turn"))
-    return events.join(target, ["conv_id", "answers"], "left"), known
+    return events.join(target.hint(HASH), ["conv_id", "answers"], "left"), known
 
 
 def order(events: DataFrame, known: DataFrame) -> DataFrame:
-    """Topological place (at_turn, level) of every call that waits for others, by relaxing along the `after` links."""
+    """Topological place (at_turn, level) of every call that waits for others, by relaxing along the `after` links. A round
+    writes the calls that are still open once, with what they have met so far; those that met all they wait for are placed."""
     calls = events.select("conv_id", "turn", F.inline("calls")).where(F.col("id").isNotNull() & F.col("conv_id").isNotNull())
-    waits = calls.select("conv_id", "id", F.explode(F.array_distinct("after")).alias("on")).join(known.select("conv_id", F.col("id").alias("on")), ["conv_id", "on"]).distinct()
-    waits = checkpointed(waits)
+    names = known.select("conv_id", F.col("id").alias("on"))
+    waits = checkpointed(calls.select("conv_id", "id", F.explode(F.array_distinct("after")).alias("on")).join(names.hint(HASH), ["conv_id", "on"], "left_semi").distinct())
     place = known.select("conv_id", "id", F.col("call.turn").alias("at_turn"), F.lit(0).alias("level"))
-    links = waits.count()
-    if not links:
+    if waits.isEmpty():
+        drop(waits)
         return place.withColumn("cyclic", F.lit(False))
-    waiting = waits.select("conv_id", "id").distinct()
-    done = checkpointed(place.join(waiting, ["conv_id", "id"], "left_anti"))
-    open_ = checkpointed(place.join(waiting, ["conv_id", "id"], "left_semi"))
-    while True:
-        met = waits.join(done.select("conv_id", F.col("id").alias("on"), F.col("at_turn").alias("t"), F.col("level").alias("l")), ["conv_id", "on"], "left")
-        ready = met.groupBy("conv_id", "id").agg(F.max(F.struct("t", "l")).alias("m"), F.bool_and(F.col("l").isNotNull()).alias("all")).where("all")
-        now = open_.join(ready, ["conv_id", "id"]).select("conv_id", "id", F.greatest("at_turn", "m.t").alias("at_turn"), F.when(F.col("m.t") >= F.col("at_turn"), F.col("m.l") + 1).otherwise(F.lit(0)).alias("level"))
-        now = checkpointed(now)
-        if now.isEmpty():
-            break
-        done = checkpointed(done.unionByName(now))
-        open_ = checkpointed(open_.join(now, ["conv_id", "id"], "left_anti"))
-    return done.withColumn("cyclic", F.lit(False)).unionByName(open_.withColumn("cyclic", F.lit(True)))
+    number = waits.groupBy("conv_id", "id").agg(F.count("*").alias("left"))
+    met = F.struct(F.col("at_turn").alias("t"), F.lit(-1).alias("l"))
+    state = checkpointed(place.join(number.hint(HASH), ["conv_id", "id"], "left").select("conv_id", "id", "at_turn", F.coalesce("left", F.lit(0)).alias("left"), met.alias("met")))
+    # the latest of what a call waits for; its own turn, with no level yet, where that is later
+    level = F.when((F.col("met.t") >= F.col("at_turn")) & (F.col("met.l") >= 0), F.col("met.l") + 1).otherwise(F.lit(0))
+    placed = lambda s: s.where("left = 0").select("conv_id", "id", F.greatest("at_turn", "met.t").alias("at_turn"), level.alias("level"))
+    done = [placed(state)]
+    while not (now := done[-1]).isEmpty():
+        step = waits.join(now.select("conv_id", F.col("id").alias("on"), F.struct(F.col("at_turn").alias("t"), F.col("level").alias("l")).alias("of")).hint(HASH), ["conv_id", "on"])
+        step = step.groupBy("conv_id", "id").agg(F.count("*").alias("gone"), F.max("of").alias("of"))
+        open_ = state.where("left > 0").join(step.hint(HASH), ["conv_id", "id"], "left")
+        state = checkpointed(open_.select("conv_id", "id", "at_turn", (F.col("left") - F.coalesce("gone", F.lit(0))).alias("left"), F.greatest("met", "of").alias("met")))
+        done.append(placed(state))
+    out = state.where("left > 0").select("conv_id", "id", "at_turn", F.lit(0).alias("level"), F.lit(True).alias("cyclic"))
+    for part in done:
+        out = out.unionByName(part.withColumn("cyclic", F.lit(False)))
+    return out
 
 
 def format_chat(messages: DataFrame, tools: tuple[Tool, ...] = PLAIN) -> DataFrame:
@@ -132,7 +139,7 @@ def format_chat(messages: DataFrame, tools: tuple[Tool, ...] = PLAIN) -> DataFra
     calls = own.select("conv_id", "row", "turn", F.posexplode("calls").alias("k", "c")).select("conv_id", "row", "k", "c.*")
     # repeated messages hold the same calls: each is looked up once
     calls = calls.groupBy("conv_id", "row", "k").agg(F.first("id").alias("id"), F.first("name").alias("name"), F.first("args").alias("args"))
-    seen = calls.join(known.select("conv_id", "id", F.coalesce("n_results", F.lit(0)).alias("n_results")), ["conv_id", "id"], "left").join(places, ["conv_id", "id"], "left")
+    seen = calls.join(known.select("conv_id", "id", F.coalesce("n_results", F.lit(0)).alias("n_results")).hint(HASH), ["conv_id", "id"], "left").join(places.hint(HASH), ["conv_id", "id"], "left")
     error = argument_error(tools, F.col("name"), F.col("args"))
     canonical = F.to_json(F.try_parse_json("args"))
     body = F.concat(F.lit('{"arguments":'), F.coalesce(canonical, F.lit("null")), F.lit(',"id":'), _text(F.col("id")), F.lit(',"name":'), _text(F.col("name")), F.lit("}"))
@@ -141,7 +148,7 @@ def format_chat(messages: DataFrame, tools: tuple[Tool, ...] = PLAIN) -> DataFra
         F.transform(F.array_sort(F.collect_list(F.struct("k", body.alias("b")))), lambda x: x["b"]).alias("bodies"),
         F.count_if(F.coalesce("n_results", F.lit(0)) == 0).alias("n_unanswered"), F.count_if(F.col("error").isNotNull()).alias("n_invalid"), F.max(F.struct("at_turn", "level")).alias("p"), F.coalesce(F.bool_or("cyclic"), F.lit(False)).alias("cyclic"),
     )
-    out = own.join(per, "row", "left").join(places.select("conv_id", F.col("id").alias("answers"), F.col("at_turn").alias("a_turn"), F.col("level").alias("a_level")), ["conv_id", "answers"], "left")
+    out = own.join(per.hint(HASH), "row", "left").join(places.select("conv_id", F.col("id").alias("answers"), F.col("at_turn").alias("a_turn"), F.col("level").alias("a_level")).hint(HASH), ["conv_id", "answers"], "left")
     later = F.greatest(F.struct(F.col("turn").alias("t"), F.lit(0).alias("l")), F.when(F.col("p").isNotNull(), F.struct(F.col("p.at_turn").alias("t"), F.col("p.level").alias("l"))), F.when(F.col("answered_name").isNotNull(), F.struct(F.col("a_turn").alias("t"), (F.col("a_level") + 1).alias("l"))))
     linked = F.col("answered_name").isNotNull()
     shown = F.when(F.size("calls") > 0, F.concat(F.lit('"calls":['), F.array_join("bodies", ","), F.lit("]")))

@@ -107,13 +107,15 @@ class Search:
 
     def scan(self, ids: np.ndarray, v: np.ndarray, best: Ranked) -> None:
         """Candidates of one block, longest first."""
+        if not len(ids):
+            return
         y, rest = self.turn(v)
         most = float(rest[:, 0].max(initial=0))
         slack = 1e-9 * (1.0 + self.rest[:, 0] * most)
         need = best.floor - slack
         self.seen += len(self.ids) * len(ids)
         alive = np.flatnonzero(self.rest[:, 0] * most >= need)
-        for part in np.array_split(alive, -(-len(alive) // 1024) or 1):
+        for part in np.array_split(alive, -(-len(alive) // 1024)) if len(alive) else ():
             row, col = part, np.arange(len(ids))
             total = np.zeros((len(row), len(col)))
             for stage, (a, b) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True), 1):

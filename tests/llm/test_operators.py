@@ -456,3 +456,43 @@ def test_top_k_prunes_pairs_by_partial_sums():
     for k in range(50):
         assert sorted(s[q == k].tolist()) == sorted(np.delete(v @ v[k], k).tolist())[-5:]
     assert search.left[2] < search.seen / 4
+
+
+def test_tool_chat_orders_chains_like_a_plain_relaxation(spark):
+    import json
+
+    from quarryline.llm import tool_chat
+
+    rng = random.Random(3)
+    rows, waits, turn_of = [], {}, {}
+    for conv in range(6):
+        n = 12
+        turns = rng.sample(range(1, 50), n)
+        for k in range(n):
+            after = [f"c{j}" for j in range(n) if j != k and rng.random() < 0.12] + ["gone"] * (k % 2)
+            rows.append((conv, turns[k], "assistant", "<tool_call>" + json.dumps({"id": f"c{k}", "name": "reply", "arguments": {"prompt": "p"}, "after": after}) + "</tool_call>"))
+            waits[conv, f"c{k}"], turn_of[conv, f"c{k}"] = [a for a in after if a != "gone"], turns[k]
+    place = {}
+    while True:
+        new = {}
+        for (conv, c), on in waits.items():
+            if (conv, c) not in place and all((conv, a) in place for a in on):
+                t, level = max((place[conv, a] for a in on), default=(-1, -1))
+                new[conv, c] = (t, level + 1) if t >= turn_of[conv, c] and level >= 0 else (turn_of[conv, c], 0)
+        if not new:
+            break
+        place |= new
+    got = tool_chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert 0 < sum(r["cyclic"] for r in got) < len(rows)
+    for r in got:
+        c = (r["conv_id"], json.loads(r["json"])["calls"][0]["id"])
+        assert r["cyclic"] == (c not in place)
+        assert (r["at_turn"], r["level"]) == place.get(c, (turn_of[c], 0))
+
+
+def test_tool_chat_joins_by_hash(spark):
+    from quarryline.llm import tool_chat
+
+    rows = [(1, 1, "user", "hi"), (1, 2, "assistant", "ho")]
+    plan = tool_chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
