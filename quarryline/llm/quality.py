@@ -3,12 +3,18 @@
 Each line is good or bad. A line is seen through counts of its characters and words, how it repeats, and the same figures
 of the lines before and after it. The chain's two-state transition weights tie neighbours together; forward-backward gives
 each line's marginal, and the marginals weighted by line length give the document's quality, put on the scale of a
-probability by a logistic fit. Labels exist for documents only, so in training every line carries its document's label.
-
-Training reads at most TRAIN_DOCS labelled documents, those with the smallest hash of doc_id; scoring reads every text
-whole. Defined results: null and empty texts are one empty line and get a score; repeated labels of a document count once
-(the smallest); labels without quality or doc_id teach nothing; without any label of one of the classes every score is the
-share of label 1, or one half without labels.
+probability by a logistic fit.
+
+Labels exist for documents only, so the labels of lines are hidden: after a start in which lines carry their document's
+label and the chain has no ties, emissions and ties are fitted to the label's likelihood under the length-weighted
+marginals. The gradient of a document's weighted marginals is the covariance of the weights and the features under the
+chain, had from two forward-backward passes with the weights put on and taken off the emissions.
+
+Training reads a bounded sample: of at most TRAIN_DOCS labelled documents, those with the smallest hash of doc_id, as many
+as have TRAIN_LINES lines together; of several texts of one doc_id the smallest teaches. Scoring reads every text whole.
+Defined results: null and empty texts are one empty line and get a score; repeated labels of a document count once (the
+smallest); labels without quality or doc_id teach nothing; a null doc_id is held out; without any label of one of the
+classes every score is the share of label 1, or one half without labels; a column that has the name of the score is replaced.
 """
 
 from __future__ import annotations
@@ -18,17 +24,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, binary_parts, byte_class, prefix_hash, span_hash, text_bytes, trimmed, word_spans
+from .common import LOWER, NOT_SPACE, binary_parts, byte_class, checkpointed, drop, prefix_hash, span_hash, text_bytes, trimmed, word_spans
 
-#: Bound of the training sample, in documents.
-TRAIN_DOCS = 6000
+#: Bounds of the training sample, in documents and in lines.
+TRAIN_DOCS, TRAIN_LINES = 6000, 300_000
 THRESHOLD = 0.3
 FOLDS = 5
-STEPS = 150
+#: Steps of the start and of the fit to the documents' labels.
+START, STEPS = 60, 80
 RIDGE = 1e-3
+NUDGE = 1e-3
 
 _UPPER = byte_class(r"[A-Z]")
 _ALPHA = byte_class(r"[A-Za-z\x80-\xFF]")
@@ -130,10 +138,10 @@ class Field:
     shift: float = 0.0
     constant: float | None = None
 
-    def messages(self, x: np.ndarray, line_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    def messages(self, x: np.ndarray, line_of: np.ndarray, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Emissions, forward and backward log messages, and the order they were made in."""
         emit = np.zeros((len(x), 2))
-        emit[:, 1] = x @ self.weights
+        emit[:, 1] = x @ self.weights + (0 if extra is None else extra)
         ahead, back = np.zeros_like(emit), np.zeros_like(emit)
         steps, first, last = _by_step(line_of), line_of[:-1], line_of[1:] - 1
         for t, docs in enumerate(steps):
@@ -171,8 +179,36 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+class Climb:
+    """Adam, uphill."""
+
+    def __init__(self, n: int, rate: float):
+        self.m, self.v, self.step, self.rate = np.zeros(n), np.zeros(n), 0, rate
+
+    def move(self, grad: np.ndarray) -> np.ndarray:
+        self.step += 1
+        self.m, self.v = 0.9 * self.m + 0.1 * grad, 0.999 * self.v + 0.001 * grad * grad
+        return self.rate * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.v / (1 - 0.999**self.step)) + 1e-8)
+
+
+def expected(f: Field, z: np.ndarray, line_of: np.ndarray, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the lines, and the expected features and ties of all chains; extra is added to good emissions."""
+    _, ahead, back, _ = f.messages(z, line_of, extra)
+    both = ahead + back
+    total = np.logaddexp(both[:, 0], both[:, 1])
+    good = np.exp(both[:, 1] - total)
+    inner = np.ones(len(z), bool)
+    inner[line_of[:-1]] = False
+    at = np.flatnonzero(inner)
+    emit = np.zeros((len(z), 2))
+    emit[:, 1] = z @ f.weights + (0 if extra is None else extra)
+    joint = ahead[at - 1][:, :, None] + f.pair + (emit[at] + back[at])[:, None, :] - total[at][:, None, None]
+    return good, np.concatenate([z.T @ good, np.exp(joint).sum(0).ravel()])
+
+
 def train(x: np.ndarray, size: np.ndarray, line_of: np.ndarray, label: np.ndarray, steps: int = STEPS) -> Field:
-    """Maximum likelihood of the label sequences with a ridge, by Adam over all documents; then the logistic scale."""
+    """A start from line labels, then the likelihood of the documents' labels with hidden lines, both with a ridge; then
+    the logistic scale."""
     if not len(label):
         return Field(np.zeros(N_ALL), np.zeros((2, 2)), constant=0.5)
     if label.min() == label.max():
@@ -180,24 +216,21 @@ def train(x: np.ndarray, size: np.ndarray, line_of: np.ndarray, label: np.ndarra
     scale = x.std(0)
     scale[scale < 1e-9] = 1.0
     z = x / scale
-    theta, m, v = np.zeros(N_ALL + 4), np.zeros(N_ALL + 4), np.zeros(N_ALL + 4)
-    per_doc = np.diff(line_of)
-    line_label = np.repeat(label, per_doc).astype(float)
-    seen = z.T @ line_label
-    inner = np.ones(len(z), bool)
-    inner[line_of[:-1]] = False
-    at = np.flatnonzero(inner)
-    pairs_seen = np.array([[((line_label[at] == b) & (line_label[at - 1] == a)).sum() for b in (0, 1)] for a in (0, 1)], float)
-    for step in range(1, steps + 1):
+    theta = np.zeros(N_ALL + 4)
+    line_label = np.repeat(label, np.diff(line_of)).astype(float)
+    climb = Climb(N_ALL, 0.15)
+    for _ in range(START):
+        good = 1 / (1 + np.exp(-np.clip(z @ theta[:N_ALL], -30, 30)))
+        theta[:N_ALL] += climb.move(z.T @ (line_label - good) / len(z) - RIDGE * theta[:N_ALL])
+    share = (size + 1.0) / np.repeat(np.add.reduceat(size + 1.0, line_of[:-1]), np.diff(line_of))
+    climb = Climb(N_ALL + 4, 0.05)
+    for _ in range(steps):
         f = Field(theta[:N_ALL], theta[N_ALL:].reshape(2, 2))
-        emit, ahead, back, _ = f.messages(z, line_of)
-        both = ahead + back
-        total = np.logaddexp(both[:, 0], both[:, 1])
-        good = np.exp(both[:, 1] - total)
-        joint = ahead[at - 1][:, :, None] + f.pair + (emit[at] + back[at])[:, None, :] - total[at][:, None, None]
-        grad = np.concatenate([seen - z.T @ good, (pairs_seen - np.exp(joint).sum(0)).ravel()]) / len(label) - RIDGE * theta
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        theta = theta + 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        good, _ = expected(f, z, line_of)
+        mean = np.clip(np.add.reduceat(good * share, line_of[:-1]), 1e-3, 1 - 1e-3)
+        push = np.repeat((label / mean - (1 - label) / (1 - mean)), np.diff(line_of)) * share * NUDGE
+        more, less = (expected(f, z, line_of, sign * push)[1] for sign in (1, -1))
+        theta = theta + climb.move((more - less) / (2 * NUDGE * len(label)) - RIDGE * theta)
     field = Field(theta[:N_ALL] / scale, theta[N_ALL:].reshape(2, 2))
     s = _logit(field.raw(x, size, line_of))
     a, b = 1.0, 0.0
@@ -213,14 +246,19 @@ def train(x: np.ndarray, size: np.ndarray, line_of: np.ndarray, label: np.ndarra
 
 
 def held_out(id_col="doc_id"):
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS)) == 0
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == 0
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="quality", train_docs: int = TRAIN_DOCS) -> Field:
+def fit(documents: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="quality", train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Field:
     """A field from a bounded sample of labelled documents that are not held out. The executors make the features."""
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(train_docs)
-    texts = documents.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t")).join(F.broadcast(chosen), "id").select("id", "y", "t")
+    texts = documents.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("t").alias("t"))
+    texts = checkpointed(texts)
+    # at most train_docs rows are left, so one task can add up their lines
+    lines = F.length("t") - F.length(F.regexp_replace(F.decode("t", "UTF-8"), "\n", "").cast("binary")) + 1
+    upto = texts.select("id", lines.alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id")))
+    texts_used = texts.join(F.broadcast(upto.where(F.col("upto") <= train_lines).select("id")), "id").select("id", "y", "t")
 
     @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +269,8 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="t
                 sizes = [size[a:b].astype(np.int32).tobytes() for a, b in zip(line_of[:-1], line_of[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(packed, pa.binary()), pa.array(sizes, pa.binary())], names=["id", "y", "x", "s"])
 
-    rows = texts.mapInArrow(scan, f"id {documents.schema[id_col].dataType.simpleString()}, y int, x binary, s binary").toArrow()
+    rows = texts_used.mapInArrow(scan, f"id {documents.schema[id_col].dataType.simpleString()}, y int, x binary, s binary").toArrow()
+    drop(texts)
     order = sorted(range(rows.num_rows), key=lambda k: (rows["id"][k].as_py(), rows["x"][k].as_py()))
     x = [np.frombuffer(rows["x"][k].as_py(), np.float32).reshape(-1, N_ALL) for k in order]
     size = [np.frombuffer(rows["s"][k].as_py(), np.int32) for k in order]
@@ -243,6 +282,8 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="t
 
 def score(documents: DataFrame, field: Field, *, text_col="text", out_col="score") -> DataFrame:
     """documents with a score; every other column stays."""
+    if out_col != text_col:
+        documents = documents.drop(out_col)
     shipped, names = documents.sparkSession.sparkContext.broadcast(field), documents.columns
 
     @trimmed
