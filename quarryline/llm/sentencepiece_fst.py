@@ -1,16 +1,24 @@
 """SentencePiece encoding and decoding as a shortest path through a weighted transducer.
 
-Three machines are compiled from a model file: the normaliser (spaces become U+2581, one is put in front), the pieces
-(a trie whose every final state outputs an id), and byte fallback (a character that no piece holds outputs its UTF-8
-bytes). A merge vocabulary is a transducer over pairs of neighbouring pieces: an arc from piece p to piece q has weight
-one if merging their joint text by the model's priorities gives p, q again, and infinite weight otherwise. Segmenting by
-merges is local in this sense: a path is the model's segmentation exactly when each of its arcs is finite. So the tropical
-shortest path through the composition of an input with the machine, found position by position, is the library's result.
+Three machines are compiled from a model file:
+
+- the normaliser, from the model's own settings: one arc for each state and class of characters, with what it outputs (a
+  space put in front, spaces as U+2581, runs of spaces as one where the model says so);
+- the pieces: states are pieces, and an arc from piece p to piece q reads q's characters, outputs its id and weighs
+  w(p, q). A merge vocabulary weighs 1 where merging the joint text of p and q by the model's priorities gives p, q again,
+  and infinitely much otherwise: segmenting by merges is local in this sense, a path is the model's segmentation exactly
+  when each of its arcs is finite;
+- byte fallback: an arc reads a character that no piece holds and outputs the ids of its UTF-8 bytes, at weight 1.
+
+An input is composed with them: states of the composition are (position, piece), arcs are the pieces that Aho-Corasick finds
+to end at each position. Relaxing the arcs in that order, over (min, +), gives the shortest path, which is the library's
+result.
 
 No piece holds U+2581 behind another character, nor most punctuation behind a letter, so inputs are composed one stretch at
 a time, which ends where no piece reaches across; stretches and arc weights that were worked out are remembered in bounded tables of a worker.
 
-Defined results: null texts count as empty; an empty text has no ids; decoding replaces broken UTF-8 by U+FFFD.
+Defined results: null texts count as empty; an empty text has no ids; decoding replaces broken UTF-8 by U+FFFD; columns of
+the names that are put out are replaced; a model with a table of character rules or without merges is refused.
 """
 
 from __future__ import annotations
@@ -26,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, trimmed
-from .vocabulary import SPACE, Pieces
+from .vocabulary import SPACE, Pieces, Spec
 
 #: Entries of the worker's table of stretches, about 200 bytes each, before it starts anew.
 REMEMBERED = 1_000_000
@@ -34,11 +42,42 @@ INF = float("inf")
 _machines: dict[int, Transducer] = {}
 
 
+class Normaliser:
+    """A transducer over three classes of input: the text's start, spaces, and other characters. Its states are START, INSIDE
+    and GAP (behind a space that is not yet put out); an arc is (output before the character, whether the character itself is
+    put out, next state)."""
+
+    START, INSIDE, GAP = range(3)
+
+    def __init__(self, spec: Spec):
+        space = SPACE if spec.escape else " "
+        front = space if spec.dummy_prefix else ""
+        word = {self.START: (front, True, self.INSIDE), self.INSIDE: ("", True, self.INSIDE), self.GAP: (space, True, self.INSIDE)}
+        if spec.one_space:
+            blank = {self.START: ("", False, self.START), self.INSIDE: ("", False, self.GAP), self.GAP: ("", False, self.GAP)}
+        else:
+            blank = {self.START: (front + space, False, self.INSIDE), self.INSIDE: (space, False, self.INSIDE)}
+        self.arcs = {(state, kind): arc for kind, arcs in (("word", word), ("space", blank)) for state, arc in arcs.items()}
+        #: Where spaces lead from INSIDE to itself, the arcs behind the start make one substitution.
+        self.steady = blank[self.INSIDE][0] if blank[self.INSIDE][2] == self.INSIDE else None
+        self.front = front
+
+    def compose(self, text: str) -> str:
+        if self.steady is not None:
+            return self.front + text.replace(" ", self.steady) if text else ""
+        state, out = self.START, []
+        for c in text:
+            before, self_out, state = self.arcs[state, "space" if c == " " else "word"]
+            out.append(before + c if self_out else before)
+        return "".join(out)
+
+
 class Transducer:
     def __init__(self, pieces: Pieces):
         import ahocorasick
 
-        self.pieces = pieces
+        pieces.spec.check()
+        self.pieces, self.normaliser = pieces, Normaliser(pieces.spec)
         self.score = {p: s for p, (_, s) in pieces.ordinary.items()}
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
             raise ValueError("a piece holds U+2581 behind another character; stretches can't be composed one at a time")
@@ -47,22 +86,19 @@ class Transducer:
         lone = sorted(known - self.score.keys())
         self.labels = ["", *self.score, *lone]
         self.ids = [0, *(k for k, _ in pieces.ordinary.values()), *(-1 for _ in lone)]
-        self.arcs = ahocorasick.Automaton()
+        self.trie = ahocorasick.Automaton()
         for k, p in enumerate(self.labels[1:], 1):
-            self.arcs.add_word(p, (len(p), k))
-        self.arcs.make_automaton()
+            self.trie.add_word(p, (len(p), k))
+        self.trie.make_automaton()
         inner = "".join(map(re.escape, sorted(known - {SPACE})))
         self.cut = re.compile(f"{SPACE}*[{inner}]+|{SPACE}+|.", re.S)
         self.letters = frozenset(c for c in known if c.isalpha())
         #: What no piece holds right behind a letter.
         self.behind = frozenset(known - {SPACE} - {b for p in self.score for a, b in zip(p, p[1:], strict=False) if a in self.letters})
-        #: Whether the arc from piece p to piece q, under the key p * labels + q, has a finite weight.
-        self.finite: dict[int, bool] = {}
+        #: Weights of the arcs that were met, under the key p * labels + q.
+        self.weights: dict[int, float] = {}
         self.table = _Remembered(self)
 
-    def normalise(self, text: str) -> str:
-        return SPACE + text.replace(" ", SPACE) if text else ""
-
     def merged(self, text: str) -> list[str]:
         """What merging neighbours by priority, leftmost first, makes of a short text."""
         parts = list(text)
@@ -77,30 +113,34 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def weigh(self, p: int, q: int) -> bool:
-        if len(self.finite) >= REMEMBERED:
-            self.finite.clear()
+    def weight(self, p: int, q: int) -> float:
+        """Of the arc from piece p to piece q."""
+        if len(self.weights) >= REMEMBERED:
+            self.weights.clear()
         a, b = self.labels[p], self.labels[q]
-        ok = self.finite[p * len(self.labels) + q] = self.merged(a + b) == ([a, b] if a else [b])
-        return ok
+        w = self.weights[p * len(self.labels) + q] = 1.0 if self.merged(a + b) == ([a, b] if a else [b]) else INF
+        return w
 
     def shortest(self, stretch: str) -> list[int]:
-        """Labels on the shortest path of one stretch of known characters. Exactly one arc of finite total weight ends
-        at a position that the path of some prefix reaches, so the first one found is the shortest."""
-        n, labels = len(self.labels), self.labels
-        last, known = [-1] * (len(stretch) + 1), self.finite.get
-        last[0] = 0
-        for end, (size, q) in self.arcs.iter(stretch):
-            end += 1
-            if last[end] < 0 and (p := last[end - size]) >= 0:
-                ok = known(p * n + q)
-                if ok or ok is None and self.weigh(p, q):
-                    last[end] = q
+        """Labels on the shortest path through the composition of one stretch of known characters with the pieces. at[k]
+        holds the states (k, piece) that a finite path reaches: piece -> (weight, piece before)."""
+        n, labels, known = len(self.labels), self.labels, self.weights.get
+        at: list[dict[int, tuple[float, int]]] = [{} for _ in range(len(stretch) + 1)]
+        at[0][0] = (0.0, 0)
+        for last, (size, q) in self.trie.iter(stretch):
+            here = at[last + 1]
+            for p, (so_far, _) in at[last + 1 - size].items():
+                w = known(p * n + q)
+                total = so_far + (self.weight(p, q) if w is None else w)
+                if total < INF and (q not in here or total < here[q][0]):
+                    here[q] = (total, p)
         out, end = [], len(stretch)
+        label = min(at[end], key=lambda q: at[end][q][0])
         while end:
-            q = last[end]
-            out.append(q)
-            end -= len(labels[q])
+            out.append(label)
+            before = at[end][label][1]
+            end -= len(labels[label])
+            label = before
         out.reverse()
         return out
 
@@ -113,7 +153,7 @@ class Transducer:
 
     def output(self, stretch: str) -> bytes:
         """Ids of a stretch, as packed 32-bit integers."""
-        path = self.shortest(stretch) if self.arcs.exists(stretch[0]) else []
+        path = self.shortest(stretch) if self.trie.exists(stretch[0]) else []
         out: list[int] = []
         for k in path:
             if self.ids[k] >= 0:
@@ -127,11 +167,11 @@ class Transducer:
         return [ids[b] for b in c.encode("utf-8", "replace")] if ids else [self.pieces.unknown]
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.table.__getitem__, self.cut.findall(self.normalise(text)))), np.int32)
+        return np.frombuffer(b"".join(map(self.table.__getitem__, self.cut.findall(self.normaliser.compose(text)))), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
-        raw = b"".join(map(self.pieces.texts.__getitem__, ids))
-        return raw.decode("utf-8", "replace").removeprefix(" ")
+        text = b"".join(map(self.pieces.texts.__getitem__, ids)).decode("utf-8", "replace")
+        return text.removeprefix(" ") if self.pieces.spec.dummy_prefix else text
 
 
 class _Remembered(dict):
@@ -183,6 +223,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 def encode(documents: DataFrame, *, text_col="text", model: str | None = None, ids_col="ids") -> DataFrame:
     """documents with a column of ids, array<int>; every other column stays."""
     small_batches(documents.sparkSession)
+    documents = documents.drop(ids_col) if ids_col != text_col else documents
     shipped, names = ship(documents.sparkSession, model), documents.columns
 
     @trimmed
@@ -216,6 +257,7 @@ def decode(encoded: DataFrame, *, ids_col="ids", text_col="text", model: str | N
 def encode_checked(documents: DataFrame, *, text_col="text", model: str | None = None) -> DataFrame:
     """documents with ids array<int>, n_tokens, and round_trip: whether the ids decode to the text."""
     small_batches(documents.sparkSession)
+    documents = documents.drop(*{"ids", "n_tokens", "round_trip"} - {text_col})
     shipped, names = ship(documents.sparkSession, model), documents.columns
 
     @trimmed

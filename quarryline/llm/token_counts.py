@@ -101,8 +101,9 @@ def _counter(broadcast, number: int) -> Counter:
 
 
 def count_tokens(documents: DataFrame, *, text_col="text", model: str | None = None, out_col="n_tokens") -> DataFrame:
-    """documents with the number of tokens of a text; every other column stays."""
+    """documents with the number of tokens of a text; every other column stays, but one of that name."""
     small_batches(documents.sparkSession)
+    documents = documents.drop(out_col) if out_col != text_col else documents
     broadcast = documents.sparkSession.sparkContext.broadcast(unigram_scores(Pieces.load(model)))
     number, names = broadcast._jbroadcast.id(), documents.columns
 
