@@ -100,3 +100,56 @@ def overlaps(docs, items, window=8):
                     hit |= set(range(k, k + size))
         out.append((d, len(w), hit, sorted(ids)))
     return out
+
+
+def lm_scores(docs, mix, step):
+    """log10 of each text under counts quantised to the mean whole number of a level."""
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    toks = [(d, re.findall(WORD, lower(t or "")) + [None]) for d, t in docs]
+    one, two = Counter(), Counter()
+    for d, w in toks:
+        if not held(d):
+            one.update(w)
+            two.update(zip([None, *w], w, strict=False))
+
+    def read(c):
+        if not c:
+            return 0.0
+        k = next(k for k in range(200) if c < step ** (k + 1))
+        low, high = math.ceil(step**k), math.ceil(step ** (k + 1)) - 1
+        return max(low, (low + high) / 2)
+
+    n, v, out = sum(one.values()), len(one), []
+    for d, w in toks:
+        total = 0.0
+        for a, b in zip([None, *w], w, strict=False):
+            lower_p = (read(one[b]) + 1) / (n + v + 1)
+            context = read(one[a])
+            total += math.log10(mix * min(read(two[a, b]), context) / context + (1 - mix) * lower_p if context else lower_p)
+        out.append((d, total))
+    return out
+
+
+def keep_first(docs):
+    """docs: (doc_id, text). The one of each group of texts with a similarity of 0.8 or more in five-word shingles."""
+    sets = []
+    for _, t in docs:
+        w = re.findall(WORD, lower(t or ""))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = groups(len(docs), lambda a, b: sets[a] == sets[b] or (bool(sets[a] and sets[b]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])))
+    least = {}
+    for k, (d, _) in enumerate(docs):
+        key = (d is None, d or 0)
+        least[root[k]] = min(least.get(root[k], key), key)
+    return sorted((None if none else d for none, d in least.values()), key=lambda d: (d is not None, d or 0))
+
+
+def without(text, words):
+    """text without the runs of its words at these places."""
+    spans = [m.span() for m in re.finditer(ALNUM, text)]
+    out, at = [], 0
+    for k in sorted(words):
+        if k - 1 not in words:
+            out.append(text[at : spans[k][0]])
+        at = spans[k][1]
+    return "".join([*out, text[at:]])
