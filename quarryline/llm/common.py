@@ -160,13 +160,18 @@ def buckets_for(df: DataFrame) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names for checkpoints; one of our own only where the session names none."""
+    """The shared folder that the cluster names for checkpoints; one of our own only in a local session that names none."""
     context = spark.sparkContext
     named = context._jsc.sc().getCheckpointDir()
     if named.isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            import tempfile
+
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
         named = context._jsc.sc().getCheckpointDir()
     return named.get()
 
@@ -191,9 +196,12 @@ def drop(*tables: DataFrame) -> None:
     """Delete tables that `checkpointed` wrote, when all that is read from them has been computed."""
     for table in tables:
         if path := getattr(table, "table_path", None):
-            jvm = table.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            delete(table.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def dealt(packed: DataFrame, n: int, *, ordered: bool = False) -> DataFrame:
