@@ -41,9 +41,9 @@ SMALL = 8
 GROUP_WORDS, PART_OF, WHOLE_OF = 5, 4, 5
 #: Least documents of the sample, or one of so many, and how many of them hold a shingle that is put last; nodes and
 #: shingles of a block, two of which are compared in one task.
-SAMPLED, RATE, OFTEN, TOGETHER, SHINGLES = 10_000, 64, 3, 1024, 1 << 21
-#: Bits of the map of a set that is compared before the set is.
-MAP = 4096
+SAMPLED, RATE, OFTEN, TOGETHER, SHINGLES = 10_000, 64, 3, 512, 1 << 20
+#: Most bits of the map of a set that is compared before the set is.
+MAP = 8192
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -329,6 +329,13 @@ class Seen:
         return np.sort(first[new])
 
 
+def picked(h: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the sets, in the same form."""
+    size = np.diff(at)[rows]
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    return h[np.arange(bounds[-1]) - np.repeat(bounds[:-1], size) + np.repeat(at[rows], size)], bounds
+
+
 _ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4")])
 
 
@@ -348,7 +355,7 @@ def sharing(rows: DataFrame, id_type: str, often) -> DataFrame:
                 h, at = shingle_sets(buf, bounds, often.value)
                 node, size, row = node_of(h, at), np.diff(at), batch.column(3).to_numpy()[low:high]
                 new = documents.fresh(row)
-                maps = [x.tobytes() for x in maps_of(h, at)[new]]
+                maps = maps_of(*picked(h, at, new))
                 own = [batch.column(k).slice(low, high - low).take(pa.array(new)) for k in (0, 1)]
                 place = bucket_of(mix(row[new].view(np.uint64)), n)
                 yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), *nulls(len(new), pa.binary()), *own, pa.array(node[new]), pa.array(size[new]), pa.array(maps, pa.binary())], names=names)
@@ -412,12 +419,14 @@ def grouped(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield from once(node[own])
             continue
         blocks = np.split(own, np.flatnonzero(np.diff(block)) + 1)
+        with_less = False
         for x, left in enumerate(blocks):
-            yield from once(node[left])
-            for right in blocks[x + 1 :]:
-                if WHOLE_OF * size[left[-1]] < PART_OF * size[right[0]]:
-                    break
+            near = [b for b in blocks[x + 1 :] if WHOLE_OF * size[left[-1]] >= PART_OF * size[b[0]]]
+            for right in near:
                 yield from once(node[np.concatenate([left, right])])
+            if not near and not with_less:
+                yield from once(node[left])
+            with_less = bool(near)
 
 
 def _named(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -462,18 +471,54 @@ def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
 
-def maps_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each set, the parity of the number of its shingles at each of MAP places. No more bits of two maps differ than
-    shingles do."""
-    out = np.zeros((len(at) - 1, MAP // 8), np.uint8)
-    for low in range(0, len(out), 256):
-        size = np.diff(at[low : low + 257])
-        place = (h[at[low] : at[low] + size.sum()] % np.uint64(MAP)).astype(np.int64)
-        odd = np.bincount(np.repeat(np.arange(len(size)), size) * MAP + place, minlength=len(size) * MAP) & 1
-        out[low : low + 256] = np.packbits(odd.astype(bool).reshape(-1, MAP), axis=1)
+def maps_of(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each set, the parity of the number of its shingles at each of some places: about as many as shingles, a power of
+    two. No more bits of two maps differ than shingles do."""
+    size = np.diff(at)
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), 64, MAP)
+    out = [b""] * len(size)
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        for low in range(0, len(own), 256):
+            part = own[low : low + 256]
+            count = size[part]
+            row = np.repeat(np.arange(len(part)), count)
+            shingle = h[np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at[part], count)]
+            odd = np.bincount(row * w + (shingle % np.uint64(w)).astype(np.int64), minlength=len(part) * w) & 1
+            bits = np.packbits(odd.astype(bool).reshape(-1, w), axis=1, bitorder="little")
+            for k, x in zip(part.tolist(), bits, strict=True):
+                out[k] = x.tobytes()
     return out
 
 
+class Maps:
+    """The maps of a group's sets. Of two maps the wider one is folded to the other one's width, which keeps parities."""
+
+    def __init__(self, size: np.ndarray, maps: list[bytes]):
+        self.size, self.words = size, np.array([len(x) // 8 for x in maps], np.int64)
+        self.at: dict[int, np.ndarray] = {}
+        for w in np.unique(self.words).tolist():
+            table = np.zeros((len(maps), w), np.uint64)
+            for k in np.flatnonzero(self.words == w):
+                table[k] = np.frombuffer(maps[k], np.uint64)
+            for k in np.flatnonzero(self.words == 2 * w):
+                wide = np.frombuffer(maps[k], np.uint64)
+                table[k] = wide[:w] ^ wide[w:]
+            self.at[w] = table
+
+    def maybe(self, k: int, others: np.ndarray) -> np.ndarray:
+        """Places in others of the sets that sizes and maps allow to be similar to set k; similar sets differ in width by
+        a factor of two at most."""
+        size, w = self.size, int(self.words[k])
+        place = np.flatnonzero(WHOLE_OF * np.minimum(size[others], size[k]) >= PART_OF * np.maximum(size[others], size[k]))
+        differ = np.zeros(len(place), np.int64)
+        less = self.words[others[place]] < w
+        for rows, width in ((~less, w), (less, w // 2)):
+            if rows.any():
+                differ[rows] = np.bitwise_count(self.at[width][others[place[rows]]] ^ self.at[width][k]).sum(1, dtype=np.int64)
+        return place[differ * (PART_OF + WHOLE_OF) <= (size[others[place]] + size[k]) * (WHOLE_OF - PART_OF)]
+
+
 def narrowed(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """Groups split so that all pairs that sizes and maps don't rule out stay together; nodes without such a pair go."""
     members = groups.join(nodes.select("node", "size", "map"), "node").select("grp", "node", "size", "map").repartition(buckets_for(groups), "grp").sortWithinPartitions("grp")
@@ -481,24 +526,19 @@ def narrowed(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     @trimmed
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-            node, size = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-            maps = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), MAP // 64)
+            node = np.array([r[0] for r in rows], np.int64)
+            maps = Maps(np.array([r[1] for r in rows], np.int64), [r[2] for r in rows])
             left = np.arange(len(rows))
             while len(left):
                 queue, left, own = [int(left[0])], left[1:], [int(left[0])]
                 while queue and len(left):
-                    k = queue.pop()
-                    maybe = WHOLE_OF * np.minimum(size[left], size[k]) >= PART_OF * np.maximum(size[left], size[k])
-                    place = np.flatnonzero(maybe)
-                    differ = np.bitwise_count(maps[left[place]] ^ maps[k]).sum(1, dtype=np.int64)
-                    place = place[differ * (PART_OF + WHOLE_OF) <= (size[left[place]] + size[k]) * (WHOLE_OF - PART_OF)]
+                    place = maps.maybe(queue.pop(), left)
                     own += left[place].tolist()
                     queue += left[place].tolist()
                     left = np.delete(left, place)
                 if len(own) > 1:
-                    nodes = np.sort(node[own])
-                    name = int(mix(mix(nodes.view(np.uint64)).sum(dtype=np.uint64)[None]).view(np.int64)[0])
-                    yield from ((name, x) for x in nodes.tolist())
+                    name, nodes = _named(np.sort(node[own])[None, :])
+                    yield from zip(name.tolist(), nodes.tolist(), strict=True)
 
         now, rows, out = None, [], []
         for batch in batches:
@@ -567,12 +607,21 @@ def keep_first(documents: DataFrame, *, id_col="doc_id", text_col="text") -> Dat
     # the texts that are still to be compared are read again: their sets are several times as large as the groups
     asked = checkpointed(groups.select("node").distinct().join(nodes, "node").select("node", F.col("k.id").alias("asked id"), F.col("k.h").alias("asked h")))
     found = texts.join(asked, texts["id"].eqNullSafe(asked["asked id"]) & (texts["h"] == asked["asked h"])).select("node", "t").dropDuplicates(["node"])
-    sets = found.mapInArrow(scan, "node long, shingles binary")
-    links_ = checkpointed(similar_pairs(groups, sets, buckets_for(documents)))
-    roots = components(links_)
+    sets = checkpointed(found.mapInArrow(scan, "node long, shingles binary"))
+    n = buckets_for(documents)
+    # near copies meet in many groups: each document is compared in its largest group first, and only groups that this
+    # leaves in several components are compared whole
+    size = groups.groupBy("grp").agg(F.count("*").alias("size"))
+    chosen = groups.join(size, "grp").groupBy("node").agg(F.max(F.struct("size", "grp"))["grp"].alias("grp"))
+    some = checkpointed(similar_pairs(chosen, sets, n))
+    known = components(some)
+    now = groups.join(known, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root"))
+    open_ = now.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("grp")
+    rest = checkpointed(similar_pairs(groups.join(open_, "grp", "left_semi"), sets, n))
+    roots = components(some.unionByName(rest))
     first = nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("k").alias("k"))
     first = checkpointed(first.select(F.col("k.id").alias("kept id"), F.col("k.h").alias("kept hash")))
-    drop(nodes, groups, asked, links_, roots)
+    drop(nodes, groups, asked, sets, some, known, rest, roots)
     kept = marked.join(first, marked[id_col].eqNullSafe(first["kept id"]) & (marked["text hash"] == first["kept hash"]), "left_semi")
     return kept.dropDuplicates([id_col, "text hash"]).select(*documents.columns)
 
