@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, trimmed
 from .vocabulary import SPACE, Pieces, Spec
 
-#: Entries of the worker's table of stretches, about 200 bytes each, before it starts anew.
-REMEMBERED = 1_000_000
+#: Entries of each of the worker's two tables of stretches and of its table of weights, about 200 bytes each.
+REMEMBERED = 250_000
 INF = float("inf")
 _machines: dict[int, Transducer] = {}
 
@@ -122,25 +122,24 @@ class Transducer:
         return w
 
     def shortest(self, stretch: str) -> list[int]:
-        """Labels on the shortest path through the composition of one stretch of known characters with the pieces. at[k]
-        holds the states (k, piece) that a finite path reaches: piece -> (weight, piece before)."""
+        """Labels on the shortest path through the composition of one stretch of known characters with the pieces. A finite
+        path to a state (position, piece) is the model's segmentation of the characters before the position, and there is
+        one segmentation only: so of all states of a position one at most is ever reached, and relaxing keeps that one."""
         n, labels, known = len(self.labels), self.labels, self.weights.get
-        at: list[dict[int, tuple[float, int]]] = [{} for _ in range(len(stretch) + 1)]
-        at[0][0] = (0.0, 0)
+        piece, cost = [0] * (len(stretch) + 1), [INF] * (len(stretch) + 1)
+        cost[0] = 0.0
         for last, (size, q) in self.trie.iter(stretch):
-            here = at[last + 1]
-            for p, (so_far, _) in at[last + 1 - size].items():
+            so_far = cost[last + 1 - size]
+            if so_far < INF:
+                p = piece[last + 1 - size]
                 w = known(p * n + q)
                 total = so_far + (self.weight(p, q) if w is None else w)
-                if total < INF and (q not in here or total < here[q][0]):
-                    here[q] = (total, p)
+                if total < cost[last + 1]:
+                    cost[last + 1], piece[last + 1] = total, q
         out, end = [], len(stretch)
-        label = min(at[end], key=lambda q: at[end][q][0])
         while end:
-            out.append(label)
-            before = at[end][label][1]
-            end -= len(labels[label])
-            label = before
+            out.append(piece[end])
+            end -= len(labels[piece[end]])
         out.reverse()
         return out
 
@@ -175,16 +174,21 @@ class Transducer:
 
 
 class _Remembered(dict):
+    """Ids of the stretches met last. A full table becomes the old one, from which stretches come back when they are met."""
+
     def __init__(self, machine: Transducer):
         super().__init__()
-        self.machine = machine
+        self.machine, self.old = machine, {}
 
     def __missing__(self, stretch: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        k = self.machine.tail(stretch)
-        out = self[stretch[:k]] + self[stretch[k:]] if k else self.machine.output(stretch)
+        out = self.old.get(stretch)
+        if out is None:
+            k = self.machine.tail(stretch)
+            out = self[stretch[:k]] + self[stretch[k:]] if k else self.machine.output(stretch)
         if len(stretch) <= 64:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
             self[stretch] = out
         return out
 
