@@ -80,25 +80,40 @@ def history(lineage: DataFrame, *, limit: int = 100, **equal) -> DataFrame:
     return lineage.orderBy(F.desc("processed_at"), "lineage_id").limit(limit)
 
 
-def prior(lineage: DataFrame, asset: str, layer: str, *, data_date: date | None = None) -> DataFrame:
-    """The latest row of an asset with the same date, or without one."""
-    same = F.col("data_date").isNull() if data_date is None else F.col("data_date") == F.lit(data_date)
-    return lineage.where((F.col("asset_name") == asset) & (F.col("layer") == layer) & same).orderBy(F.desc("processed_at"), "lineage_id").limit(1)
+def prior(lineage: DataFrame, asset: str, layer: str, *, data_date: date | None = None, data_date_range: tuple[date, date] | None = None) -> DataFrame:
+    """The latest row of an asset of the same shape: of the same date, of exactly the same range of dates, or of neither."""
+    if data_date is not None:
+        same = F.col("data_date") == F.lit(data_date)
+    elif data_date_range is not None:
+        same = F.col("data_date_range") == date_range(data_date_range)
+    else:
+        same = F.col("data_date").isNull() & F.col("data_date_range").isNull()
+    rows = lineage.where((F.col("asset_name") == asset) & (F.col("layer") == layer) & same)
+    return rows.orderBy(F.desc("processed_at"), "lineage_id").limit(1)
+
+
+def date_range(days: tuple[date, date] | None) -> str | None:
+    """A range of days, both ends in it, as text."""
+    return f"[{days[0].isoformat()},{days[1].isoformat()}]" if days else None
 
 
 def register_periods(registry: DataFrame, periods: DataFrame, *, now: datetime) -> DataFrame:
-    """Upsert by (source_id, partition_key): fields move over, metadata objects merge, registered_at is now."""
+    """Upsert by (source_id, partition_key): fields move over, metadata objects merge, registered_at is now. Of repeated
+    periods the last counts, by the input's order or, where it has none, by the fields."""
     keys = ["source_id", "partition_key"]
-    stamped = writes.last_input_wins(periods, keys).withColumn("registered_at", F.lit(now).cast("timestamp"))
+    order = None if writes.has_input_order(periods) else [c for c in periods.columns if c not in keys]
+    stamped = writes.last_input_wins(periods, keys, order).withColumn("registered_at", F.lit(now).cast("timestamp"))
     before = registry.select(*keys, F.col("metadata").alias("_old"))
     merged = stamped.join(before, keys, "left").withColumn("metadata", merge_json_maps(F.col("_old"), F.col("metadata"))).drop("_old")
-    return writes.upsert(registry, merged, keys)
+    return writes.upsert(registry, merged, keys, order_by=["registered_at"])
 
 
 def update_metadata(registry: DataFrame, updates: DataFrame) -> DataFrame:
-    """Merge metadata of known periods; unknown ones are not added."""
+    """Merge metadata of known periods; unknown ones are not added. Updates of one period are merged first, those of later
+    text over others, so that a period stays one row."""
     keys = ["source_id", "partition_key"]
-    new = updates.select(*keys, F.col("metadata").alias("_new"))
+    each = F.aggregate(F.array_sort(F.collect_list("metadata")), F.lit("{}"), lambda a, x: merge_json_maps(a, x))
+    new = updates.groupBy(*keys).agg(each.alias("_new"))
     return registry.join(new, keys, "left").withColumn("metadata", F.when(F.col("_new").isNull(), F.col("metadata")).otherwise(merge_json_maps(F.col("metadata"), F.col("_new")))).select(*registry.columns)
 
 
@@ -125,7 +140,7 @@ def sync_tags(tags: DataFrame, declared: DataFrame, *, at) -> DataFrame:
 
 def register_pipeline(registry: DataFrame, row: DataFrame) -> DataFrame:
     """Upsert by pipeline_id that leaves a row alone unless its contract or handles differ."""
-    return writes.upsert(registry, row, ["pipeline_id"], [c for c in row.columns if c not in ("pipeline_id", "registered_at")], skip_unchanged=True)
+    return writes.upsert(registry, row, ["pipeline_id"], [c for c in row.columns if c not in ("pipeline_id", "registered_at")], skip_unchanged=True, order_by=["registered_at"])
 
 
 def validation_rows(results, lineage_id: str) -> list[dict]:

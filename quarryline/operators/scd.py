@@ -142,25 +142,49 @@ def _time(value, kind) -> Column:
     return F.lit(value).cast(kind)
 
 
-def apply_scd2(target: DataFrame, incoming: DataFrame, business_key, at: date | datetime | str, *, detect_deletes: bool = False, partition_column: str | None = None, partition_values: list | None = None, cols: Scd2Columns = Scd2Columns()) -> DataFrame:
+def apply_scd2(target: DataFrame, incoming: DataFrame, business_key, at: date | datetime | str, *, detect_deletes: bool = False, partition_column: str | None = None, partition_values: list | None = None, cols: Scd2Columns = Scd2Columns(), history: DataFrame | None = None) -> DataFrame:
     """The new target. incoming carries row_hash; `at` ends expired versions and starts their successors. With a
     partition column, rows of other partitions than partition_values are out of scope: they neither match, end, nor count
-    for the sequence.
+    for the sequence. history holds ended versions that aren't part of target but count for the sequence."""
+    scope = {"detect_deletes": detect_deletes, "partition_column": partition_column, "partition_values": partition_values, "cols": cols}
+    return apply_scd2_marked(target, incoming, business_key, at, history=history, **scope).drop("_action")
 
-    Each joined row turns into none, one or two rows of the target in place, so the join is computed once."""
+
+def apply_scd2_marked(target: DataFrame, incoming: DataFrame, business_key, at, *, detect_deletes: bool = False, partition_column: str | None = None, partition_values: list | None = None, cols: Scd2Columns = Scd2Columns(), history: DataFrame | None = None) -> DataFrame:
+    """As apply_scd2, with `_action`: kept, absent, expired or deleted for a current version, new or changed for one that
+    comes, null for versions that were ended before.
+
+    Target versions are brought together by key once, the current one with the greatest number, so either side is shuffled
+    once; each key turns into none, one or two rows in place."""
     keys = _keys(business_key)
     live = _live(partition_column, partition_values, cols)
     kinds = {f.name: f.dataType for f in target.schema}
     numbered = bool(cols.seq_id) and cols.seq_id in kinds
-    if numbered:
-        top = target.where(_scope(partition_column, partition_values)).groupBy(*keys).agg(F.max(cols.seq_id).alias("_top"))
-        incoming = incoming.join(top, keys, "left")
-    joined = classify(incoming, target.where(live), [*keys, *([partition_column] if partition_column else [])], cols.row_hash)
+    on = [*keys, *([partition_column] if partition_column else [])]
+    i = incoming.select(F.struct(*[F.col(f"`{c}`") for c in incoming.columns]).alias("incoming"))
+    if partition_column:
+        # one key's numbers go over all partitions in scope, its current versions don't
+        joined = classify(incoming, target.where(live), on, cols.row_hash)
+        if numbered:
+            top = target.where(_scope(partition_column, partition_values)).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(cols.seq_id).alias("_top"))
+            joined = joined.join(top, [F.col(f"incoming.{k}") == F.col(f"_{k}") for k in keys], "left")
+    else:
+        _need(incoming, "incoming", [*keys, cols.row_hash])
+        whole = F.when(live, F.struct(*[F.col(f"`{c}`") for c in target.columns])).alias("_now")
+        seq = (F.col(cols.seq_id) if numbered else F.lit(None)).cast("int").alias("_seq")
+        held = target.where(live if not numbered else F.lit(True)).select(*keys, whole, seq)
+        if history is not None and numbered:
+            held = held.unionByName(history.select(*keys, F.lit(None).cast(held.schema["_now"].dataType).alias("_now"), seq))
+        held = held.groupBy(*keys).agg(F.collect_list("_now").alias("_nows"), F.max("_seq").alias("_top"))
+        joined = i.join(held, [F.col(f"incoming.{k}") == F.col(k) for k in keys], "full_outer").select("incoming", "_top", F.explode_outer("_nows").alias("current"))
+        same = F.col(f"incoming.`{cols.row_hash}`") == F.col(f"current.`{cols.row_hash}`")
+        known, comes = F.col("current").isNotNull(), F.col("incoming").isNotNull()
+        joined = joined.where(known | comes).withColumn("change", F.when(~known, "new").when(~comes, "deleted").when(same, "unchanged").when(~same, "changed"))
     change = F.coalesce("change", F.lit("unchanged"))
     ends = change.isin(["changed", "deleted"] if detect_deletes else ["changed"])
     fixed = {cols.effective_from: _time(at, kinds[cols.effective_from]), cols.effective_to: _time(cols.end_of_time, kinds[cols.effective_to]), cols.is_current: F.lit(True)}
     if numbered:
-        fixed[cols.seq_id] = F.coalesce("incoming._top", F.lit(0)) + 1
+        fixed[cols.seq_id] = F.coalesce("_top", F.lit(0)) + 1
     old, fresh = [], []
     for name, kind in kinds.items():
         was = F.col(f"current.`{name}`")
@@ -171,8 +195,15 @@ def apply_scd2(target: DataFrame, incoming: DataFrame, business_key, at: date |
         old.append(was.cast(kind).alias(name))
         comes = fixed.get(name, F.col(f"incoming.`{name}`") if name in incoming.columns else F.lit(None))
         fresh.append(comes.cast(kind).alias(name))
-    rows = F.array(F.when(change != "new", F.struct(*old)), F.when(change.isin("new", "changed"), F.struct(*fresh)))
-    return target.where(~live).unionByName(joined.select(F.inline(F.array_compact(rows))))
+    was = F.when(change == "unchanged", "kept").when(change == "changed", "expired").otherwise("deleted" if detect_deletes else "absent")
+    rows = F.array(F.when(change != "new", F.struct(*old, was.alias("_action"))), F.when(change.isin("new", "changed"), F.struct(*fresh, change.alias("_action"))))
+    return target.where(~live).withColumn("_action", F.lit(None).cast("string")).unionByName(joined.select(F.inline(F.array_compact(rows))))
+
+
+def action_counts() -> list[Column]:
+    """Of marked rows: the figures of scd2_stats."""
+    n = lambda *kinds: F.count_if(F.col("_action").isin(*kinds))
+    return [n("new").alias("rows_new"), n("expired").alias("rows_expired"), n("new", "changed").alias("rows_inserted"), n("kept").alias("rows_unchanged"), n("deleted").alias("rows_deleted")]
 
 
 def _scope(partition_column: str | None, partition_values: list | None) -> Column:

@@ -8,13 +8,25 @@ from pyspark.sql import functions as F
 ORDER = "_input_order"
 
 
+def check_columns(target: DataFrame, incoming: DataFrame) -> None:
+    """Rows must not bring columns that the table has no place for."""
+    if extra := [c for c in incoming.columns if c not in target.columns]:
+        raise ValueError(f"the table has no columns {extra}; it has {sorted(target.columns)}")
+
+
+def conform(target: DataFrame, incoming: DataFrame) -> DataFrame:
+    """incoming in the target's layout and types; columns that it lacks are null."""
+    check_columns(target, incoming)
+    return incoming.select(*[(F.col(f"`{f.name}`") if f.name in incoming.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema])
+
+
 def append(target: DataFrame, incoming: DataFrame) -> DataFrame:
-    return target.unionByName(incoming, allowMissingColumns=True).select(*target.columns)
+    return target.unionByName(conform(target, incoming))
 
 
 def full_refresh(target: DataFrame, incoming: DataFrame) -> DataFrame:
     """incoming in the target's layout; columns that it lacks are null."""
-    return target.where(F.lit(False)).unionByName(incoming, allowMissingColumns=True).select(*target.columns)
+    return conform(target, incoming)
 
 
 def refresh_partitions(target: DataFrame, incoming: DataFrame, partition_column: str, values: list | None = None) -> DataFrame:
@@ -26,11 +38,18 @@ def refresh_partitions(target: DataFrame, incoming: DataFrame, partition_column:
     else:
         kept = target.where(~F.coalesce(F.col(partition_column).isin(list(values)), F.lit(False))) if values else target
         incoming = incoming if values else incoming.where(F.lit(False))
-    return kept.unionByName(incoming, allowMissingColumns=True).select(*target.columns)
+    return kept.unionByName(conform(target, incoming))
+
+
+def has_input_order(df: DataFrame) -> bool:
+    """Whether the order of the scan reaches the rows: behind an exchange it does not."""
+    return "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def with_input_order(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """An order of the input's rows: the given columns, else the scan's order, which holds for one file or listed files."""
+    if not order_by and not has_input_order(df):
+        raise ValueError("the input's rows have gone through an exchange; name the columns of their order in order_by")
     return df.withColumn(ORDER, F.struct(*order_by) if order_by else F.monotonically_increasing_id())
 
 
@@ -64,12 +83,14 @@ def upsert(target: DataFrame, incoming: DataFrame, primary_key: list[str], updat
 
 def upsert_marked(target: DataFrame, incoming: DataFrame, primary_key: list[str], update_columns: list[str] | None = None, *, skip_unchanged: bool = False, order_by: list[str] | None = None) -> DataFrame:
     """As upsert, with `_action`: kept, updated or inserted."""
+    check_columns(target, incoming)
     new = last_input_wins(incoming, primary_key, order_by)
     columns = [c for c in target.columns if c in new.columns]
     moved = [c for c in (columns if update_columns is None else update_columns) if c not in primary_key]
-    t = target.select(F.struct(*[F.col(f"`{c}`") for c in target.columns]).alias("t"))
-    n = new.select(F.struct(*[F.col(f"`{c}`") for c in new.columns]).alias("n"))
-    joined = t.join(n, [t["t"][k] == n["n"][k] for k in primary_key], "full_outer")
+    # keys stand beside the rows, so that the join takes over the partitioning of the aggregate
+    t = target.select(*[F.col(f"`{k}`").alias(f"_t_{k}") for k in primary_key], F.struct(*[F.col(f"`{c}`") for c in target.columns]).alias("t"))
+    n = new.select(*[F.col(f"`{k}`").alias(f"_n_{k}") for k in primary_key], F.struct(*[F.col(f"`{c}`") for c in new.columns]).alias("n"))
+    joined = t.join(n, [F.col(f"`_t_{k}`") == F.col(f"`_n_{k}`") for k in primary_key], "full_outer").select("t", "n")
     both = F.col("t").isNotNull() & F.col("n").isNotNull()
     touched = both & F.lit(bool(moved))
     if skip_unchanged and moved:

@@ -49,9 +49,3 @@ def discover(folders: list[str | Path], *, suffix: str = "") -> list[CheckSuite]
 
 def run_all(suites: list[CheckSuite], load: Callable[[str], DataFrame], *, now: datetime) -> dict[str, list[checks.Result]]:
     return {s.table: s.run(load(s.table), now=now) for s in suites}
-
-
-def pii_drift(upstream: Contract, downstream: Contract) -> list[str]:
-    """Columns that are personal upstream and, under the same name, not downstream."""
-    plain = {c.name for c in downstream.columns} - set(downstream.pii_columns)
-    return sorted(plain & set(upstream.pii_columns))

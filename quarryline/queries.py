@@ -14,6 +14,7 @@ from quarryline import functions as fn
 from quarryline.operators import aggregates, checks, lineage, scd, writes
 from quarryline.operators.checks import Rule
 from quarryline.plans import periods
+from quarryline.plans.contracts import DataSource, Period, build_contract
 from quarryline.plans.sink import TableSink
 from quarryline.sources import outputs, readers
 from quarryline.streaming import batched, sensors
@@ -47,7 +48,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """A fresh folder for tables that a query makes: in the shared checkpoint folder where the session has one."""
     named = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = named.get() if named.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tables-")
+    base = named.get() if named.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tables-")
     return f"{base}/tables-{uuid.uuid4().hex}"
 
 
@@ -119,9 +124,9 @@ def safe_int(spark, sf_dir):
     return padded(spark, sf_dir).select("k", fn.safe_int("t", "null").alias("v"))
 
 
-@query(f"SELECT k, CAST({_TRIM} AS DOUBLE) AS v FROM ({PADDED}) WHERE k % 5 <> 1")
+@query(f"SELECT k, TRY_CAST({_TRIM} AS DOUBLE) AS v FROM ({PADDED})")
 def safe_decimal(spark, sf_dir):
-    return padded(spark, sf_dir).where("k % 5 <> 1").select("k", fn.safe_decimal("t").alias("v"))
+    return padded(spark, sf_dir).select("k", fn.safe_decimal("t", "null").alias("v"))
 
 
 @query(f"SELECT k, CASE WHEN lower(trim(b)) IN ('t','true','1','yes','y') THEN true WHEN lower(trim(b)) IN ('f','false','0','no','n') THEN false END AS v FROM ({PADDED})")
@@ -144,9 +149,10 @@ def safe_date_multi(spark, sf_dir):
     return _dates(spark, sf_dir).select("k", fn.safe_date("t").alias("v"))
 
 
-@query(f"SELECT k, d AS v FROM ({_DATES}) WHERE k % 7 = 2", text="v")
+@query("SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS v FROM orders", text="v")
 def safe_date_two_digit_year(spark, sf_dir):
-    return _dates(spark, sf_dir).where("k % 7 = 2").select("k", fn.safe_date("t", format="%d-%b-%y").alias("v"))
+    text = F.date_format("o_orderdate", "dd-MMM-yy")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), fn.safe_date(text, format="%d-%b-%y").alias("v"))
 
 
 @query("SELECT event_id AS k, date_trunc('second', ts) AS v FROM events", text="v")
@@ -295,7 +301,8 @@ def check_when_not_null(spark, sf_dir):
 
 @query(f"SELECT count(*) AS n, count(*) BETWEEN 100 AND 1000000 AS passed FROM ({_ORD})")
 def expect_row_count(spark, sf_dir):
-    return _orders(spark, sf_dir).agg(F.count("*").alias("n")).withColumn("passed", F.col("n").between(100, 1000000))
+    result = checks.run_checks(_orders(spark, sf_dir), [Rule("row_count", None, {"min": 100, "max": 1000000})], now=NOW)[0]
+    return spark.createDataFrame([(result.total, result.passed)], "n long, passed boolean")
 
 
 @query(f"SELECT (epoch_us(TIMESTAMP '2001-01-01') - epoch_us(max(ts))) / 3.6e9 AS age_hours, count(*) AS total FROM ({_ORD})")
@@ -348,9 +355,9 @@ def distinct_combinations(spark, sf_dir):
     return aggregates.distinct_rows(_orders(spark, sf_dir), ["o_custkey", "status"])
 
 
-@query("SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(sha256(concat_ws('|', CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR))), 1, 13) AS BIGINT)) AS VARCHAR) AS checksum FROM nation")
+@query("SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(sha256(concat_ws('|', CAST(l_linenumber AS VARCHAR), CAST(l_orderkey AS VARCHAR), l_returnflag, CAST(l_suppkey AS VARCHAR))), 1, 13) AS BIGINT)) AS VARCHAR) AS checksum FROM lineitem")
 def table_checksum(spark, sf_dir):
-    return aggregates.table_checksum(table(spark, sf_dir, "nation"))
+    return aggregates.table_checksum(table(spark, sf_dir, "lineitem").select("l_linenumber", "l_orderkey", "l_returnflag", "l_suppkey"))
 
 
 # Writes --------------------------------------------------------------------------------------------------------------
@@ -647,10 +654,10 @@ def sink_full_write(spark, sf_dir):
     return sink.table("gold.customers").read()
 
 
-@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN chr(92) || 'N' ELSE c_name || ', \"x\"' END AS t, CAST(c_acctbal AS DECIMAL(12,2)) AS bal FROM customer", text="bal")
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN chr(92) || 'N' ELSE chr(13) || chr(10) || chr(1) || chr(92) || chr(92) || 'n' || c_name || ', \"x\"' || chr(13) END AS t, CAST(c_acctbal AS DECIMAL(12,2)) AS bal FROM customer", text="bal")
 def csv_roundtrip(spark, sf_dir):
     k = F.col("c_custkey") % 4
-    text = F.when(k == 1, "").when(k == 2, "\\N").when(k == 3, F.concat("c_name", F.lit(', "x"')))
+    text = F.when(k == 1, "").when(k == 2, "\\N").when(k == 3, F.concat(F.lit("\r\n\x01\\\\n"), "c_name", F.lit(', "x"\r')))
     df = table(spark, sf_dir, "customer").select("c_custkey", text.alias("t"), F.col("c_acctbal").cast("decimal(12,2)").alias("bal"))
     path = f"{shared_root(spark)}/csv"
     outputs.write_csv(df, path)
@@ -685,6 +692,202 @@ def periods_in_force(spark, sf_dir):
     return out.select("source_id", "partition_key", F.col("effective_from"))
 
 
+# Writes through the sink, and their records --------------------------------------------------------------------------
+_STAMP = datetime(2024, 2, 1)
+
+
+def _sink(spark) -> TableSink:
+    return TableSink(spark, shared_root(spark))
+
+
+def _orders_slim(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("decimal(12,2)").alias("price"))
+
+
+_SLIM = "SELECT o_orderkey, o_orderpriority, CAST(o_totalprice AS DECIMAL(12,2)) AS price FROM orders"
+
+
+@query(f"SELECT * FROM ({_SLIM}) UNION ALL SELECT o_orderkey, NULL, NULL FROM orders WHERE o_orderkey % 3 = 0", text="price")
+def sink_append_twice(spark, sf_dir):
+    sink, df = _sink(spark), _orders_slim(spark, sf_dir)
+    sink.write(df, "gold.orders", mode="append", lineage=False)
+    sink.write(df.where("o_orderkey % 3 = 0").select("o_orderkey"), "gold.orders", mode="append", lineage=False)
+    return sink.table("gold.orders").read()
+
+
+@query(f"SELECT * FROM ({_SLIM}) WHERE o_orderpriority NOT IN ('1-URGENT', '3-MEDIUM', '5-LOW') UNION ALL SELECT o_orderkey, o_orderpriority, CAST(price + 1 AS DECIMAL(12,2)) FROM ({_SLIM}) WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM') AND o_orderkey % 2 = 0", text="price")
+def sink_refresh_partition(spark, sf_dir):
+    """Two partitions come anew, a third one comes empty; the parts of the others stay."""
+    sink, df = _sink(spark), _orders_slim(spark, sf_dir)
+    sink.write(df, "gold.orders", partition_column="o_orderpriority", lineage=False)
+    fresh = df.where("o_orderpriority IN ('1-URGENT', '3-MEDIUM') AND o_orderkey % 2 = 0").withColumn("price", (F.col("price") + 1).cast("decimal(12,2)"))
+    sink.write(fresh, "gold.orders", partition_column="o_orderpriority", partition_values=["1-URGENT", "3-MEDIUM", "5-LOW"], lineage=False)
+    return sink.table("gold.orders").read()
+
+
+@query(f"SELECT * FROM ({_SLIM}) WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')", text="price")
+def sink_read_partitions(spark, sf_dir):
+    """Parts of other partitions are not read."""
+    sink = _sink(spark)
+    sink.write(_orders_slim(spark, sf_dir), "gold.orders", partition_column="o_orderpriority", lineage=False)
+    return sink.table("gold.orders").read_values("o_orderpriority", ["1-URGENT", "2-HIGH"])
+
+
+_UP = f"SELECT o_orderkey, 'x' AS o_orderpriority, CAST(price * 2 AS DECIMAL(12,2)) AS price FROM ({_SLIM}) WHERE o_orderkey % 4 < 2"
+
+
+@query(f"WITH t AS (SELECT * FROM ({_SLIM}) WHERE o_orderkey % 4 > 0), u AS ({_UP}) SELECT coalesce(u.o_orderkey, t.o_orderkey) AS o_orderkey, CASE WHEN t.o_orderkey IS NULL THEN u.o_orderpriority ELSE t.o_orderpriority END AS o_orderpriority, coalesce(u.price, t.price) AS price FROM t FULL JOIN u USING (o_orderkey)", text="price")
+def sink_upsert(spark, sf_dir):
+    sink, df = _sink(spark), _orders_slim(spark, sf_dir)
+    sink.write(df.where("o_orderkey % 4 > 0"), "gold.orders", mode="append", lineage=False)
+    fresh = df.where("o_orderkey % 4 < 2").withColumns({"o_orderpriority": F.lit("x"), "price": (F.col("price") * 2).cast("decimal(12,2)")})
+    sink.write(fresh, "gold.orders", mode="upsert", primary_key="o_orderkey", update_columns=["price"], lineage=False)
+    return sink.table("gold.orders").read()
+
+
+_NOT_HASH = "SELECT * EXCLUDE (row_hash) FROM ({0})"
+
+
+def _three_loads(spark, sf_dir) -> TableSink:
+    """Customers at three dates; half of the middle load's are missing, and come back."""
+    sink, df = _sink(spark), table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("decimal(12,2)").alias("bal"))
+    loads = [df, df.where("c_custkey % 2 = 0").withColumn("bal", F.when(F.col("c_custkey") % 4 == 0, F.col("bal") + 1).otherwise(F.col("bal")).cast("decimal(12,2)")), df]
+    for month, load in enumerate(loads, 1):
+        sink.write(load, "gold.customers", mode="scd2", business_key="c_custkey", detect_deletes=True, effective_date=date(2024, month, 1), now=_STAMP, lineage=False)
+    return sink
+
+
+_EVER = "TIMESTAMP '9999-12-31'"
+_LOADED = f"""SELECT c_custkey, b.bal, b.f AS effective_from, b.t AS effective_to, b.t = {_EVER} AS is_current, CAST(b.seq AS INTEGER) AS seq_id FROM (SELECT c_custkey, CAST(c_acctbal AS DECIMAL(12,2)) AS x FROM customer) c, LATERAL (
+SELECT x AS bal, TIMESTAMP '2024-01-01' AS f, CASE WHEN c_custkey % 4 = 2 THEN {_EVER} ELSE TIMESTAMP '2024-02-01' END AS t, 1 AS seq
+UNION ALL SELECT CAST(x + 1 AS DECIMAL(12,2)), TIMESTAMP '2024-02-01', TIMESTAMP '2024-03-01', 2 WHERE c_custkey % 4 = 0
+UNION ALL SELECT x, TIMESTAMP '2024-03-01', {_EVER}, CASE WHEN c_custkey % 4 = 0 THEN 3 ELSE 2 END WHERE c_custkey % 4 <> 2) b"""
+
+
+@query(_LOADED, text="bal effective_from effective_to")
+def sink_scd2(spark, sf_dir):
+    """Versions that ended stay in their own parts; the numbers of keys that come back go on from them."""
+    return _three_loads(spark, sf_dir).table("gold.customers").read().drop("row_hash")
+
+
+@query(f"SELECT mode, CAST(version AS INTEGER) AS version, rows_in, rows_inserted, day, v > 1 AND mode = 'full_refresh' AS replaces FROM (VALUES ('full_refresh', 1, (SELECT count(*) FROM customer), 1), ('full_refresh', 2, (SELECT count(*) FROM customer), 2), ('append', 3, (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0), 3)) t(mode, version, rows_in, v), LATERAL (SELECT rows_in AS rows_inserted, CAST(NULL AS VARCHAR) AS day)", text="day")
+def sink_lineage_rows(spark, sf_dir):
+    """A lineage row for each write; a full refresh names the row that it replaces."""
+    sink, df = _sink(spark), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    sink.write(df, "gold.customers", now=datetime(2024, 1, 1))
+    sink.write(df, "gold.customers", now=datetime(2024, 1, 2))
+    sink.write(df.where("c_custkey % 2 = 0"), "gold.customers", mode="append", now=datetime(2024, 1, 3))
+    rows = sink.records.read("lineage")
+    before = rows.select(F.col("lineage_id").alias("replaces_lineage_id"), F.col("version").alias("before"))
+    return rows.join(before, "replaces_lineage_id", "left").select("mode", "version", "rows_in", "rows_inserted", F.col("data_date").alias("day"), (F.coalesce("before", F.lit(-1)) == F.col("version") - 1).alias("replaces"))
+
+
+_CONTRACT = {"version": "1.0", "pipeline_id": "0190b8a0-0000-7000-8000-000000000001", "asset": "orders", "layer": "gold", "schema": {"strict": False, "columns": [
+    {"name": "o_orderkey", "type": "integer", "nullable": False, "primary_key": True, "tests": ["not_null", "unique"]},
+    {"name": "o_orderpriority", "type": "string", "nullable": True, "tests": [{"accepted_values": {"values": ["1-URGENT", "2-HIGH", "3-MEDIUM"]}, "severity": "warn"}]},
+]}}
+
+
+@query("SELECT 'before' AS phase, check_name, passed, failed_count, CAST(total_count AS BIGINT) AS total_count FROM (SELECT count(*) AS total_count, count(*) FILTER (WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')) AS bad FROM orders), LATERAL (SELECT * FROM (VALUES ('not_null', true, CAST(0 AS BIGINT)), ('unique', true, 0), ('accepted_values', false, bad)) v(check_name, passed, failed_count))")
+def sink_check_rows(spark, sf_dir):
+    """The results of a contract's rules, kept with the write that they let through."""
+    sink = _sink(spark)
+    sink.write(_orders_slim(spark, sf_dir), "gold.orders", mode="append", contract=build_contract(_CONTRACT))
+    rows = sink.records.read("checks").where("check_name LIKE '%not_null%' OR check_name LIKE '%unique%' OR check_name LIKE '%accepted%'")
+    kind = F.regexp_extract("check_name", "(not_null|unique|accepted_values)", 1)
+    return rows.select("phase", kind.alias("check_name"), "passed", "failed_count", "total_count")
+
+
+@query("SELECT count(DISTINCT event_type) AS parents, CAST(1 AS BIGINT) AS children FROM events")
+def sink_parent_rows(spark, sf_dir):
+    """Lineage ids on the rows that come in become the parents of the write."""
+    sink = _sink(spark)
+    sink.write(table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("_lineage_id")), "gold.events", mode="append")
+    return sink.records.read("lineage_parents").agg(F.countDistinct("parent_id").alias("parents"), F.countDistinct("lineage_id").alias("children"))
+
+
+@query("SELECT partition_key, status, CASE partition_key WHEN 'p2' THEN '{\"silver_materialized_at\":\"2024-02-01T00:00:00\"}' ELSE '{}' END AS metadata FROM (VALUES ('p1', 'materialized'), ('p2', 'materialized')) t(partition_key, status)")
+def sink_period_rows(spark, sf_dir):
+    """A write of a period registers it, a later layer's write stamps it, and a write of no known date does neither."""
+    sink = _sink(spark)
+    source = DataSource("0190b8a0-0000-7000-8000-000000000002", "nations", (Period("a", date(2024, 1, 1), partition_key="p1"), Period("b", date(2024, 2, 1), partition_key="p2")))
+    df = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    for day in (date(2024, 1, 1), date(2024, 2, 1), date(2030, 1, 1)):
+        sink.write(df, "bronze.nations", mode="append", effective_date=day, source=source, now=_STAMP)
+    sink.write(df, "silver.nations", mode="append", effective_date=date(2024, 2, 1), source=source, now=_STAMP)
+    return periods.PeriodRegistry(spark, sink.root).read().select("partition_key", "status", "metadata")
+
+
+@query("SELECT pipeline_id, contract_hash, registered_at FROM (VALUES ('a', 'h1', TIMESTAMP '2024-01-01'), ('b', 'h3', TIMESTAMP '2024-01-03')) t(pipeline_id, contract_hash, registered_at)", text="registered_at")
+def pipeline_registry(spark, sf_dir):
+    """A row moves only where its contract or handles differ."""
+    records = _sink(spark).records
+    for day, row in enumerate((("a", "h1"), ("a", "h1"), ("b", "h2"), ("b", "h3")), 1):
+        records.pipeline(dict(zip(("pipeline_id", "contract_hash"), row, strict=True)), now=datetime(2024, 1, day))
+    return records.read("pipelines").select("pipeline_id", "contract_hash", "registered_at")
+
+
+@query("SELECT target, rows_collapsed, rows_retimed, rows_renumbered FROM (SELECT 'gold.customers' AS target, CAST(0 AS BIGINT) AS rows_collapsed, (SELECT count(*) FROM customer WHERE c_custkey % 4 IN (1, 3)) AS rows_retimed, CAST(0 AS BIGINT) AS rows_renumbered)")
+def sink_reconcile_rows(spark, sf_dir):
+    """The repair of a versioned table leaves a row: where a key went and came back, the gap closes."""
+    sink = _three_loads(spark, sf_dir)
+    sink.reconcile("gold.customers", ["c_custkey"], collapse_duplicates=False)
+    return sink.records.read("reconciles").select("target", "rows_collapsed", "rows_retimed", "rows_renumbered")
+
+
+@query(f"SELECT source_id, partition_key, CASE WHEN source_id = 'click' THEN '{{\"a\":\"3\",\"c\":\"2\",\"n\":\"' || json_extract_string(metadata, '$.n') || '\"}}' ELSE metadata END AS metadata FROM ({_REG})")
+def registry_metadata_update(spark, sf_dir):
+    """Updates of one period are merged first, so that it stays one row; unknown periods are not added."""
+    reg = _registry(spark, sf_dir)
+    known = reg.where("source_id = 'click'").select("source_id", "partition_key")
+    updates = known.withColumn("metadata", F.lit('{"a":"2","c":"2"}')).unionByName(known.withColumn("metadata", F.lit('{"a":"3"}')))
+    updates = updates.unionByName(updates.limit(1).withColumn("partition_key", F.lit("unknown")))
+    normal = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.from_json("metadata", "map<string,string>")))))
+    out = lineage.update_metadata(reg, updates).select("source_id", "partition_key", "metadata")
+    return out.withColumn("metadata", F.when(F.col("source_id") == "click", normal).otherwise(F.col("metadata")))
+
+
+_SHAPES = "SELECT *, CASE WHEN CAST(lineage_id AS BIGINT) % 3 = 0 THEN data_date END AS d, CASE WHEN CAST(lineage_id AS BIGINT) % 3 = 1 THEN '[2024-01-01,2024-01-31]' END AS r FROM ({0})"
+
+
+@query(f"SELECT shape, lineage_id FROM (SELECT CASE WHEN d IS NOT NULL THEN 'date' WHEN r IS NOT NULL THEN 'range' ELSE 'whole' END AS shape, lineage_id, row_number() OVER (PARTITION BY d IS NOT NULL, r IS NOT NULL ORDER BY processed_at DESC, lineage_id) AS k FROM ({_SHAPES.format(_LINE)}) WHERE asset_name = 'click' AND (d IS NULL OR d = (SELECT max(d) FROM ({_SHAPES.format(_LINE)}) WHERE asset_name = 'click'))) WHERE k = 1")
+def lineage_prior_by_shape(spark, sf_dir):
+    """The latest row of the same date, of the same range of dates, or of the whole table."""
+    n = F.col("lineage_id").cast("long") % 3
+    rows = _lineage_rows(spark, sf_dir).withColumns({"data_date": F.when(n == 0, F.col("data_date")), "data_date_range": F.when(n == 1, lineage.date_range((date(2024, 1, 1), date(2024, 1, 31))))})
+    day = rows.where("asset_name = 'click'").agg(F.max("data_date")).first()[0]
+    shapes = {"date": {"data_date": day}, "range": {"data_date_range": (date(2024, 1, 1), date(2024, 1, 31))}, "whole": {}}
+    found = [lineage.prior(rows, "click", "silver", **by).select(F.lit(shape).alias("shape"), "lineage_id") for shape, by in shapes.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(f"SELECT count(*) - count(DISTINCT status) AS failed, count(*) AS total FROM ({_ORD})")
+def check_unique_sql_nulls(spark, sf_dir):
+    """Uniqueness as SQL counts it: distinct values without null, against all rows."""
+    return checks.unique_counts(_orders(spark, sf_dir), ["status"], null_policy="sql")
+
+
+@query("SELECT c_nationkey, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY c_nationkey")
+def read_in_batches(spark, sf_dir):
+    """Rows by frames of bounded size, put together again."""
+    frames = readers.batches(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), 500)
+    parts = [f.groupby("c_nationkey")["c_custkey"].agg(["count", "sum"]).reset_index() for f in frames]
+    rows = [tuple(map(int, r)) for p in parts for r in p.itertuples(index=False)]
+    return spark.createDataFrame(rows, "c_nationkey long, n long, keys long").groupBy("c_nationkey").agg(F.sum("n").alias("n"), F.sum("keys").alias("keys"))
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer")
+def jdbc_roundtrip(spark, sf_dir):
+    """Rows into a database and back, in parallel by ranges of the key. The database is the JVM's own, so this query is for
+    a local session."""
+    url = f"jdbc:derby:memory:q{uuid.uuid4().hex};create=true"
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    outputs.write_jdbc(df, url, "customers", mode="overwrite", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    options = {"properties": {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}}
+    out = readers.jdbc(spark, url, "SELECT * FROM customers", partition_column="c_custkey", bounds=(1, 15000), partitions=4, **options)
+    return out.select(*[F.col(c).cast(t).alias(c.lower()) for c, t in zip(out.columns, dict(df.dtypes).values(), strict=True)])
+
+
 # Extensions, beyond the survey's inventory ---------------------------------------------------------------------------
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2", text="window_start")
 def extension_windowed_counts(spark, sf_dir):

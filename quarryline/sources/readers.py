@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,18 +73,35 @@ def pages(df: DataFrame, order_by: list[str], size: int) -> Iterator[DataFrame]:
         number += 1
 
 
-def batches(df: DataFrame, size: int = 50_000) -> Iterator:
-    """Rows as pandas frames of bounded size on the driver, partition by partition."""
+def batches(df: DataFrame, size: int = 50_000) -> Iterator[pd.DataFrame]:
+    """Rows as pandas frames of at most `size` rows on the driver, partition by partition. Rows travel as Arrow batches, and
+    no more than one partition and the next are on their way."""
     if size < 1:
         raise ValueError("a batch holds one row at least")
-    held = []
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        held.append(row)
-        if len(held) == size:
-            yield df.sparkSession.createDataFrame(held, df.schema).toPandas()
-            held = []
-    if held:
-        yield df.sparkSession.createDataFrame(held, df.schema).toPandas()
+
+    def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for low in range(0, part.num_rows, size):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as stream:
+                    stream.write_batch(part.slice(low, size))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rows"])
+
+    held, rows = [], 0
+    for row in df.mapInArrow(packed, "rows binary").toLocalIterator(prefetchPartitions=True):
+        held.append(pa.ipc.open_stream(row["rows"]).read_all())
+        rows += held[-1].num_rows
+        while rows >= size:
+            whole = pa.concat_tables(held)
+            yield whole.slice(0, size).to_pandas()
+            held, rows = [whole.slice(size)], rows - size
+    if rows:
+        yield pa.concat_tables(held).to_pandas()
+
+
+def jdbc_batches(spark: SparkSession, url: str, query: str, *, size: int = 50_000, **options) -> Iterator[pd.DataFrame]:
+    """The rows of a database query in frames of at most `size` rows."""
+    return batches(jdbc(spark, url, query, fetch_size=size, **options), size)
 
 
 def jdbc(spark: SparkSession, url: str, query: str, *, fetch_size: int = 50_000, partition_column: str | None = None, bounds: tuple | None = None, partitions: int = 1, properties: dict[str, str] | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A DataFrame is already read and written in bounded pieces, so a batched transform is DataFrame.transform; functions that
 look across rows see all rows, not one batch. Unbounded input comes through Structured Streaming: `availableNow` takes what
-is there and stops, and a batch that is replayed after a failure is recognised by its number.
+is there and stops, and a batch that is replayed after a failure is recognised by the number in the table's pointer.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.plans.sink import TableSink
-from quarryline.sources.snapshot import SnapshotTable
 
 
 def transform_batched(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -39,18 +38,14 @@ def stream_files(spark: SparkSession, folder: str, schema, *, source: str = "par
 
 
 def write_stream(stream: DataFrame, sink: TableSink, target: str, checkpoint: str, **options) -> list[int]:
-    """Every available batch as one write of the sink; returns the numbers of the batches written. A log table beside the
-    target holds (batch, version), so a batch that was committed before a crash is not written again."""
-    log = SnapshotTable(sink.spark, sink.root, f"{target.split('.')[0]}.{target.split('.')[1]}_batches", keep=2)
+    """Every available batch as one write of the sink; returns the numbers of the batches written. The number of the last
+    batch is part of the table's commit, so a batch that was committed before a crash is not written again."""
     done: list[int] = []
 
     def one(batch: DataFrame, number: int) -> None:
-        seen = log.read() if log.exists() else sink.spark.createDataFrame([], "batch long, version long")
-        if seen.where(F.col("batch") == number).head(1):
-            return
-        result = sink.write(batch, target, run_id=f"batch-{number}", **options)
-        log.commit(seen.unionByName(sink.spark.createDataFrame([(number, result.version)], "batch long, version long")))
-        done.append(number)
+        result = sink.write(batch, target, run_id=f"batch-{number}", batch=(checkpoint, number), **options)
+        if result.version is not None:
+            done.append(number)
 
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return done

@@ -68,6 +68,39 @@ def new_partitions(discovered: DataFrame, existing: DataFrame, key: str = "parti
     return discovered.select(key).distinct().join(existing.select(key).distinct(), key, "left_anti")
 
 
+class AccessDenied(RuntimeError):
+    """A source refused the caller."""
+
+
+#: The answers of a source that mean the caller may not look.
+DENIED = (401, 403)
+
+
+@dataclass(frozen=True)
+class Discovery:
+    """Keys that a source has and the table of partitions has not, or why nothing was found out this time."""
+
+    keys: list[str]
+    skipped: str | None = None
+
+
+def discover(look: Callable[[], list[str]], existing: DataFrame, key: str = "partition_key") -> Discovery:
+    """One tick of a discovery sensor. A source that refuses the caller is an error that a person must mend; any other
+    failure skips this tick, and the next one looks again. The failure's number is its `status`, `code` or
+    `response.status_code`."""
+    try:
+        found = sorted(set(look()))
+    except Exception as e:
+        status = next((v for v in (getattr(e, "status", None), getattr(e, "code", None), getattr(getattr(e, "response", None), "status_code", None)) if v is not None), None)
+        if status in DENIED:
+            raise AccessDenied(f"the source answered {status}; its credentials need a look") from e
+        return Discovery([], f"{type(e).__name__}: discovery is tried again at the next tick")
+    if not found:
+        return Discovery([], "the source has no partitions")
+    fresh = new_partitions(existing.sparkSession.createDataFrame([(k,) for k in found], f"{key} string"), existing, key)
+    return Discovery(sorted(r[0] for r in fresh.collect()))
+
+
 #: Days between periods, and the schedule they stand for.
 CRON_DAYS = {28: "0 0 1 * *", 30: "0 0 1 * *", 31: "0 0 1 * *", 90: "0 0 1 */3 *", 91: "0 0 1 */3 *", 92: "0 0 1 */3 *", 182: "0 0 1 */6 *", 183: "0 0 1 */6 *", 365: "0 0 1 1 *", 366: "0 0 1 1 *"}
 

@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from quarryline.plans import periods, suite
 from quarryline.plans.contracts import ContractError, DataSource, Period, build_contract
-from quarryline.plans.sink import TableSink
+from quarryline.plans.sink import TableSink, pii_drift
 from quarryline.sources import ingest, outputs, readers
 from quarryline.streaming import sensors
 
@@ -25,7 +25,7 @@ def test_suites_are_found_and_scoped(spark, tmp_path):
     assert all(r.passed for r in results) and len(results) == 7
     assert not any(r.passed for r in found.run(df.drop("is_current"), now=NOW))
     up, down = build_contract(data()), build_contract(data(schema={"columns": [{"name": "claim_id", "type": "string", "nullable": True, "pii": False}]}))
-    assert suite.pii_drift(up, down) == ["claim_id"] and suite.pii_drift(down, up) == []
+    assert pii_drift(up, down) == ["claim_id"] and pii_drift(down, up) == []
 
 
 def source(*starts, **more):

@@ -39,7 +39,7 @@ def test_snapshot_versions_and_failed_commit(spark, tmp_path):
     with pytest.raises(ValueError):
         t.read(1)
 
-    def reject(_):
+    def reject(*_):
         raise RuntimeError("no")
 
     with pytest.raises(RuntimeError):
@@ -240,3 +240,153 @@ def test_support(spark):
     run = events.emit("START", "job", outputs=["t"])
     assert events.emit("COMPLETE", "job", run) == run and [e["eventType"] for e in sent] == ["START", "COMPLETE"]
     observe.LineageEvents(lambda _: 1 / 0, "ns").emit("FAIL", "job")
+
+
+def files_of(table):
+    return {p.name: p.stat().st_size for p in Path(table.path).rglob("*.parquet")}
+
+
+def test_append_and_refresh_write_their_own_parts_only(spark, sink):
+    big = spark.range(20_000).selectExpr("cast(id as int) id", "concat('n', id % 4) name", "id / 3.0 value")
+    sink.write(big, "silver.t", partition_column="name", lineage=False)
+    before = files_of(sink.table("silver.t"))
+    sink.write(frame(spark, (1, "n1", 1.0)), "silver.t", mode="append", lineage=False)
+    added = {n: s for n, s in files_of(sink.table("silver.t")).items() if n not in before}
+    assert before.items() <= files_of(sink.table("silver.t")).items() and sum(added.values()) < sum(before.values()) / 10
+    r = sink.write(frame(spark, (7, "n2", 1.0), (8, "n9", 1.0)), "silver.t", partition_column="name", lineage=False)
+    assert r.stats == {"rows_in": 2, "rows_inserted": 2, "rows_deleted": 5000}
+    t = sink.table("silver.t")
+    assert t.read().count() == 15_003 and t.read_values("name", ["n2", "n9"]).count() == 2
+    kept = [p for p in t.parts() if p.get("value") in ("n0", "n1", "n3")]
+    assert len(kept) == 4 and t.read_parts(kept).count() == 15_001
+    assert "name#" not in str(t.read_values("name", [])) and t.read_values("name", []).count() == 0
+    # a part of several partitions is written again without the rows that go
+    r = sink.write(frame(spark, (5, "n1", 5.0)), "silver.t", partition_column="name", partition_values=["n1"], lineage=False)
+    assert r.stats["rows_deleted"] == 5001 and t.read_values("name", ["n1"]).count() == 1
+    assert t.compact("name") > 0 and t.read().count() == 10_003 and {p["by"] for p in t.parts()} == {"name"}
+
+
+def test_ended_versions_stay_in_their_files(spark, sink):
+    options = {"mode": "scd2", "business_key": "id", "detect_deletes": True, "lineage": False}
+    rows = lambda v, *ids: frame(spark, *[(k, "a", v) for k in ids])
+    sink.write(rows(1.0, *range(100)), "gold.d", effective_date=date(2024, 1, 1), **options)
+    sink.write(rows(2.0, *range(50)), "gold.d", effective_date=date(2024, 2, 1), **options)
+    t = sink.table("gold.d")
+    ended = [p for p in t.parts() if p["value"] == "false"]
+    assert t.read_parts(ended).count() == 100
+    r = sink.write(rows(2.0, *range(60)), "gold.d", effective_date=date(2024, 3, 1), **options)
+    assert r.stats["rows_new"] == 10 and r.stats["rows_unchanged"] == 50
+    assert [p for p in t.parts() if p in ended] == ended
+    assert {r["seq_id"] for r in t.read().where("id between 50 and 59 and is_current").collect()} == {2}
+
+
+def test_a_write_joins_once_and_shuffles_each_side_once(spark, sink, monkeypatch):
+    plans = []
+    stage = SnapshotTable.stage
+
+    def watched(self, df, split=None):
+        if self.schema_name != "meta":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(self, df, split)
+
+    monkeypatch.setattr(SnapshotTable, "stage", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for options in ({"mode": "scd2", "business_key": "id"}, {"mode": "upsert", "primary_key": "id"}):
+            for k in (1, 2):
+                sink.write(frame(spark, (1, "a", float(k)), (2, "b", 1.0)), f"gold.{options['mode']}", lineage=False, **options)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) == 4
+    for plan in plans:
+        assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("Join ") == 1, plan
+
+
+def test_a_batch_is_committed_with_its_number(spark, sink):
+    df = frame(spark, (1, "a", 1.0))
+    assert sink.write(df, "silver.s", mode="append", batch=("job", 0)).version == 1
+    # the same batch after a crash that lost the stream's own note of it
+    again = sink.write(df, "silver.s", mode="append", batch=("job", 0))
+    assert again.version is None and "written before" in again.notes[0]
+    assert sink.write(df, "silver.s", mode="append", batch=("other", 0)).version == 2
+    assert sink.write(df, "silver.s", mode="append", batch=("job", 1)).version == 3
+    assert sink.table("silver.s").read().count() == 3
+
+
+def test_unknown_columns_are_refused(spark, sink):
+    sink.write(frame(spark, (1, "a", 1.0)), "silver.t", mode="append")
+    wide = frame(spark, (2, "b", 2.0)).selectExpr("*", "1 as extra")
+    for options in ({"mode": "append"}, {"mode": "upsert", "primary_key": "id"}, {"partition_column": "name"}):
+        with pytest.raises(ValueError, match="extra"):
+            sink.write(wide, "silver.t", **options)
+    assert sink.table("silver.t").read().count() == 1
+
+
+def test_a_lock_left_behind_is_taken_over_and_fences_its_writer(spark, tmp_path):
+    t = SnapshotTable(spark, str(tmp_path), "gold.things")
+    other = SnapshotTable(spark, str(tmp_path), "gold.things", stale=0)
+    with pytest.raises(TableBusy, match="took over"):
+        with t.locked():
+            with other.locked():
+                other.commit(frame(spark, (2, "b", 1.0)))
+            t.commit(frame(spark, (1, "a", 1.0)))
+    assert ids(t.read()) == [2]
+    with t.locked():
+        t.commit(frame(spark, (3, "c", 1.0)))
+    assert ids(t.read()) == [3]
+
+
+def test_replaced_versions_stay_for_a_while(spark, tmp_path):
+    t = SnapshotTable(spark, str(tmp_path), "gold.things", keep=1, grace=3600)
+    for k in range(3):
+        t.commit(frame(spark, (k, "a", 1.0)))
+    assert t.versions() == [1, 2, 3] and ids(t.read(1)) == [0]
+
+
+def test_events_records_and_drift_of_a_write(spark, tmp_path):
+    sent = []
+    sink = TableSink(spark, str(tmp_path), events=observe.LineageEvents(sent.append, "ns"), pipeline={"pipeline_id": "p", "contract_hash": "h"})
+    contract = build_contract(data(sinks=[{"type": "table", "schema": "bronze", "table": "claims", "mode": "append"}]))
+    good = spark.createDataFrame([("a", 5.0)], "claim_id string, amount double")
+    plain = build_contract(data(schema={"columns": [{"name": "claim_id", "type": "string", "nullable": True, "pii": False}], "strict": False}, sinks=[{"type": "table", "schema": "bronze", "table": "copy", "mode": "append"}]))
+    with pytest.warns(UserWarning, match="personal upstream"):
+        sink.write(good, "bronze.copy", contract=plain, upstream=contract, lineage=False)
+    assert any(c.endswith("_run_id") for c in sink.table("bronze.copy").read().columns)
+    sink.write(good, "bronze.claims", contract=contract)
+    with pytest.raises(checks.ContractViolation):
+        sink.write(good.where("false"), "bronze.claims", contract=contract)
+    assert [e["eventType"] for e in sent] == ["START", "COMPLETE", "START", "COMPLETE", "START", "FAIL"]
+    rows = sink.records.read("checks").where("phase = 'after'")
+    assert rows.count() == 4 and rows.where("passed").count() == 4
+    assert sink.records.read("pipelines").count() == 1 and sink.records.read("lineage").count() == 2
+
+
+def test_discovery_skips_failures_but_not_refusals(spark):
+    class Answer(Exception):
+        def __init__(self, status):
+            self.status = status
+
+    def fail(status):
+        def look():
+            raise Answer(status)
+
+        return look
+
+    known = spark.createDataFrame([("2024-01",)], "partition_key string")
+    assert sensors.discover(lambda: ["2024-02", "2024-01", "2024-03"], known).keys == ["2024-02", "2024-03"]
+    for status in (401, 403):
+        with pytest.raises(sensors.AccessDenied):
+            sensors.discover(fail(status), known)
+    skipped = sensors.discover(fail(500), known)
+    assert skipped.keys == [] and "next tick" in skipped.skipped
+    assert sensors.discover(lambda: [], known).skipped
+
+
+def test_input_order_needs_a_scan(spark):
+    from quarryline.operators import writes
+
+    df = spark.createDataFrame([(1, "a"), (1, "b")], "id int, name string")
+    assert writes.last_input_wins(df.coalesce(1), ["id"]).first()["name"] == "b"
+    with pytest.raises(ValueError, match="order_by"):
+        writes.last_input_wins(df.repartition(3), ["id"])
+    assert writes.last_input_wins(df.repartition(3), ["id"], ["name"]).first()["name"] == "b"
