@@ -496,3 +496,14 @@ def test_tool_chat_joins_by_hash(spark):
     rows = [(1, 1, "user", "hi"), (1, 2, "assistant", "ho")]
     plan = tool_chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("seed", [5, 16, 50])
+def test_textbook_doubling_gives_the_same_repeats(spark, rows, seed):
+    from quarryline.llm import suffix_dedup
+
+    rng = random.Random(seed)
+    few = [(100 + k, "".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) * rng.randint(1, 4)) for k in range(40)]
+    docs = rows + few
+    assert collected(suffix_dedup.remove_repeats(frame(spark, docs), seed=seed, every=True)) == ordered(brute.repeats(docs))
+    assert suffix_dedup.remove_repeats(frame(spark, []), every=True).count() == 0
