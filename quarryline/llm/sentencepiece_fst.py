@@ -38,7 +38,7 @@ from .vocabulary import SPACE, Pieces, Spec
 
 #: Entries of each of the worker's two tables of stretches and of its table of weights, about 200 bytes each.
 REMEMBERED = 250_000
-INF = float("inf")
+ONE, INF = 1.0, float("inf")
 _machines: dict[int, Transducer] = {}
 
 
@@ -86,6 +86,7 @@ class Transducer:
         lone = sorted(known - self.score.keys())
         self.labels = ["", *self.score, *lone]
         self.ids = [0, *(k for k, _ in pieces.ordinary.values()), *(-1 for _ in lone)]
+        self.sizes = [len(p) for p in self.labels]
         self.trie = ahocorasick.Automaton()
         for k, p in enumerate(self.labels[1:], 1):
             self.trie.add_word(p, (len(p), k))
@@ -118,28 +119,31 @@ class Transducer:
         if len(self.weights) >= REMEMBERED:
             self.weights.clear()
         a, b = self.labels[p], self.labels[q]
-        w = self.weights[p * len(self.labels) + q] = 1.0 if self.merged(a + b) == ([a, b] if a else [b]) else INF
+        w = self.weights[p * len(self.labels) + q] = ONE if self.merged(a + b) == ([a, b] if a else [b]) else INF
         return w
 
     def shortest(self, stretch: str) -> list[int]:
         """Labels on the shortest path through the composition of one stretch of known characters with the pieces. A finite
         path to a state (position, piece) is the model's segmentation of the characters before the position, and there is
         one segmentation only: so of all states of a position one at most is ever reached, and relaxing keeps that one."""
-        n, labels, known = len(self.labels), self.labels, self.weights.get
+        n, sizes, known = len(self.labels), self.sizes, self.weights.get
         piece, cost = [0] * (len(stretch) + 1), [INF] * (len(stretch) + 1)
         cost[0] = 0.0
-        for last, (size, q) in self.trie.iter(stretch):
-            so_far = cost[last + 1 - size]
-            if so_far < INF:
-                p = piece[last + 1 - size]
+        for end, (size, q) in self.trie.iter(stretch):
+            end += 1
+            so_far = cost[end - size]
+            # no arc weighs less than ONE, so this one can only help if that much would
+            if so_far + ONE < cost[end]:
+                p = piece[end - size]
                 w = known(p * n + q)
                 total = so_far + (self.weight(p, q) if w is None else w)
-                if total < cost[last + 1]:
-                    cost[last + 1], piece[last + 1] = total, q
+                if total < cost[end]:
+                    cost[end], piece[end] = total, q
         out, end = [], len(stretch)
         while end:
-            out.append(piece[end])
-            end -= len(labels[piece[end]])
+            q = piece[end]
+            out.append(q)
+            end -= sizes[q]
         out.reverse()
         return out
 
@@ -153,12 +157,9 @@ class Transducer:
     def output(self, stretch: str) -> bytes:
         """Ids of a stretch, as packed 32-bit integers."""
         path = self.shortest(stretch) if self.trie.exists(stretch[0]) else []
-        out: list[int] = []
-        for k in path:
-            if self.ids[k] >= 0:
-                out.append(self.ids[k])
-            else:
-                out += self.fallback(self.labels[k])
+        out = [self.ids[k] for k in path]
+        if -1 in out:
+            out = [i for k in path for i in ((self.ids[k],) if self.ids[k] >= 0 else self.fallback(self.labels[k]))]
         return array("i", out if path else self.fallback(stretch)).tobytes()
 
     def fallback(self, c: str) -> list[int]:
