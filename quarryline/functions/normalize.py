@@ -30,6 +30,12 @@ def _ascii(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
 
 
+@F.pandas_udf(StringType())
+def _folded(s: pd.Series) -> pd.Series:
+    """Case folding beyond lower case, as of the sharp s; Spark has no function for it."""
+    return s.str.casefold()
+
+
 @dataclass(frozen=True)
 class TextNormalizer:
     """Steps in order: to ASCII, symbols, case, one prefix, one suffix, punctuation, white space; empty becomes null. Only
@@ -53,7 +59,7 @@ class TextNormalizer:
         for old, new in (DEFAULT_SYMBOLS if self.symbol_mappings is True else self.symbol_mappings or {}).items():
             out = F.replace(out, F.lit(old), F.lit(new))
         if self.ignore_case:
-            out = F.lower(out)
+            out = F.lower(out) if self.unicode_normalize else F.when(out.rlike(r"[^\x00-\x7F]"), _folded(out)).otherwise(F.lower(out))
         if prefixes := self._words(self.strip_prefixes, DEFAULT_PREFIXES):
             out = F.regexp_replace(out, rf"(?i)^(?:{prefixes})\s+", "")
         if suffixes := self._words(self.strip_suffixes, DEFAULT_SUFFIXES):

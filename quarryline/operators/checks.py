@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import date, datetime
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -176,13 +177,15 @@ def run_checks(df: DataFrame, rules: list[Rule], *, now: datetime, periods: list
         for n, k in enumerate(rowwise):
             failed, total = row[f"failed_{n}"], row[f"total_{n}"]
             out[k] = Result(rules[k], failed == 0, f"{rules[k].name}: {failed} of {total} rows fail", failed, total)
+    # rules of uniqueness group by different columns, but run as one job
+    repeated = [k for k, r in enumerate(rules) if k not in out and r.kind in ("unique", "unique_combination")]
+    counted = [unique_counts(df, [rules[k].column] if rules[k].column else list(rules[k].params["columns"]), null_policy=null_policy if rules[k].column else "value", when=rules[k].when).withColumn("k", F.lit(k)) for k in repeated]
+    for failed, total, k in reduce(DataFrame.unionByName, counted).collect() if counted else ():
+        out[k] = Result(rules[k], failed == 0, f"{rules[k].name}: {failed} repeated of {total} rows", failed, total)
     for k, r in enumerate(rules):
         if k in out:
             continue
-        if r.kind in ("unique", "unique_combination"):
-            failed, total = unique_counts(df, [r.column] if r.column else list(r.params["columns"]), null_policy=null_policy if r.column else "value", when=r.when).first()
-            out[k] = Result(r, failed == 0, f"{r.name}: {failed} repeated of {total} rows", failed, total)
-        elif r.kind == "row_count":
+        if r.kind == "row_count":
             n = staged_rows if staged_rows is not None else df.count()
             low, high = r.params.get("min"), r.params.get("max")
             good = (low is None or n >= low) and (high is None or n <= high)

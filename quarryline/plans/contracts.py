@@ -30,6 +30,9 @@ _KNOWN = {
     "contract": {"version", "pipeline_id", "asset", "layer", "schema", "description", "owner", "expectations", "upstream", "sla", "sources", "sinks", "testing", "lineage", "tags", "parameters", "data_source"},
     "schema": {"columns", "strict"}, "column": {"name", "type", "nullable", "description", "primary_key", "managed", "pii", "phi", "tests"}, "owner": {"team", "contact", "slack_channel"},
     "sla": {"freshness_hours", "update_frequency", "availability_percent"}, "lineage": {"enabled", "source_system", "transformation_type"}, "upstream": {"name", "type", "system", "description"},
+    # fields of the entries of sources and sinks that are tables; external entries may hold any
+    "source": {"type", "schema", "table", "database", "description"},
+    "sink": {"type", "schema", "table", "database", "description", "mode", "primary_key", "partition_column", "business_key", "tracked_columns", "detect_deletes", "skip_unchanged", "sequence_column", "full_refresh_method"},
     "testing": {"enabled", "source_row_limit", "source_where_clause", "expected_min_rows", "expected_max_rows", "timeout_seconds"},
 }
 _REQUIRED = ("version", "pipeline_id", "asset", "layer", "schema")
@@ -199,6 +202,25 @@ def _test_errors(rule: Rule, where: str) -> list[str]:
     return out
 
 
+#: Fixed values of a sink's entry.
+_SINK_VALUES = {"mode": ("full_refresh", "upsert", "append", "scd2"), "full_refresh_method": ("auto", "delete", "truncate")}
+
+
+def _entry_errors(entry: Any, kind: str, where: str) -> list[str]:
+    """What is wrong with one entry of sources or sinks."""
+    if not isinstance(entry, dict):
+        return [f"{where} must be a mapping"]
+    if entry.get("type") not in ("table", "external"):
+        return [f"{where}: type must be table or external, not {entry.get('type')!r}"]
+    if entry["type"] == "external":
+        return []
+    out = _unknown(entry, kind, where) + [f"{where}: {n} is missing" for n in ("schema", "table") if not entry.get(n)]
+    if kind == "sink":
+        out += [f"{where}: {k} must be one of {values}, not {entry[k]!r}" for k, values in _SINK_VALUES.items() if entry.get(k) is not None and entry[k] not in values]
+        out += [f"{where}: {k} must be true or false" for k in ("detect_deletes", "skip_unchanged") if not isinstance(entry.get(k, False), bool)]
+    return out
+
+
 def contract_errors(data: dict[str, Any]) -> list[str]:
     """Everything wrong with a contract's data."""
     errors = [f"{k} is missing" for k in _REQUIRED if k not in data] + _unknown(data, "contract", "contract")
@@ -219,6 +241,9 @@ def contract_errors(data: dict[str, Any]) -> list[str]:
     for k, v in (data.get("tags") or {}).items():
         if not isinstance(k, str) or not isinstance(v, str):
             errors.append(f"tag {k!r} must be text with a text value")
+    for kind in ("source", "sink"):
+        for k, entry in enumerate(data.get(f"{kind}s") or []):
+            errors += _entry_errors(entry, kind, f"{kind} {k}")
     schema = data.get("schema")
     if schema is not None and not isinstance(schema, dict):
         return [*errors, "schema must be a mapping"]

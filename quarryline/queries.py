@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 from datetime import date, datetime
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +19,7 @@ from quarryline.operators.checks import Rule
 from quarryline.plans import periods
 from quarryline.plans.contracts import DataSource, Period, build_contract
 from quarryline.plans.sink import TableSink
-from quarryline.sources import outputs, readers
+from quarryline.sources import ingest, objects, outputs, readers
 from quarryline.streaming import batched, sensors
 from quarryline.support import rendering, safety
 
@@ -752,8 +755,8 @@ def _three_loads(spark, sf_dir) -> TableSink:
     """Customers at three dates; half of the middle load's are missing, and come back."""
     sink, df = _sink(spark), table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("decimal(12,2)").alias("bal"))
     loads = [df, df.where("c_custkey % 2 = 0").withColumn("bal", F.when(F.col("c_custkey") % 4 == 0, F.col("bal") + 1).otherwise(F.col("bal")).cast("decimal(12,2)")), df]
-    for month, load in enumerate(loads, 1):
-        sink.write(load, "gold.customers", mode="scd2", business_key="c_custkey", detect_deletes=True, effective_date=date(2024, month, 1), now=_STAMP, lineage=False)
+    dated = [Period(str(k), date(2024, k + 1, 1)) for k in range(3)]
+    sink.load_periods("gold.customers", dated, lambda p: loads[int(p.source)], mode="scd2", business_key="c_custkey", detect_deletes=True, now=_STAMP, lineage=False)
     return sink
 
 
@@ -888,6 +891,193 @@ def jdbc_roundtrip(spark, sf_dir):
     return out.select(*[F.col(c).cast(t).alias(c.lower()) for c, t in zip(out.columns, dict(df.dtypes).values(), strict=True)])
 
 
+@query("SELECT n_nationkey, n_name, DATE '2024-03-01' AS load_period FROM nation", text="load_period")
+def sink_puts_in_the_period(spark, sf_dir):
+    """A configured partition column that the rows lack is put in, from the date of the write."""
+    sink = _sink(spark)
+    sink.write(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "gold.nations", partition_column="load_period", effective_date=date(2024, 3, 1), lineage=False)
+    return sink.table("gold.nations").read()
+
+
+@query("SELECT o_orderkey, o_orderpriority, 'nightly' AS _gold_run_id, epoch(TIMESTAMP '2024-02-01')::BIGINT AS _gold_processed_at, 'orders.csv' AS _source_file FROM orders")
+def sink_metadata_columns(spark, sf_dir):
+    """Without lineage, rows carry run, time and file."""
+    sink = _sink(spark)
+    sink.write(_orders_slim(spark, sf_dir).drop("price"), "gold.orders", mode="append", contract=build_contract(_CONTRACT), lineage=False, run_id="nightly", source_file="orders.csv", now=_STAMP)
+    return sink.table("gold.orders").read()
+
+
+@query("SELECT 'p' || k AS partition_key, CASE WHEN k < 3 THEN '{\"reconciled_at\":\"2024-02-01T00:00:00\"}' ELSE '{}' END AS metadata FROM range(1, 5) t(k)")
+def reconcile_and_stamp(spark, sf_dir):
+    """A repair stamps the materialized periods of its source, and no others."""
+    sink = _three_loads(spark, sf_dir)
+    registry = periods.PeriodRegistry(spark, sink.root)
+    registry.register([{"source_id": "s" if k < 4 else "other", "source_name": "n", "partition_key": f"p{k}", "status": "materialized" if k != 3 else "registered"} for k in range(1, 5)], now=_STAMP)
+    periods.reconcile_and_stamp(sink, registry, "s", "gold.customers", ["c_custkey"], now=_STAMP, collapse_duplicates=False)
+    return registry.read().select("partition_key", "metadata")
+
+
+# Landing files -------------------------------------------------------------------------------------------------------
+class _Answers:
+    """Answers to URLs from memory, in place of a network."""
+
+    def __init__(self, answers: dict[str, tuple[bytes, dict[str, str]]]):
+        self.answers = answers
+
+    def fetch(self, url, to):
+        body, headers = self.answers[url]
+        to.write_bytes(body)
+        return headers
+
+
+def _store(spark) -> objects.FolderStore:
+    folder = Path(shared_root(spark).removeprefix("file:"))
+    return objects.FolderStore({"public": folder / "public", "confidential": folder / "far"})
+
+
+def _nation_files(spark, sf_dir) -> dict[int, bytes]:
+    """One text file of nations for each region."""
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    return {r: ("n_nationkey,n_name\n" + "".join(f"{x['n_nationkey']},{x['n_name']}\n" for x in rows if x["n_regionkey"] == r)).encode() for r in sorted({x["n_regionkey"] for x in rows})}
+
+
+def _landed(spark, sf_dir):
+    """Every region's file inside an archive inside an archive, with a file beside it that nobody wants."""
+    store, answers = _store(spark), {}
+    for region, body in _nation_files(spark, sf_dir).items():
+        inner, outer = io.BytesIO(), io.BytesIO()
+        with zipfile.ZipFile(inner, "w") as z:
+            z.writestr(f"part {region}.csv", body)
+        with zipfile.ZipFile(outer, "w") as z:
+            z.writestr("inner.zip", inner.getvalue())
+            z.writestr("readme.txt", "no")
+        answers[f"http://h/{region}.zip"] = (outer.getvalue(), {"Content-Type": "application/zip"})
+    spec = ingest.IngestSpec("id", "nations", "public", "raw/{source_name}/{partition_key}", ("zip", "zip"), (), ("*.csv",), {"partitions": {"all": sorted(answers)}, "content_types": ["application/zip"]})
+    return store, spec, ingest.PATTERNS["http_urls"](_Answers(answers)).materialize(ingest.Landing(store, spec, "all", clock=lambda: "now"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def ingest_read_partition(spark, sf_dir):
+    """Archives inside archives land file by file, a manifest comes last, and the partition is read back from it."""
+    store, spec, _ = _landed(spark, sf_dir)
+    out = ingest.read_partition(spark, store, spec, "all", source="csv", pattern="*.csv", header=True)
+    return out.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
+
+
+_FILES = "SELECT n_regionkey, 'n_nationkey,n_name' || chr(10) || string_agg(n_nationkey || ',' || n_name || chr(10), '' ORDER BY n_nationkey) AS body FROM nation GROUP BY n_regionkey"
+
+
+@query(f"SELECT 'raw/nations/all/part ' || n_regionkey || '.csv' AS path, sha256(body) AS sha256, CAST(octet_length(encode(body)) AS BIGINT) AS size_bytes FROM ({_FILES})")
+def ingest_manifest_files(spark, sf_dir):
+    _, _, manifest = _landed(spark, sf_dir)
+    return spark.createDataFrame([(f["path"], f["sha256"], f["size_bytes"]) for f in manifest.files], "path string, sha256 string, size_bytes long")
+
+
+@query(f"SELECT sha256(body) AS sha256, CAST(octet_length(encode(body)) AS BIGINT) AS size FROM ({_FILES})")
+def ingest_file_hashes(spark, sf_dir):
+    """Hashes of landed files, worked out on the executors."""
+    store, _, manifest = _landed(spark, sf_dir)
+    paths = [str(store.containers["public"] / f["path"]) for f in manifest.files]
+    return ingest.file_hashes(spark, paths).select("sha256", "size")
+
+
+@query("SELECT 1 AS landing, count(DISTINCT n_regionkey) AS written FROM nation UNION ALL SELECT 2, 0")
+def ingest_unchanged_files_stay(spark, sf_dir):
+    """A file that is stored with the same hash is not written again."""
+    store, files = _store(spark), _nation_files(spark, sf_dir)
+    counts = [sum(store.put("public", f"raw/{r}.csv", body)[2] for r, body in files.items()) for _ in range(2)]
+    return spark.createDataFrame([(k, n) for k, n in enumerate(counts, 1)], "landing int, written long")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def ingest_crawl_ndjson(spark, sf_dir):
+    """Records of a crawl land as one JSON object a line."""
+    rows = [r.asDict() for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()]
+    store, spec = _store(spark), ingest.IngestSpec("id", "nations", "public", "crawl/{partition_key}/")
+    crawl = ingest.PATTERNS["api_crawl"](lambda key, throttle: iter([(f"{r['n_regionkey']}.ndjson", r) for r in sorted(rows, key=lambda r: r["n_regionkey"])]))
+    crawl.materialize(ingest.Landing(store, spec, "all"))
+    return ingest.read_partition(spark, store, spec, "all", source="json", schema="n_nationkey long, n_name string, n_regionkey long")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (1, 3)")
+def ingest_mirror_by_name(spark, sf_dir):
+    """Files of another store whose names fit a pattern and no exclusion are mirrored."""
+    store = _store(spark)
+    for region, body in _nation_files(spark, sf_dir).items():
+        store.put("confidential", f"in/k/{'odd' if region % 2 else 'even'}-{region}.csv", body)
+        store.put("confidential", f"in/k/odd-{region}.skip.csv", body)
+    spec = ingest.IngestSpec("id", "nations", "public", "m/{partition_key}/", config={"root": "in/", "glob": "odd*.csv", "exclude": ("*.skip.csv",)})
+    far = objects.FolderStore({"public": store.containers["confidential"]})
+    ingest.PATTERNS["blob_mirror"](far).materialize(ingest.Landing(store, spec, "k"))
+    out = ingest.read_partition(spark, store, spec, "k", source="csv", header=True)
+    return out.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
+
+
+@query("SELECT d AS day, strftime(date_trunc('quarter', d), '%Y-%m-%d') AS quarter, strftime(date_trunc('month', d), 'http://h/%Y-%m') AS url FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)", text="day")
+def release_calendar(spark, sf_dir):
+    """The release that was current on each day on which there were orders."""
+    days = [r[0] for r in table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date")).distinct().collect()]
+    rows = []
+    for day in days:
+        calendar = ingest.CalendarResolver(lambda day=day: day)
+        rows.append((day, calendar.current({"cadence": "quarterly", "url": "u"}).key, calendar.current({"url": "http://h/%Y-%m"}).url))
+    return spark.createDataFrame(rows, "day date, quarter string, url string")
+
+
+@query("SELECT n_nationkey, replace(n_name, ' ', '_') || '.csv' AS header, 'nations-' || n_nationkey || '.csv' AS template FROM nation")
+def payload_names(spark, sf_dir):
+    """Names of payloads from a response's header and from a template."""
+    rows = []
+    for r in table(spark, sf_dir, "nation").collect():
+        said, key = f'attachment; filename="{r["n_name"]}.csv"', str(r["n_nationkey"])
+        rows.append((r["n_nationkey"], ingest.disposition_filename(said), ingest.render("{source_name}-{partition_key}.csv", key, "nations")))
+    return spark.createDataFrame(rows, "n_nationkey long, header string, template string")
+
+
+@query("SELECT n_nationkey, make_timestamp(1700000000000000 + n_nationkey * 1000) AS at FROM nation", text="at")
+def uuid7_times(spark, sf_dir):
+    """Time-ordered identifiers give their time back, and sort by it."""
+    keys = sorted(r["n_nationkey"] for r in table(spark, sf_dir, "nation").collect())
+    ids = [lineage.uuid7(1_700_000_000_000 + k) for k in keys]
+    if ids != sorted(ids):
+        raise AssertionError("identifiers don't sort by their time")
+    return spark.createDataFrame([(k, lineage.uuid7_time(u).replace(tzinfo=None)) for k, u in zip(keys, ids, strict=True)], "n_nationkey long, at timestamp")
+
+
+@query("SELECT 'unique' AS rule, o_custkey AS sample, count(*) AS copies FROM orders GROUP BY 2 HAVING count(*) > 1 ORDER BY copies DESC, o_custkey LIMIT 5")
+def check_samples(spark, sf_dir):
+    """A failing rule shows five samples."""
+    result = checks.run_checks(table(spark, sf_dir, "orders"), [Rule("unique", "o_custkey")], now=NOW)[0]
+    return spark.createDataFrame([("unique", s["o_custkey"], s["copies"]) for s in result.samples], "rule string, sample long, copies long")
+
+
+@query("SELECT 'n_name' AS col, 0 AS shown")
+def check_samples_redacted(spark, sf_dir):
+    """Values of personal columns show neither in samples nor in messages."""
+    nations = table(spark, sf_dir, "nation")
+    names = [r["n_name"] for r in nations.collect()]
+    result = checks.run_checks(nations, [Rule("not_in", "n_name", {"values": names}, pii=True)], now=NOW)[0]
+    return spark.createDataFrame([("n_name", len(result.samples) + sum(n in result.message for n in names))], "col string, shown int")
+
+
+@query("SELECT DISTINCT source_id FROM (SELECT *, CAST(json_extract_string(metadata, '$.n') AS INTEGER) AS n FROM (" + _REG + ")) WHERE n > 15")
+def sensor_stamped(spark, sf_dir):
+    """Periods with a stamp that came after the cursor, source by source."""
+    reg = _registry(spark, sf_dir)
+    n = F.get_json_object("metadata", "$.n").cast("int")
+    stamped = reg.withColumn("metadata", F.when(n > 15, F.to_json(F.struct(F.lit("2024-01-01").alias("reconciled_at")))).otherwise("{}"))
+    sources = [r[0] for r in stamped.select("source_id").distinct().collect()]
+    return spark.createDataFrame([(x,) for x in sources if sensors.reconciled(stamped, x).keys], "source_id string")
+
+
+@query("SELECT * FROM (VALUES ('clear', '0', 'delete'), ('clear', '9999', 'delete'), ('clear', '10000', 'truncate'), ('insert', '9999', 'insert'), ('insert', '10000', 'copy')) t(kind, rows, method)")
+def write_methods(spark, sf_dir):
+    """Methods that automatic choices stand for, by the number of rows."""
+    schema = table(spark, sf_dir, "nation").schema
+    rows = [("clear", str(n), outputs.clear_method("auto", n)) for n in (0, 9_999, 10_000)] + [("insert", str(n), outputs.insert_method(schema, "auto", n, "append")) for n in (9_999, 10_000)]
+    return spark.createDataFrame(rows, "kind string, rows string, method string")
+
+
 # Extensions, beyond the survey's inventory ---------------------------------------------------------------------------
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2", text="window_start")
 def extension_windowed_counts(spark, sf_dir):

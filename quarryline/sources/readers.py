@@ -66,11 +66,21 @@ def page(df: DataFrame, order_by: list[str], number: int, size: int) -> DataFram
 
 
 def pages(df: DataFrame, order_by: list[str], size: int) -> Iterator[DataFrame]:
-    """Every page in turn. For tests and small tables; a job reads the table whole."""
-    total, number = df.count(), 0
-    while number * size < total:
-        yield page(df, order_by, number, size)
-        number += 1
+    """Every page in turn. order_by must tell any two rows apart: a page starts behind the last row of the one before, so
+    it costs a scan and its own rows, and not another sort of the table."""
+    if size < 1 or not order_by:
+        raise ValueError("pages need an order, and a page holds one row at least")
+    total, seen, last = df.count(), 0, None
+    place = F.struct(*[F.col(f"`{c}`") for c in order_by])
+    kinds = [df.schema[c].dataType for c in order_by]
+    while seen < total:
+        rest = df if last is None else df.where(place > F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(last, kinds, order_by, strict=True)]))
+        part = rest.orderBy(*order_by).limit(size)
+        ends = part.select(*order_by).orderBy(*[F.desc(c) for c in order_by]).limit(1).collect()
+        if not ends:
+            raise ValueError(f"{order_by} doesn't tell all rows apart: {total - seen} rows are left behind the last page")
+        last, seen = tuple(ends[0]), seen + part.count()
+        yield part
 
 
 def batches(df: DataFrame, size: int = 50_000) -> Iterator[pd.DataFrame]:

@@ -138,3 +138,21 @@ def test_tags_and_periods():
     assert partitions_of([p(date(2024, 1, 1), "x")]).keys == ["x"] and period_of(months, "2024-01-31") is months[1]
     with pytest.raises(KeyError):
         period_of(months, "none")
+
+
+@pytest.mark.parametrize(
+    ("entry", "says"),
+    [
+        ({"sinks": [{"type": "table", "schema": "a", "table": "b", "mood": "append"}]}, "mood"),
+        ({"sinks": [{"type": "table", "schema": "a", "table": "b", "mode": "replace"}]}, "mode must be one of"),
+        ({"sinks": [{"type": "table", "schema": "a"}]}, "table is missing"),
+        ({"sinks": [{"type": "queue"}]}, "type must be"),
+        ({"sinks": ["gold.t"]}, "must be a mapping"),
+        ({"sinks": [{"type": "table", "schema": "a", "table": "b", "detect_deletes": "yes"}]}, "true or false"),
+        ({"sources": [{"type": "table", "schema": "a", "table": "b", "where": "x"}]}, "where"),
+    ],
+)
+def test_entries_of_sources_and_sinks_are_strict(entry, says):
+    with pytest.raises(ContractError, match=says):
+        build_contract(data(**entry))
+    assert build_contract(data(sources=[{"type": "external", "anything": 1}])).sources

@@ -69,3 +69,11 @@ def test_names_and_calendar(spark):
     assert values(spark, ["2024-05-15"], fn.calendar_boundary("t", "quarterly")) == [date(2024, 4, 1)]
     with pytest.raises(ValueError):
         fn.calendar_boundary("t", "daily")
+
+
+def test_case_folds_beyond_lower_case_where_texts_stay_as_they_are(spark):
+    from quarryline.functions.normalize import TextNormalizer
+
+    df = spark.createDataFrame([("Straße ÉCOLE",), ("PLAIN",), (None,)], "t string")
+    got = [r[0] for r in df.select(TextNormalizer(unicode_normalize=False).column("t")).collect()]
+    assert got == ["strasse école", "plain", None]

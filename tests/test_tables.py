@@ -390,3 +390,18 @@ def test_input_order_needs_a_scan(spark):
     with pytest.raises(ValueError, match="order_by"):
         writes.last_input_wins(df.repartition(3), ["id"])
     assert writes.last_input_wins(df.repartition(3), ["id"], ["name"]).first()["name"] == "b"
+
+
+def test_pages_need_an_order_that_tells_rows_apart(spark):
+    df = spark.createDataFrame([(k, f"n{k % 2}") for k in range(7)] + [(None, "n")], "id int, name string")
+    assert [[r["id"] for r in p.collect()] for p in readers.pages(df, ["id"], 3)] == [[None, 0, 1], [2, 3, 4], [5, 6]]
+    assert [[r["id"] for r in p.collect()] for p in readers.pages(df, ["name", "id"], 4)] == [[None, 0, 2, 4], [6, 1, 3, 5]]
+    with pytest.raises(ValueError, match="apart"):
+        list(readers.pages(df, ["name"], 3))
+
+
+def test_frames_of_bounded_size(spark):
+    df = spark.range(0, 1000, 1, 7).selectExpr("id", "'x' as t")
+    frames = list(readers.batches(df, 64))
+    assert [len(f) for f in frames] == [64] * 15 + [40] and sorted(i for f in frames for i in f["id"]) == list(range(1000))
+    assert list(readers.batches(df.where("id < 0"), 10)) == []
