@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -48,12 +49,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, "4m")
 
 
-def trimmed(scan):
+#: What a worker keeps from one task to the next, by the name of what it is for.
+_held: dict[str, dict] = {}
+
+
+def held(name: str) -> dict:
+    """A table that a worker keeps while it runs tasks that use it."""
+    return _held.setdefault(name, {})
+
+
+def trimmed(scan=None, *, using: str = ""):
     """A function over batches that gives its worker's freed memory back to the system while it runs and when it ends, for
-    workers are kept for later stages."""
+    workers are kept for later stages. Tables that are held for other functions go first."""
+    if scan is None:
+        return functools.partial(trimmed, using=using)
 
     @functools.wraps(scan)
     def run(batches):
+        for name, table in _held.items():
+            if table and name != using:
+                table.clear()
+                gc.collect()
         try:
             for number, out in enumerate(scan(batches)):
                 yield out

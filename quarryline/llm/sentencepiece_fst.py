@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, trimmed
+from .common import held, small_batches, trimmed
 from .vocabulary import SPACE, Pieces, Spec
 
 #: Entries of each of the worker's two tables of stretches and of its table of weights, about 200 bytes each.
 REMEMBERED = 250_000
 ONE, INF = 1.0, float("inf")
-_machines: dict[int, Transducer] = {}
+_machines: dict[int, Transducer] = held("pieces")
 
 
 class Normaliser:
@@ -231,7 +231,7 @@ def encode(documents: DataFrame, *, text_col="text", model: str | None = None, i
     documents = documents.drop(ids_col) if ids_col != text_col else documents
     shipped, names = ship(documents.sparkSession, model), documents.columns
 
-    @trimmed
+    @trimmed(using="pieces")
     def scan(batches):
         m = machine(shipped)
         for batch in batches:
@@ -248,7 +248,7 @@ def decode(encoded: DataFrame, *, ids_col="ids", text_col="text", model: str | N
     rest = encoded.drop(text_col) if text_col != ids_col else encoded
     names = rest.columns
 
-    @trimmed
+    @trimmed(using="pieces")
     def scan(batches):
         m = machine(shipped)
         for batch in batches:
@@ -265,7 +265,7 @@ def encode_checked(documents: DataFrame, *, text_col="text", model: str | None =
     documents = documents.drop(*{"ids", "n_tokens", "round_trip"} - {text_col})
     shipped, names = ship(documents.sparkSession, model), documents.columns
 
-    @trimmed
+    @trimmed(using="pieces")
     def scan(batches):
         m = machine(shipped)
         for batch in batches:
@@ -285,7 +285,7 @@ def report(documents: DataFrame, model: str | None = None) -> DataFrame:
     shipped = ship(documents.sparkSession, model)
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
-    @trimmed
+    @trimmed(using="pieces")
     def scan(batches):
         m = machine(shipped)
         for batch in batches:

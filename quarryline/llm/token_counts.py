@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, trimmed
+from .common import held, small_batches, trimmed
 from .vocabulary import SPACE, Pieces
 
 #: Entries of the worker's table of words before it starts anew.
 REMEMBERED = 600_000
 UNKNOWN_PENALTY = 10.0
-_counters: dict[int, Counter] = {}
+_counters: dict[int, Counter] = held("counter")
 
 
 def unigram_scores(pieces: Pieces) -> dict[str, float]:
@@ -107,7 +107,7 @@ def count_tokens(documents: DataFrame, *, text_col="text", model: str | None = N
     broadcast = documents.sparkSession.sparkContext.broadcast(unigram_scores(Pieces.load(model)))
     number, names = broadcast._jbroadcast.id(), documents.columns
 
-    @trimmed
+    @trimmed(using="counter")
     def scan(batches):
         counter = _counter(broadcast, number)
         for batch in batches:
