@@ -11,10 +11,13 @@ shares a key is compared in one task, which hands on a spanning forest of the li
 than HEAVY fingerprints is first split by r + 1 stretches of bits, one of which any linked pair has in common. Components
 come from alternating star contractions over those links, with the lineage cut in each round.
 
-`keep_first`, which keeps one document of each group, does not go by fingerprints: it links two documents exactly if the
-Jaccard similarity of their sets of five-word shingles is 0.8 or more. Two such sets share one of the first shingles of
-either (m - ceil(0.8 m) + 1 of m, in any one order), so what shares one of those is compared, without exception; shingles
-that are frequent in a sample come last in the order, which changes the work and not the links.
+`keep_first`, which keeps one document of each group, links two documents exactly if the Jaccard similarity of their sets
+of five-word shingles is 0.8 or more. Its candidates are what the covering tables connect: fingerprints over the distinct
+words within MEET bits, and over the distinct five-word shingles within APART; the sets of each such group are compared.
+64 bits can't promise every pair of that similarity, so an exact search for the rest follows: two such sets share one of the
+first shingles of either (m - ceil(0.8 m) + 1 of m, in any one order), and what shares one of those and isn't connected yet
+is compared too, without exception; shingles that are frequent in a sample come last in the order, which changes the work
+and not the links.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; rows with the same doc_id are
 separate documents; a null doc_id is never the smallest, and a component of null ids only has none.
@@ -39,6 +42,8 @@ HEAVY = 8192
 SMALL = 8
 #: keep_first: words of a shingle, and the similarity as a fraction.
 GROUP_WORDS, PART_OF, WHOLE_OF = 5, 4, 5
+#: keep_first: the kinds of its two fingerprints, and how many bits of each may differ for candidates.
+PRINTS, MEET, APART = ((1, True), (GROUP_WORDS, True)), 6, 16
 #: Least documents of the sample, or one of so many, and how many of them hold a shingle that is put last; nodes and
 #: shingles of a block, two of which are compared in one task.
 SAMPLED, RATE, OFTEN, TOGETHER, SHINGLES = 10_000, 64, 3, 512, 1 << 20
@@ -340,11 +345,12 @@ _ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4")])
 
 
 def sharing(rows: DataFrame, id_type: str, often) -> DataFrame:
-    """From rows (id, h, t: bytes of a text): one row (id, h, node, size, map) for each different (id, h), and groups (grp,
-    node) of at least two nodes such that all similar pairs have a group in common."""
+    """From rows (id, h, t: bytes of a text): one row (id, h, node, size, map, fp, near) for each different (id, h), and groups
+    (grp, node) of at least two nodes such that all similar pairs have a group in common."""
     n = buckets_for(rows)
     nulls = lambda count, *types: [pa.nulls(count, t) for t in types]
-    names = ["bucket", "blob", "id", "h", "node", "size", "map"]
+    names = ["bucket", "blob", "id", "h", "node", "size", "map", "fp", "near"]
+    order_out, longs = ["grp", *names[4:5], *names[2:4], *names[5:]], (pa.int64(),) * 2
     rows = rows.withColumn("row", F.xxhash64("id", "h"))
 
     @trimmed
@@ -356,9 +362,11 @@ def sharing(rows: DataFrame, id_type: str, often) -> DataFrame:
                 node, size, row = node_of(h, at), np.diff(at), batch.column(3).to_numpy()[low:high]
                 new = documents.fresh(row)
                 maps = maps_of(*picked(h, at, new))
+                texts = picked(buf, bounds, new)
+                prints = [pa.array(fingerprints_of(*texts, *kind).view(np.int64)) for kind in PRINTS]
                 own = [batch.column(k).slice(low, high - low).take(pa.array(new)) for k in (0, 1)]
                 place = bucket_of(mix(row[new].view(np.uint64)), n)
-                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), *nulls(len(new), pa.binary()), *own, pa.array(node[new]), pa.array(size[new]), pa.array(maps, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), *nulls(len(new), pa.binary()), *own, pa.array(node[new]), pa.array(size[new]), pa.array(maps, pa.binary()), *prints], names=names)
                 new = nodes.fresh(node)
                 head = np.where(size[new] > 0, size[new] - -(-PART_OF * size[new] // WHOLE_OF) + 1, 0)
                 of = np.repeat(new, head)
@@ -369,7 +377,7 @@ def sharing(rows: DataFrame, id_type: str, often) -> DataFrame:
                 out = out[order]
                 full = np.flatnonzero(np.diff(edge))
                 blobs = pa.array([out[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), blobs, *nulls(len(full), batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), blobs, *nulls(len(full), batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.binary(), *longs)], names=names)
 
     @trimmed
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,14 +386,14 @@ def sharing(rows: DataFrame, id_type: str, often) -> DataFrame:
             id_of = batch.column(2).type
             kept = batch.filter(batch.column(1).is_null())
             if kept.num_rows:
-                yield pa.RecordBatch.from_arrays([*nulls(kept.num_rows, pa.int64()), *(kept.column(k) for k in (4, 2, 3, 5, 6))], names=["grp", *names[4:5], *names[2:4], *names[5:]])
+                yield pa.RecordBatch.from_arrays([*nulls(kept.num_rows, pa.int64()), *(kept.column(k) for k in (4, 2, 3, 5, 6, 7, 8))], names=order_out)
             blobs += [x.as_py() for x in batch.column(1) if x.is_valid]
         for name, node in grouped(np.frombuffer(b"".join(blobs), _ENTRY)):
-            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(node), *nulls(len(name), id_of, pa.int64(), pa.int64(), pa.binary())], names=["grp", *names[4:5], *names[2:4], *names[5:]])
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(node), *nulls(len(name), id_of, pa.int64(), pa.int64(), pa.binary(), *longs)], names=order_out)
 
     fields = f"id {id_type}, h long"
-    packed = rows.select("id", "h", "t", "row").mapInArrow(deal, f"bucket int, blob binary, {fields}, node long, size long, map binary")
-    return dealt(packed, n).mapInArrow(group, f"grp long, node long, {fields}, size long, map binary")
+    packed = rows.select("id", "h", "t", "row").mapInArrow(deal, f"bucket int, blob binary, {fields}, node long, size long, map binary, fp long, near long")
+    return dealt(packed, n).mapInArrow(group, f"grp long, node long, {fields}, size long, map binary, fp long, near long")
 
 
 def grouped(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -556,6 +564,17 @@ def narrowed(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     return members.mapInArrow(split, "grp long, node long").distinct()
 
 
+def meeting(nodes: DataFrame) -> DataFrame:
+    """From nodes (node, fp, near): groups (grp, node) that the covering tables connect. One of more than 2 TOGETHER nodes is
+    dealt into several by hash; what that separates is left to the search for the rest."""
+    roots = components(links(nodes, radius=MEET, within=APART))
+    large = checkpointed(roots.groupBy("root").agg(F.ceil(F.count("*") / TOGETHER).alias("parts")).where("parts > 2"))
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    out = checkpointed(roots.join(large, "root", "left").select(F.xxhash64("root", part).alias("grp"), "node"))
+    drop(roots, large)
+    return out
+
+
 def similar_pairs(groups: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     """From groups (grp, node) and sets (node, shingles): pairs (a, b) of similar nodes, enough of them to connect all that
     are linked."""
@@ -593,9 +612,12 @@ def keep_first(documents: DataFrame, *, id_col="doc_id", text_col="text") -> Dat
     shared = checkpointed(sharing(texts, id_type, often))
     # copies are folded before the groups are, so that only distinct sets meet in a group
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("k")
-    nodes = checkpointed(shared.where("grp IS NULL").groupBy("node").agg(least, F.max("size").alias("size"), F.max("map").alias("map")))
+    nodes = checkpointed(shared.where("grp IS NULL").groupBy("node").agg(least, *(F.max(c).alias(c) for c in ("size", "map", "fp", "near"))))
     groups = checkpointed(narrowed(shared.where("grp IS NOT NULL").select("grp", "node").distinct(), nodes))
     drop(shared)
+    met = meeting(nodes)
+    near = checkpointed(narrowed(met, nodes))
+    drop(met)
 
     @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -605,15 +627,12 @@ def keep_first(documents: DataFrame, *, id_col="doc_id", text_col="text") -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer((8 * at).astype(np.int32)), pa.py_buffer(h)])], names=["node", "shingles"])
 
     # the texts that are still to be compared are read again: their sets are several times as large as the groups
-    asked = checkpointed(groups.select("node").distinct().join(nodes, "node").select("node", F.col("k.id").alias("asked id"), F.col("k.h").alias("asked h")))
+    asked = checkpointed(near.select("node").union(groups.select("node")).distinct().join(nodes, "node").select("node", F.col("k.id").alias("asked id"), F.col("k.h").alias("asked h")))
     found = texts.join(asked, texts["id"].eqNullSafe(asked["asked id"]) & (texts["h"] == asked["asked h"])).select("node", "t").dropDuplicates(["node"])
     sets = checkpointed(found.mapInArrow(scan, "node long, shingles binary"))
     n = buckets_for(documents)
-    # near copies meet in many groups: each document is compared in its largest group first, and only groups that this
-    # leaves in several components are compared whole
-    size = groups.groupBy("grp").agg(F.count("*").alias("size"))
-    chosen = groups.join(size, "grp").groupBy("node").agg(F.max(F.struct("size", "grp"))["grp"].alias("grp"))
-    some = checkpointed(similar_pairs(chosen, sets, n))
+    # what the tables connect is compared first, and the other groups only if this leaves them in several components
+    some = checkpointed(similar_pairs(near, sets, n))
     known = components(some)
     now = groups.join(known, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root"))
     open_ = now.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("grp")
@@ -621,7 +640,7 @@ def keep_first(documents: DataFrame, *, id_col="doc_id", text_col="text") -> Dat
     roots = components(some.unionByName(rest))
     first = nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("k").alias("k"))
     first = checkpointed(first.select(F.col("k.id").alias("kept id"), F.col("k.h").alias("kept hash")))
-    drop(nodes, groups, asked, sets, some, known, rest, roots)
+    drop(nodes, groups, near, asked, sets, some, known, rest, roots)
     kept = marked.join(first, marked[id_col].eqNullSafe(first["kept id"]) & (marked["text hash"] == first["kept hash"]), "left_semi")
     return kept.dropDuplicates([id_col, "text hash"]).select(*documents.columns)
 

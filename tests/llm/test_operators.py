@@ -406,6 +406,37 @@ def test_keep_first_goes_by_the_similarity_of_five_word_shingles(spark, often, m
     assert 60 < len(kept) < len(docs) and kept == sorted(least.values())
 
 
+@pytest.mark.parametrize("part", ["tables", "rest", "dealt"])
+def test_keep_first_gets_candidates_from_the_covering_tables(spark, part, monkeypatch):
+    from quarryline.llm import simhash
+
+    rng = random.Random(9)
+    docs = [(900, None), (901, " ")]
+    for k in range(25):
+        base = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(60, 200))]
+        for edits in (0, 1, 2, 3):
+            other = list(base)
+            for j in rng.sample(range(len(base)), edits):
+                other[j] = f"x{rng.randint(0, 3000)}"
+            docs.append((len(docs), " ".join(other)))
+    want = brute.keep_first(docs)
+    if part == "tables":  # without the search for the rest: what the fingerprints connect, compared
+        real = simhash.sharing
+        monkeypatch.setattr(simhash, "sharing", lambda *a: real(*a).where("grp IS NULL"))
+        prints = [(brute.fingerprint(t, 1, True), brute.fingerprint(t, 5, True)) for _, t in docs]
+        met = brute.groups(len(docs), lambda a, b: (prints[a][0] ^ prints[b][0]).bit_count() <= simhash.MEET and (prints[a][1] ^ prints[b][1]).bit_count() <= simhash.APART)
+        want = sorted(d for root in set(met) for d in brute.keep_first([x for x, r in zip(docs, met, strict=True) if r == root]))
+        assert len(want) < len(docs) - 40
+    elif part == "rest":  # without the tables
+        monkeypatch.setattr(simhash, "links", lambda nodes, **_: spark.createDataFrame([], "a long, b long"))
+    else:  # groups of more than four are dealt by hash
+        docs += [(len(docs) + k, docs[2][1] + f" y{k}") for k in range(20)]
+        want = brute.keep_first(docs)
+        monkeypatch.setattr(simhash, "TOGETHER", 2)
+    kept = sorted(r["doc_id"] for r in simhash.keep_first(frame(spark, docs)).select("doc_id").collect())
+    assert kept == want
+
+
 def test_pii_is_linear_in_the_spans_of_a_text():
     import time
 
