@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +11,7 @@ from collections.abc import Callable
 from datetime import date, datetime
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -879,15 +881,33 @@ def read_in_batches(spark, sf_dir):
     return spark.createDataFrame(rows, "c_nationkey long, n long, keys long").groupBy("c_nationkey").agg(F.sum("n").alias("n"), F.sum("keys").alias("keys"))
 
 
+def _packed(spark, database: Path) -> str:
+    """Closes an embedded database and packs its files into one, as they are, from which any process can read."""
+    try:
+        spark._jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{database};shutdown=true")
+    except Py4JJavaError as e:
+        if e.java_exception.getSQLState() != "08006":  # a database that has closed says so by an error
+            raise
+    with zipfile.ZipFile(f"{database}.jar", "w") as packed:
+        for f in sorted(f for f in database.rglob("*") if f.is_file() and f.suffix != ".lck"):
+            packed.write(f, f.relative_to(database.parent))
+    shutil.rmtree(database)
+    return f"jdbc:derby:jar:({database}.jar){database.name}"
+
+
 @query("SELECT c_custkey, c_name, c_nationkey FROM customer")
 def jdbc_roundtrip(spark, sf_dir):
-    """Rows into a database and back, in parallel by ranges of the key. The database is the JVM's own, so this query is for
-    a local session."""
-    url = f"jdbc:derby:memory:q{uuid.uuid4().hex};create=true"
+    """Rows into a database and back, in parallel by ranges of the key. The database is Derby, in files that one process at a
+    time can write: on a cluster that is the driver. Then it is packed in the shared folder for all that read."""
+    folder = Path(shared_root(spark).removeprefix("file:"))
+    if folder.parts[0].endswith(":"):
+        raise ValueError(f"Derby needs a shared folder that is mounted, not {folder}")
+    folder.mkdir(parents=True)
     df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    outputs.write_jdbc(df, url, "customers", mode="overwrite", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
     options = {"properties": {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}}
-    out = readers.jdbc(spark, url, "SELECT * FROM customers", partition_column="c_custkey", bounds=(1, 15000), partitions=4, **options)
+    outputs.write_jdbc(df, f"jdbc:derby:{folder}/q;create=true", "customers", mode="overwrite", from_driver=not spark.sparkContext._jsc.sc().isLocal(), **options)
+    low, high = df.agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    out = readers.jdbc(spark, _packed(spark, folder / "q"), "SELECT * FROM customers", partition_column="c_custkey", bounds=(low or 0, high or 0), partitions=4, **options)
     return out.select(*[F.col(c).cast(t).alias(c.lower()) for c, t in zip(out.columns, dict(df.dtypes).values(), strict=True)])
 
 

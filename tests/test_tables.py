@@ -1,15 +1,22 @@
 import io
 import json
+import os
+import subprocess
+import sys
+import uuid
 import zipfile
 from datetime import date, datetime
 from pathlib import Path
 
+import duckdb
+import pyspark
 import pytest
+from pyspark.errors import AnalysisException
 
 from quarryline.operators import checks, lineage
 from quarryline.plans.contracts import Period, build_contract
 from quarryline.plans.sink import TableSink
-from quarryline.sources import ingest, objects, readers
+from quarryline.sources import ingest, objects, outputs, readers
 from quarryline.sources.snapshot import SnapshotTable, TableBusy
 from quarryline.streaming import batched, sensors
 from quarryline.support import observe, rendering, safety
@@ -405,3 +412,49 @@ def test_frames_of_bounded_size(spark):
     frames = list(readers.batches(df, 64))
     assert [len(f) for f in frames] == [64] * 15 + [40] and sorted(i for f in frames for i in f["id"]) == list(range(1000))
     assert list(readers.batches(df.where("id < 0"), 10)) == []
+
+
+def test_rows_into_a_database_from_partitions_or_the_driver(spark):
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = [(k, None if k % 5 == 0 else f"n'{k}\n\u00e9\"" if k % 2 else "", None if k % 3 == 0 else k / 4, date(2024, 1, 1 + k) if k else None) for k in range(13)]
+    df = spark.createDataFrame(rows, "id long, name string, value double, day date").repartition(3)
+    for here in (False, True):
+        url = f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true"
+        read = lambda url=url: sorted((tuple(r) for r in readers.jdbc(spark, url, "SELECT * FROM t", properties=driver).collect()), key=repr)
+        outputs.write_jdbc(df, url, "t", batch_size=2, properties=driver, from_driver=here)
+        assert read() == sorted(rows, key=repr)
+        outputs.write_jdbc(df.where("id < 2"), url, "t", properties=driver, from_driver=here)
+        assert read() == sorted(rows + rows[:2], key=repr)
+        with pytest.raises(AnalysisException):
+            outputs.write_jdbc(df, url, "t", mode="error", properties=driver, from_driver=here)
+        outputs.write_jdbc(df.where("id > 10"), url, "t", mode="overwrite", properties=driver, from_driver=here)
+        assert read() == sorted(rows[11:], key=repr)
+        outputs.write_jdbc(df.where("id < 0"), url, "t", mode="overwrite", properties=driver, from_driver=here)
+        assert read() == []
+    with pytest.raises(ValueError, match="ignore"):
+        outputs.write_jdbc(df, url, "t", mode="ignore", properties=driver, from_driver=True)
+    assert spark.range(3).count() == 3  # the driver's thread is no task's any more
+
+
+def test_jdbc_roundtrip_on_a_cluster(tmp_path, sf_dir):
+    """Executors in processes of their own, which see none of the driver's memory."""
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)
+    for f in Path(pyspark.__file__).parent.iterdir():  # executors keep their logs in Spark's home
+        if f.name != "work":
+            (home / f.name).symlink_to(f)
+    code = f"""
+from pyspark.sql import SparkSession
+import __spark_entry__
+conf = {{"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "600m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.checkpoint.dir": "file://{tmp_path}/shared"}}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+for r in __spark_entry__.queries()["jdbc_roundtrip"](spark, {sf_dir!r}).collect():
+    print("row", *r, sep="|")
+spark.stop()
+"""
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_LOCAL_DIRS": str(tmp_path / "local"), "PYTHONPATH": str(Path(__file__).parents[1]), "PYSPARK_PYTHON": sys.executable}
+    run = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-3000:]
+    got = sorted(line for line in run.stdout.splitlines() if line.startswith("row|"))
+    want = duckdb.sql(f"SELECT c_custkey, c_name, c_nationkey FROM '{sf_dir}/customer.parquet'").fetchall()
+    assert len(want) > 0 and got == sorted(f"row|{k}|{name}|{nation}" for k, name, nation in want)
